@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, quality_rules
+from tidemark.llm import decontaminate, quality_rules, token_lengths, token_store, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rows = token_store.store(table(spark, sf_dir, "documents"), tokens.default_path())
+    return token_store.checksums(rows)
+
+
+def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_lengths.by_limit(token_lengths.lengths(table(spark, sf_dir, "documents"), tokens.default_path()))
+
+
 #: lengths of windows are those of the benchmark's items, ten at most
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -45,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_decontaminate": op9_decontaminate, "op10_quality_rules": op10_quality_rules}
+    return {"op2_token_store": op2_token_store, "op7_token_lengths": op7_token_lengths, "op9_decontaminate": op9_decontaminate, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
