@@ -7,13 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, quality_rules, token_lengths, token_store, tokens
+from tidemark.llm import decontaminate, jaccard_join, mixing, quality_rules, token_lengths, token_store, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: exponents for source, language and kind of text, and the share of all tokens to keep
+MIX_TARGETS, MIX_KEEP, MIX_STEPS = (0.5, 0.7, 0.5), 0.5, 8
+
+
+def mix_dims() -> list:
+    return [F.col("source"), F.col("lang"), mixing.style("text")]
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), mix_dims(), MIX_TARGETS, keep=MIX_KEEP, iterations=MIX_STEPS)
+    return out.select(
+        "doc_id", "source", "lang", F.col("mix_2").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
+        F.round("mix_probability", 8).alias("probability"), F.col("mix_sampled").alias("sampled"),
+    )
+
+
+def _op1_sql() -> str:
+    dims, steps = ("source", "lang", "topic"), []
+    for k in range(MIX_STEPS * 3):
+        d = dims[k % 3]
+        steps.append(f"w{k + 1} AS (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {d}) > 0 THEN weight * goal_{d} / sum(weight) OVER (PARTITION BY {d}) ELSE 0.0 END AS weight) FROM w{k})")
+    goals = ", ".join(f"{d}_t AS (SELECT {d}, CASE WHEN sum(tokens) > 0 THEN pow(CAST(sum(tokens) AS DOUBLE), {e}) ELSE 0.0 END AS s FROM cells GROUP BY 1), {d}_g AS (SELECT {d}, s / sum(s) OVER () * total AS goal_{d} FROM {d}_t, sums)" for d, e in zip(dims, MIX_TARGETS))
+    return rf"""
+WITH d AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens,
+  CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'notice' WHEN contains(lower(text), 'license') THEN 'licensed' WHEN length(coalesce(text, '')) < 600 THEN 'short' ELSE 'prose' END AS topic FROM documents),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL), sums AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total FROM cells), {goals},
+w0 AS (SELECT source, lang, topic, CAST(tokens AS DOUBLE) AS tokens, CAST(tokens AS DOUBLE) AS weight, goal_source, goal_lang, goal_topic FROM cells JOIN source_g USING (source) JOIN lang_g USING (lang) JOIN topic_g USING (topic)), {", ".join(steps)},
+r AS (SELECT *, tokens / weight AS ratio, sum(weight) OVER () AS w_all, coalesce(sum(tokens) OVER b, 0) AS t_before, coalesce(sum(weight) OVER b, 0) AS w_before FROM w{len(steps)} WHERE weight > 0
+  WINDOW b AS (ORDER BY tokens / weight, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT r.*, total * {MIX_KEEP} AS budget, t_before + ratio * (w_all - w_before) <= total * {MIX_KEEP} AS is_full FROM r, sums),
+p AS (SELECT source, lang, topic, CASE WHEN is_full THEN 1.0 ELSE least(1.0, (budget - coalesce(sum(CASE WHEN is_full THEN tokens END) OVER (), 0)) / (w_all - coalesce(sum(CASE WHEN is_full THEN weight END) OVER (), 0)) / ratio) END AS p FROM f)
+SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(CAST(coalesce(p, 0) AS DOUBLE), 8) AS probability,
+  CAST(CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < coalesce(p, 0) AS sampled
+FROM d LEFT JOIN p USING (source, lang, topic)
+"""
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = token_store.store(table(spark, sf_dir, "documents"), tokens.default_path())
     return token_store.checksums(rows)
@@ -23,6 +60,21 @@ def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.by_limit(token_lengths.lengths(table(spark, sf_dir, "documents"), tokens.default_path()))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component_key").alias("component_id"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY 1) USING (doc_id)
+"""
+
+
 #: lengths of windows are those of the benchmark's items, ten at most
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -54,8 +106,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_store": op2_token_store, "op7_token_lengths": op7_token_lengths, "op9_decontaminate": op9_decontaminate, "op10_quality_rules": op10_quality_rules}
+    return {"op1_mix_sources": op1_mix_sources, "op2_token_store": op2_token_store, "op7_token_lengths": op7_token_lengths, "op6_jaccard_join": op6_jaccard_join, "op9_decontaminate": op9_decontaminate, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": OP9_SQL}
+    return {"op1_mix_sources": _op1_sql(), "op6_jaccard_join": OP6_SQL, "op9_decontaminate": OP9_SQL}
