@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, jaccard_join, mixing, quality_rules, token_lengths, token_store, tokens
+from tidemark.llm import chat, decontaminate, jaccard_join, mixing, quality_rules, token_lengths, token_store, tokens, warc
+from tidemark.llm.shared import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,8 @@ def _op1_sql() -> str:
         steps.append(f"w{k + 1} AS (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {d}) > 0 THEN weight * goal_{d} / sum(weight) OVER (PARTITION BY {d}) ELSE 0.0 END AS weight) FROM w{k})")
     goals = ", ".join(f"{d}_t AS (SELECT {d}, CASE WHEN sum(tokens) > 0 THEN pow(CAST(sum(tokens) AS DOUBLE), {e}) ELSE 0.0 END AS s FROM cells GROUP BY 1), {d}_g AS (SELECT {d}, s / sum(s) OVER () * total AS goal_{d} FROM {d}_t, sums)" for d, e in zip(dims, MIX_TARGETS))
     return rf"""
-WITH d AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens,
+WITH d AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n_tokens,
   CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'notice' WHEN contains(lower(text), 'license') THEN 'licensed' WHEN length(coalesce(text, '')) < 600 THEN 'short' ELSE 'prose' END AS topic FROM documents),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL), sums AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total FROM cells), {goals},
 w0 AS (SELECT source, lang, topic, CAST(tokens AS DOUBLE) AS tokens, CAST(tokens AS DOUBLE) AS weight, goal_source, goal_lang, goal_topic FROM cells JOIN source_g USING (source) JOIN lang_g USING (lang) JOIN topic_g USING (topic)), {", ".join(steps)},
@@ -60,12 +62,45 @@ def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.by_limit(token_lengths.lengths(table(spark, sf_dir, "documents"), tokens.default_path()))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    formatted = stored(chat.render(rows.unionByName(own)), "chats")
+    return chat.read_back(formatted)
+
+
+def _op3_sql() -> str:
+    escaped = " + ".join(["2 * length(t) - length(replace(t, chr(92), ''))", *(f"(length(t) - length(replace(t, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)])
+    added = " ".join(f"WHEN '{r}' THEN {len(chat.inst_template([{'role': r, 'text': ''}]))}" for r in ("user", "assistant", "system"))
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({escaped} + CASE role {added} ELSE 11 + length(role) END) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS rewritten_at
+FROM c GROUP BY conv_id
+"""
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS m FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND m < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND m < page_id THEN m END AS refers_to FROM f
+"""
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component_key").alias("component_id"))
 
 
 OP6_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
@@ -106,8 +141,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_token_store": op2_token_store, "op7_token_lengths": op7_token_lengths, "op6_jaccard_join": op6_jaccard_join, "op9_decontaminate": op9_decontaminate, "op10_quality_rules": op10_quality_rules}
+    return {"op1_mix_sources": op1_mix_sources, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_token_lengths": op7_token_lengths, "op9_decontaminate": op9_decontaminate, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _op1_sql(), "op6_jaccard_join": OP6_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op1_mix_sources": _op1_sql(), "op3_chat_format": _op3_sql(), "op5_warc": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op9_decontaminate": OP9_SQL}
