@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, jaccard_join, mixing, quality_rules, token_lengths, token_store, tokens, warc
+from tidemark.llm import chat, decontaminate, jaccard_join, lm_score, mixing, quality_rules, token_lengths, token_store, tokens, warc
 from tidemark.llm.shared import stored
 
 
@@ -83,6 +83,10 @@ FROM c GROUP BY conv_id
 """
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -141,7 +145,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_token_lengths": op7_token_lengths, "op9_decontaminate": op9_decontaminate, "op10_quality_rules": op10_quality_rules}
+    return {"op1_mix_sources": op1_mix_sources, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_lm_score": op4_lm_score, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_token_lengths": op7_token_lengths, "op9_decontaminate": op9_decontaminate, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
