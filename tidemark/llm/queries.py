@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, jaccard_join, lm_score, mixing, quality_rules, token_lengths, token_store, tokens, warc
+from tidemark.llm import chat, decontaminate, jaccard_join, lm_score, mixing, quality_mil, quality_rules, token_lengths, token_store, tokens, warc
 from tidemark.llm.shared import stored
 
 
@@ -114,6 +114,11 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b)
 """
 
 
+def op8_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_mil.score(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
+
+
 #: lengths of windows are those of the benchmark's items, ten at most
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -145,7 +150,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_lm_score": op4_lm_score, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_token_lengths": op7_token_lengths, "op9_decontaminate": op9_decontaminate, "op10_quality_rules": op10_quality_rules}
+    return {"op1_mix_sources": op1_mix_sources, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_lm_score": op4_lm_score, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_token_lengths": op7_token_lengths, "op8_quality_mil": op8_quality_mil, "op9_decontaminate": op9_decontaminate, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
