@@ -149,8 +149,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_lm_score": op4_lm_score, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_token_lengths": op7_token_lengths, "op8_quality_mil": op8_quality_mil, "op9_decontaminate": op9_decontaminate, "op10_quality_rules": op10_quality_rules}
+    return {"pipeline": pipeline, "op1_mix_sources": op1_mix_sources, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_lm_score": op4_lm_score, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_token_lengths": op7_token_lengths, "op8_quality_mil": op8_quality_mil, "op9_decontaminate": op9_decontaminate, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
