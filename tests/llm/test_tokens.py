@@ -23,7 +23,7 @@ def plain(t):
     return Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids
 
 
-ODD = st.lists(st.sampled_from(list(" \n\t\r\xa0\x85\u3000é×日a'sB9-.!\x1c\x00\ufeff<|>") + ["<|endoftext|>", "  ", "'ll", "ñ "]), max_size=40).map("".join)
+ODD = st.lists(st.sampled_from(list(" \n\t\r\xa0\x85\u3000é×日a'sB9-.!\x1c\x00\ufeff<|>") + ["<|endoftext|>", "  ", "'ll", "ñ ", "×,", "a,b", "é.", "ab'd"]), max_size=40).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
