@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import aggregates, composites, joins, lake, models, ranking, scalars, scans, support, windows  # noqa: F401  they register their queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES, ORACLE = lake.QUERIES, lake.ORACLE
 FLAGSHIP = "Q8_annual_panel"
