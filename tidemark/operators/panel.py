@@ -11,6 +11,7 @@ from tidemark.functions.normalize import blank_to_null, form_key
 from tidemark.operators.audit import assert_known, assert_not_negative, assert_unique
 from tidemark.operators.facts import annual_order, year_over_year
 from tidemark.operators.temporal import asof_join, exists_ahead, first_by, window_counts, with_history
+from tidemark.sources.sinks import kept
 
 PERIOD_FORMS = ("10-K", "10-K/A", "10-Q", "10-Q/A", "20-F", "40-F")
 ANNUAL_FORMS, FOREIGN_FORMS = ("10-K", "10-K/A"), ("20-F", "40-F", "6-K")
@@ -107,7 +108,8 @@ def issuer_panel(filings: DataFrame, every: DataFrame, issuers: DataFrame) -> Da
 
 def build(filings: DataFrame, periods: DataFrame, threads: DataFrame, corrections: DataFrame, items: DataFrame, issuers: DataFrame, as_of: str, form_ap: DataFrame | None = None, engaged: DataFrame | None = None, histories: tuple[DataFrame, DataFrame] | None = None, features: DataFrame | None = None, notes: DataFrame | None = None, check: bool = True) -> tuple[DataFrame, DataFrame]:
     """The panel of all filings and the panel of issuers and years (Q8). Optional tables add their features."""
-    every = windowed(filing_base(filings, periods, as_of))
+    every = kept(windowed(filing_base(filings, periods, as_of)), "filings")
+    threads, corrections, items = kept(threads, "threads"), kept(corrections, "corrections"), kept(items, "items")
     f = every.filter(form_key("form").isin(*ANNUAL_FORMS))
     if form_ap is not None:
         f = f.join(form_ap_summary(f, form_ap), ["accession", "issuer_cik"], "left")
@@ -118,13 +120,13 @@ def build(filings: DataFrame, periods: DataFrame, threads: DataFrame, correction
             assert_not_negative(priors, [c for c in priors.columns if c.startswith("raw_")])
         priors = priors.drop(*(c for c in priors.columns if c.startswith("raw_"))).withColumnsRenamed({"issuer_cik": "_i", "accession": "_a"})
         f = f.join(priors, F.col("issuer_cik").eqNullSafe(F.col("_i")) & F.col("accession").eqNullSafe(F.col("_a")), "left").drop("_i", "_a")
-    f = history(late_notices(f, every), threads, corrections, items)
+    f = kept(history(kept(late_notices(f, every), "notices"), threads, corrections, items), "history")
     if features is not None:
         f = f.join(features, "accession", "left")
         f = year_over_year(f, {"revenues": "xbrl_value_revenues", "assets": "xbrl_value_assets"})
     if notes is not None:
         f = f.join(notes, "accession", "left")
-    panel = issuer_panel(labels(f, threads, corrections, items), every, issuers)
+    panel = kept(issuer_panel(kept(labels(f, threads, corrections, items), "labels"), every, issuers), "panel")
     if check:
         assert_unique(assert_known(panel, ["issuer_cik", "fiscal_year", "origin_date"]), ["issuer_cik", "fiscal_year"])
     return every, panel

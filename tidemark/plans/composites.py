@@ -1 +1,261 @@
-"""Queries."""
+"""Composite data flows (Q), each as a query with its oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import normalize as T
+from tidemark.operators import events as E
+from tidemark.operators import facts as X
+from tidemark.operators import labels as L
+from tidemark.operators import overlap as V
+from tidemark.operators import panel as P
+from tidemark.operators.temporal import exists_ahead, first_by, window_counts, with_history
+from tidemark.plans.joins import event_time
+from tidemark.plans.lake import AS_OF, duck, query, read, view
+from tidemark.plans.windows import BEST, SETTLED
+
+
+@query("Q8_annual_panel", """WITH w AS (SELECT *, date_diff('day', lag(o_orderdate) OVER v, o_orderdate) AS days_since_previous, row_number() OVER v - 1 AS prior_count FROM orders WINDOW v AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+h AS (SELECT w.*, (SELECT count(*) FROM orders e WHERE e.o_custkey = w.o_custkey AND e.o_orderstatus = 'F' AND e.o_orderdate >= w.o_orderdate - INTERVAL 365 DAY AND e.o_orderdate < w.o_orderdate) AS n_1y,
+  (SELECT count(*) FROM orders e WHERE e.o_custkey = w.o_custkey AND e.o_orderdate > w.o_orderdate AND e.o_orderdate <= w.o_orderdate + INTERVAL 365 DAY) AS n_ahead FROM w),
+r AS (SELECT *, year(o_orderdate) AS y, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderdate, o_orderkey) AS rn FROM h)
+SELECT o_custkey, y, o_orderkey, days_since_previous, prior_count, n_1y, CASE WHEN n_ahead > 0 THEN 1 ELSE 0 END AS label_365, CASE WHEN o_orderdate + INTERVAL 365 DAY > TIMESTAMP '1998-08-02' THEN 1 ELSE 0 END AS censored_365 FROM r WHERE rn = 1""")
+def q8(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    f = with_history(o, "o_custkey", "o_orderdate", "o_orderkey")
+    f = window_counts(f, o, "o_custkey", "o_orderdate", "o_orderdate", {"n_1y": (365, F.col("o_orderstatus") == "F")})
+    f = exists_ahead(f, o, "o_custkey", "o_orderdate", "o_orderdate", {"label_365": (365, None)})
+    f = f.withColumn("censored_365", P.D.censored("o_orderdate", F.lit("1998-08-02").cast("timestamp_ntz"))).withColumn("y", F.year("o_orderdate").cast("long"))
+    one = first_by(f, ["o_custkey", "y"], [F.when(F.col("o_orderstatus") == "F", 0).otherwise(1), F.col("o_orderdate").asc(), F.col("o_orderkey").asc()])
+    return one.select("o_custkey", "y", "o_orderkey", F.col("days_since_previous").cast("long").alias("days_since_previous"), F.col("prior_count").cast("long").alias("prior_count"), "n_1y", "label_365", "censored_365")
+
+
+THREADS = "tg AS (SELECT *, CASE WHEN coalesce(date_diff('day', lag(filing_date) OVER w, filing_date), 9999) > 120 THEN 1 ELSE 0 END AS new FROM filing WHERE form IN ('UPLOAD', 'CORRESP') WINDOW w AS (PARTITION BY issuer_cik ORDER BY filing_date, accession)), ts AS (SELECT *, sum(new) OVER (PARTITION BY issuer_cik ORDER BY filing_date, accession ROWS UNBOUNDED PRECEDING) AS seq FROM tg), thread AS (SELECT issuer_cik, concat(issuer_cik, '-', CAST(CAST(seq AS BIGINT) AS VARCHAR)) AS thread_id, min(filing_date) AS first_submission_date, max(filing_date) AS last_submission_date, count(*) FILTER (form = 'UPLOAD') AS upload_count, count(*) FILTER (form = 'CORRESP') AS corresp_count, count(DISTINCT accession) AS filing_count FROM ts GROUP BY ALL)"
+ITEMS = r"ic AS (SELECT *, lower(trim(coalesce(items, ''))) IN ('', 'nan', 'none', 'null') AS missing FROM filing WHERE form = '8-K'), item AS (SELECT DISTINCT issuer_cik, accession, filing_date AS public_date, report_date, item_code, concat('8k_item_', replace(item_code, '.', '_')) AS event_type, 0 AS item_metadata_missing FROM (SELECT *, unnest(regexp_extract_all(items, '(?i)(?:\bitem\s*)?([0-9]{1,2}\.[0-9]{2})', 1)) AS item_code FROM ic WHERE NOT missing) WHERE item_code IN ('3.01', '4.01', '4.02', '5.02') UNION ALL SELECT issuer_cik, accession, filing_date, report_date, NULL, 'item_metadata_missing', 1 FROM ic WHERE missing)"
+CORRECTIONS = r"correction AS (SELECT issuer_cik, accession, filing_date AS public_date, report_date, 'amendment_10x_a' AS correction_type, 'form' AS identified_from FROM filing WHERE form IN ('10-K/A', '10-Q/A') UNION ALL SELECT issuer_cik, accession, filing_date, report_date, 'nonreliance_8k_402', 'items_metadata' FROM filing WHERE form = '8-K' AND contains(items, '4.02') UNION ALL SELECT issuer_cik, accession, filing_date, report_date, 'revision_if_identifiable', 'revision_keyword' FROM filing WHERE form IN ('10-K', '10-Q', '10-K/A', '10-Q/A') AND (contains(lower(coalesce(primary_doc_description, '')), 'revision') OR contains(lower(coalesce(items, '')), 'revision')))"
+
+
+@query("Q1_comment_threads", f"WITH {duck('filing')}, {THREADS} SELECT * FROM thread")
+def q1(spark, sf):
+    return E.comment_threads(view(spark, sf, "filing"))
+
+
+@query("Q2_item_events", f"WITH {duck('filing')}, {ITEMS} SELECT *, replace(accession, '-', '') AS accession_nodash, 'items_metadata' AS identified_from FROM item")
+def q2(spark, sf):
+    return E.item_events(view(spark, sf, "filing"))
+
+
+_MONEY = "restat(e|ed|ement|ing)|correct(ed|ion|ing)?|error|misstatement|non-reliance|nonreliance|previously issued financial"
+AMENDMENTS = f"amendment AS (SELECT f.issuer_cik, f.accession, f.filing_date AS public_date, document_text LIKE '<p>%' AS money, coalesce(document_text LIKE '<p>%' OR document_text LIKE 'Intro%', false) AS noted, coalesce(primary_doc_description LIKE 'Part III%', false) AS admin FROM filing f LEFT JOIN amended_text t USING (accession) WHERE form IN ('10-K/A', '10-Q/A')), annotated AS (SELECT issuer_cik, accession, public_date, CASE WHEN money THEN 'non_admin_financial_correction' WHEN admin THEN 'admin_part_iii_proxy' ELSE 'broad_amendment_unclassified' END AS amendment_annotation, CASE WHEN money AND admin THEN 'mixed_content_classified_as_nonadmin' WHEN money THEN 'explanatory_note_financial_keyword' WHEN admin THEN 'admin_candidate_metadata' WHEN NOT noted THEN 'explanatory_note_missing' ELSE 'no_financial_keyword' END AS annotation_reason, CASE WHEN noted THEN 0 ELSE 1 END AS explanatory_note_missing FROM amendment)"
+
+
+@query("Q3_amendments", f"WITH {duck('filing', 'amended_text')}, {AMENDMENTS} SELECT * FROM annotated")
+def q3(spark, sf):
+    return E.amendments(view(spark, sf, "filing"), view(spark, sf, "amended_text")).select("issuer_cik", "accession", "public_date", "amendment_annotation", "annotation_reason", "explanatory_note_missing")
+
+
+@query("Q4_corrections", f"WITH {duck('filing')}, {CORRECTIONS} SELECT * FROM correction")
+def q4(spark, sf):
+    return E.corrections(view(spark, sf, "filing"))
+
+
+ENGAGED = "engaged AS (SELECT DISTINCT issuer_cik, fiscal_period_end, filing_date AS d, form_filing_id, trim(engagement_partner_id) AS partner FROM form_ap WHERE trim(engagement_partner_id) <> '')"
+RISKS = "risk AS (SELECT issuer_cik, public_date AS d, '8k_402' AS kind FROM item WHERE item_code = '4.02' UNION ALL SELECT issuer_cik, public_date, 'nonadmin_amendment' FROM annotated WHERE amendment_annotation = 'non_admin_financial_correction'), rn0 AS (SELECT *, row_number() OVER () AS id FROM risk), hit AS (SELECT r.id, r.issuer_cik, r.d, r.kind, e.partner, row_number() OVER (PARTITION BY r.id ORDER BY e.d DESC, e.partner) AS rn FROM rn0 r JOIN engaged e ON e.issuer_cik = r.issuer_cik AND e.d < r.d), day AS (SELECT partner, d, count(*) FILTER (kind = '8k_402') AS a, count(*) FILTER (kind = 'nonadmin_amendment') AS b FROM hit WHERE rn = 1 GROUP BY ALL), history AS (SELECT partner, d, CAST(sum(a) OVER w AS BIGINT) AS a, CAST(sum(b) OVER w AS BIGINT) AS b FROM day WINDOW w AS (PARTITION BY partner ORDER BY d)), day2 AS (SELECT partner, issuer_cik, d, count(*) FILTER (kind = '8k_402') AS a, count(*) FILTER (kind = 'nonadmin_amendment') AS b FROM hit WHERE rn = 1 GROUP BY ALL), history2 AS (SELECT partner, issuer_cik, d, CAST(sum(a) OVER w AS BIGINT) AS a, CAST(sum(b) OVER w AS BIGINT) AS b FROM day2 WINDOW w AS (PARTITION BY partner, issuer_cik ORDER BY d))"
+
+
+def _events(spark, sf):
+    f = view(spark, sf, "filing")
+    return f, E.comment_threads(f), E.corrections(f), E.item_events(f), E.amendments(f, view(spark, sf, "amended_text"))
+
+
+def _partners(spark, sf):
+    _, _, _, items, notes = _events(spark, sf)
+    engaged = E.engagements(view(spark, sf, "form_ap"))
+    return engaged, E.partner_histories(engaged, E.risk_events(items, notes))
+
+
+@query("Q5_partner_histories", f"WITH {duck('filing', 'amended_text', 'form_ap')}, {ITEMS}, {AMENDMENTS}, {ENGAGED}, {RISKS} SELECT partner AS engagement_partner_id, d AS event_date, a AS partner_prior_8k_402_count, b AS partner_prior_nonadmin_amendment_count, a + b AS partner_prior_total_count FROM history")
+def q5(spark, sf):
+    return _partners(spark, sf)[1][0]
+
+
+@query("Q6_fact_features", f"WITH {duck('fact')}, {SETTLED}, {BEST}, wide AS (SELECT adsh AS accession, " + ", ".join(f"max(CASE WHEN concept = '{c}' THEN CAST(value AS DOUBLE) END) AS {c}" for c in X.CONCEPTS) + " FROM ranked WHERE best = 1 GROUP BY adsh), c AS (SELECT * REPLACE (coalesce(working_capital, current_assets - current_liabilities) AS working_capital, CASE WHEN coalesce(debt, debt_current) IS NOT NULL THEN coalesce(debt, 0) + coalesce(debt_current, 0) END AS debt) FROM wide) SELECT accession, round(assets, 4) AS assets, round(working_capital, 4) AS working_capital, round(debt, 4) AS debt, CASE WHEN assets > 0 THEN round(ln(1 + assets), 6) END AS log_assets, round(liabilities / nullif(assets, 0), 6) AS leverage, round(net_income / nullif(assets, 0), 6) AS profitability, CASE WHEN revenues IS NOT NULL THEN 1 ELSE 0 END AS has_revenues FROM c")
+def q6(spark, sf):
+    x = X.features(view(spark, sf, "fact"))
+    r = lambda c, n, k=6: F.round(c, k).alias(n)
+    return x.select("accession", r("xbrl_value_assets", "assets", 4), r("xbrl_value_working_capital", "working_capital", 4), r("xbrl_value_debt", "debt", 4), r("xbrl_ratio_log_assets", "log_assets"), r("xbrl_ratio_leverage", "leverage"), r("xbrl_ratio_profitability", "profitability"), F.col("xbrl_coverage_revenues").alias("has_revenues"))
+
+
+_REF = "ref AS (SELECT issuer_cik, y, o_totalprice AS v FROM (SELECT *, row_number() OVER (PARTITION BY issuer_cik, y ORDER BY CASE upper(trim(form)) WHEN '10-K' THEN 0 WHEN '10-K/A' THEN 1 ELSE 99 END, filing_date NULLS LAST, acceptance_datetime NULLS LAST, upper(trim(form)), accession) AS rn FROM f WHERE upper(trim(form)) IN ('10-K', '10-K/A') AND y IS NOT NULL) WHERE rn = 1), l AS (SELECT issuer_cik, y, CASE WHEN lag(y) OVER w = y - 1 THEN lag(v) OVER w END AS pv FROM ref WINDOW w AS (PARTITION BY issuer_cik ORDER BY y))"
+
+
+@query("Q7_fact_changes", f"WITH {duck('filing')}, f AS (SELECT g.*, year(report_date) AS y, o_totalprice FROM filing g JOIN orders ON accession = concat('00-', lpad(CAST(o_orderkey AS VARCHAR), 8, '0'))), {_REF} SELECT f.accession, CASE WHEN upper(trim(form)) IN ('10-K', '10-K/A') AND pv <> 0 THEN round((o_totalprice - pv) / abs(pv), 6) END AS change, CASE WHEN upper(trim(form)) IN ('10-K', '10-K/A') AND pv <> 0 THEN 1 ELSE 0 END AS covered FROM f LEFT JOIN l ON l.issuer_cik = f.issuer_cik AND l.y = f.y")
+def q7(spark, sf):
+    o = read(spark, sf, "orders").select(F.concat(F.lit("00-"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("accession"), "o_totalprice")
+    f = view(spark, sf, "filing").join(o, "accession").withColumns({"fiscal_year": F.year("report_date"), "origin_date": F.col("filing_date")})
+    return X.year_over_year(f, {"price": "o_totalprice"}).select("accession", F.round("xbrl_ratio_price_yoy_change", 6).alias("change"), F.col("xbrl_coverage_price_yoy").alias("covered"))
+
+
+_H = ", ".join(f"(SELECT count(*) FROM ev WHERE ev.issuer_cik = f.issuer_cik AND ev.k = '{k}' AND ev.d >= f.filing_date - INTERVAL {n} DAY AND ev.d < f.filing_date) AS public_history_{k}_{s}_count" for k in ("comment_thread", "amendment", "8k_301", "8k_401", "8k_402", "8k_502") for s, n in (("1y", 365), ("3y", 1095)))
+EVENTS = "ev AS (SELECT issuer_cik, first_submission_date AS d, 'comment_thread' AS k FROM thread UNION ALL SELECT issuer_cik, public_date, 'amendment' FROM correction WHERE correction_type = 'amendment_10x_a' UNION ALL SELECT issuer_cik, public_date, concat('8k_', replace(item_code, '.', '')) FROM item WHERE item_code IS NOT NULL UNION ALL SELECT issuer_cik, public_date, 'unknown' FROM item WHERE item_metadata_missing = 1)"
+
+
+@query("Q9_history_counts", f"WITH {duck('filing')}, {THREADS}, {ITEMS}, {CORRECTIONS}, {EVENTS} SELECT accession, {_H} FROM filing f")
+def q9(spark, sf):
+    f, threads, corrections, items, _ = _events(spark, sf)
+    f = f.select("accession", "issuer_cik", F.col("filing_date").alias("origin_date"))
+    return P.history(f, threads, corrections, items).drop("issuer_cik", "origin_date")
+
+
+_AHEAD = lambda k: f"EXISTS (SELECT 1 FROM ev WHERE ev.issuer_cik = f.issuer_cik AND ev.k = '{k}' AND ev.d > f.filing_date AND ev.d <= f.filing_date + INTERVAL 365 DAY)"
+LABELS = f"CASE WHEN {_AHEAD('comment_thread')} THEN 1 ELSE 0 END AS label_comment_thread_365, CASE WHEN {_AHEAD('amendment')} THEN 1 ELSE 0 END AS label_amendment_365, CASE WHEN {_AHEAD('8k_402')} THEN 1 WHEN {_AHEAD('unknown')} THEN NULL ELSE 0 END AS label_8k_402_365, CASE WHEN {_AHEAD('8k_402')} THEN 0 WHEN {_AHEAD('unknown')} THEN 1 ELSE 0 END AS k402_item_metadata_unknown_365, CASE WHEN f.filing_date + INTERVAL 365 DAY > TIMESTAMP '{AS_OF}' THEN 1 ELSE 0 END AS censored_365"
+
+
+@query("Q10_labels", f"WITH {duck('filing')}, {THREADS}, {ITEMS}, {CORRECTIONS}, {EVENTS} SELECT accession, {LABELS} FROM filing f")
+def q10(spark, sf):
+    f, threads, corrections, items, _ = _events(spark, sf)
+    f = f.select("accession", "issuer_cik", F.col("filing_date").alias("origin_date"), F.lit(AS_OF).cast("timestamp_ntz").alias("as_of_date"))
+    return P.labels(f, threads, corrections, items).drop("issuer_cik", "origin_date", "as_of_date")
+
+
+@query("Q11_partner_priors", f"WITH {duck('filing', 'amended_text', 'form_ap')}, {ITEMS}, {AMENDMENTS}, {ENGAGED}, {RISKS}, g AS (SELECT f.accession, f.issuer_cik, f.filing_date, e.partner, row_number() OVER (PARTITION BY f.accession ORDER BY e.d DESC NULLS LAST, e.partner) AS rn FROM filing f LEFT JOIN engaged e ON e.issuer_cik = f.issuer_cik AND e.d < f.filing_date), x AS (SELECT g.*, coalesce((SELECT max(h.a) FROM history h WHERE h.partner = g.partner AND h.d < g.filing_date), 0) - coalesce((SELECT max(h.a) FROM history2 h WHERE h.partner = g.partner AND h.issuer_cik = g.issuer_cik AND h.d < g.filing_date), 0) AS a, coalesce((SELECT max(h.a + h.b) FROM history h WHERE h.partner = g.partner AND h.d < g.filing_date), 0) - coalesce((SELECT max(h.a + h.b) FROM history2 h WHERE h.partner = g.partner AND h.issuer_cik = g.issuer_cik AND h.d < g.filing_date), 0) AS t FROM g WHERE rn = 1) SELECT accession, greatest(a, 0) AS other_402, greatest(t, 0) AS other_total FROM x")
+def q11(spark, sf):
+    engaged, (one, two) = _partners(spark, sf)
+    f = view(spark, sf, "filing").withColumn("origin_date", F.col("filing_date"))
+    out = P.partner_priors(f, engaged, one, two)
+    return out.select("accession", F.col("auditor_partner_prior_other_issuer_8k_402_count").alias("other_402"), F.col("auditor_partner_prior_other_issuer_total_count").alias("other_total"))
+
+
+@query("Q8_full_panel", f"WITH {duck('filing', 'period', 'issuer')}, {THREADS}, {ITEMS}, {CORRECTIONS}, {EVENTS}, b AS (SELECT f.*, CAST(year(CASE WHEN upper(trim(form)) IN ('10-K', '10-K/A', '10-Q', '10-Q/A', '20-F', '40-F') THEN coalesce(report_date, fsds_fiscal_period_end) END) AS INTEGER) AS fiscal_year, row_number() OVER (PARTITION BY issuer_cik ORDER BY filing_date, accession) - 1 AS prior_filing_count FROM filing f LEFT JOIN period USING (accession)), foreigner AS (SELECT DISTINCT issuer_cik, coalesce(fiscal_year, CAST(year(report_date) AS INTEGER)) AS y FROM b WHERE form = '20-F'), r AS (SELECT f.*, row_number() OVER (PARTITION BY issuer_cik, fiscal_year ORDER BY CASE upper(trim(form)) WHEN '10-K' THEN 0 WHEN '10-K/A' THEN 1 ELSE 99 END, filing_date, acceptance_datetime NULLS LAST, upper(trim(form)), accession) AS rn FROM b f WHERE upper(trim(form)) IN ('10-K', '10-K/A') AND fiscal_year IS NOT NULL) SELECT f.issuer_cik, f.fiscal_year, f.accession, f.prior_filing_count, (SELECT count(*) FROM ev WHERE ev.issuer_cik = f.issuer_cik AND ev.k = 'comment_thread' AND ev.d >= f.filing_date - INTERVAL 1095 DAY AND ev.d < f.filing_date) AS threads_3y, {LABELS}, CASE WHEN x.y IS NULL THEN 1 ELSE 0 END AS is_domestic, entity_name, sic FROM r f LEFT JOIN foreigner x ON x.issuer_cik = f.issuer_cik AND x.y = f.fiscal_year LEFT JOIN issuer i ON i.issuer_cik = f.issuer_cik WHERE rn = 1")
+def q8_full(spark, sf):
+    f, threads, corrections, items, _ = _events(spark, sf)
+    _, panel = P.build(f, view(spark, sf, "period"), threads, corrections, items, view(spark, sf, "issuer"), AS_OF)
+    return panel.select("issuer_cik", "fiscal_year", "accession", F.col("prior_filing_count").cast("long").alias("prior_filing_count"), F.col("public_history_comment_thread_3y_count").alias("threads_3y"), "label_comment_thread_365", "label_amendment_365", "label_8k_402_365", "k402_item_metadata_unknown_365", "censored_365", F.col("is_domestic_us_gaap_proxy").alias("is_domestic"), "entity_name", "sic")
+
+
+# a link table made from suppliers and customers: firms are suppliers, issuers customers of their nation
+LINKS = "SELECT CASE WHEN s_suppkey % 9 = 0 THEN 'name mismatch' ELSE 'valid' END AS link_desc, CASE WHEN s_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS source, concat(CAST(c_custkey AS {s}), '.0') AS cik, CAST(s_suppkey AS {s}) AS gvkey, CAST(CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE make_date(1992 + CAST(c_custkey % 5 AS INT), 3, 1) END AS DATE) AS sec_start_date, make_date(1997, 6, 30) AS sec_end_date, make_date(1993, 1, 1) AS link_start_date, CAST(CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE make_date(1993 + CAST(c_custkey % 4 AS INT), 12, 31) END AS DATE) AS link_end_date FROM {sup} JOIN {cus} ON s_nationkey = c_nationkey WHERE c_custkey % 10 = s_suppkey % 10"
+
+
+def links(spark, sf):
+    return spark.sql(LINKS.format(s="STRING", sup=f"parquet.`{sf}/supplier.parquet`", cus=f"parquet.`{sf}/customer.parquet`"))
+
+
+LINK_SQL = f"link AS ({LINKS.format(s='VARCHAR', sup='supplier', cus='customer')}), span AS (SELECT *, greatest(sec_start_date, link_start_date) AS a, least(sec_end_date, link_end_date) AS b FROM link WHERE link_desc = 'valid'), yr AS (SELECT gvkey, lpad(replace(cik, '.0', ''), 10, '0') AS issuer_cik, source, unnest(range(year(a), year(b) + 1)) AS data_year FROM span WHERE a <= b), annual AS (SELECT gvkey, CAST(data_year AS INTEGER) AS data_year, issuer_cik, string_agg(DISTINCT CASE source WHEN 'A' THEN 'wrds_a' ELSE 'wrds_b' END, ';' ORDER BY CASE source WHEN 'A' THEN 'wrds_a' ELSE 'wrds_b' END) AS source FROM yr GROUP BY ALL)"
+
+
+@query("Q12_annual_links", f"WITH {LINK_SQL} SELECT * FROM annual")
+def q12(spark, sf):
+    return V.annual_links(links(spark, sf), wanted="valid", names={"A": "wrds_a", "B": "wrds_b"}).select("gvkey", "data_year", "issuer_cik", "source")
+
+
+@query("Q13_crosswalk_ranges", "WITH x AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS gvkey, lpad(CAST(s_suppkey + 7 AS VARCHAR), 10, '0') AS issuer_cik, unnest(range(greatest(1990 + s_suppkey % 6, 1993), least(coalesce(CASE WHEN s_suppkey % 4 <> 0 THEN 1996 + s_suppkey % 3 END, 1997), 1997) + 1)) AS y FROM supplier) SELECT gvkey, issuer_cik, CAST(y AS INTEGER) AS data_year FROM x")
+def q13(spark, sf):
+    s = read(spark, sf, "supplier")
+    raw = s.select(F.col("s_suppkey").cast("string").alias("gvkey"), (F.col("s_suppkey") + 7).alias("issuer_cik"), (1990 + F.col("s_suppkey") % 6).alias("first_year"), F.when(F.col("s_suppkey") % 4 != 0, 1996 + F.col("s_suppkey") % 3).alias("last_year"))
+    years = spark.range(1993, 1998).select(F.col("id").cast("int").alias("data_year"))
+    return V.annual_crosswalk(raw, years, clamp=True)
+
+
+_KEYS = "k AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS issuer_cik, CAST(year(o_orderdate) AS INTEGER) AS data_year, count(*) AS n, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS label, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders GROUP BY ALL)"
+
+
+def public_panel(spark, sf):
+    o = read(spark, sf, "orders")
+    return o.select(F.col("o_custkey").alias("issuer_cik"), F.year("o_orderdate").alias("fiscal_year"), F.col("o_orderdate").alias("origin_date"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"))
+
+
+@query("Q14_public_overlap", f"WITH {LINK_SQL}, {_KEYS} SELECT count(*) AS links, count(k.n) AS public_links, count(DISTINCT gvkey) AS firms, count(DISTINCT CASE WHEN k.n IS NOT NULL THEN gvkey END) AS public_firms FROM annual LEFT JOIN k USING (issuer_cik, data_year)")
+def q14(spark, sf):
+    a = V.annual_links(links(spark, sf), wanted="valid")
+    k = V.public_annual(public_panel(spark, sf), ["label"]).select("issuer_cik", "data_year", F.lit(1).alias("hit"))
+    return a.join(k, ["issuer_cik", "data_year"], "left").agg(F.count("*").alias("links"), F.count("hit").alias("public_links"), F.countDistinct("gvkey").alias("firms"), F.countDistinct(F.when(F.col("hit") == 1, F.col("gvkey"))).alias("public_firms"))
+
+
+@query("Q15_bridge_probe", "WITH r AS (SELECT s_suppkey AS raw_row_id, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS v FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey > 0), c AS (SELECT raw_row_id, v AS issuer_cik FROM r JOIN customer ON v = lpad(CAST(c_custkey AS VARCHAR), 10, '0')) SELECT CASE WHEN (SELECT count(*) FROM c) > 0 THEN 'candidate_crosswalk_available' ELSE 'no_candidate_matches' END AS status, (SELECT count(*) FROM c) AS candidates, (SELECT count(DISTINCT raw_row_id) FROM c) AS matched_rows, (SELECT count(*) FROM (SELECT raw_row_id FROM c GROUP BY 1 HAVING count(DISTINCT issuer_cik) > 1)) AS ambiguous_rows")
+def q15(spark, sf):
+    raw = read(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("raw_row_id"), F.lit("cik").alias("match_type"), T.cik("s_suppkey").alias("match_value"))
+    public = V.identifiers(read(spark, sf, "customer").select(F.col("c_custkey").alias("issuer_cik"), F.lit("[]").alias("tickers_json"), F.col("c_name").alias("entity_name")))
+    c = V.match(raw, public).groupBy("raw_row_id").agg(F.countDistinct("issuer_cik").alias("n"), F.count("*").alias("rows"))
+    out = c.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("candidates"), F.count("*").alias("matched_rows"), F.count_if(F.col("n") > 1).alias("ambiguous_rows"))
+    return out.withColumn("status", F.when(F.col("candidates") > 0, "candidate_crosswalk_available").otherwise("no_candidate_matches"))
+
+
+def _overlap(spark, sf):
+    raw = read(spark, sf, "supplier").withColumn("data_year", F.explode(F.array(*(F.lit(y) for y in range(1993, 1998)))))
+    raw = raw.select(F.concat_ws("-", F.col("s_suppkey").cast("string"), F.col("data_year").cast("string")).alias("raw_row_id"), F.col("s_suppkey").cast("string").alias("gvkey"), "data_year", (F.col("s_suppkey") % 2).cast("int").alias("benchmark_label"))
+    j = V.bridge(raw, V.annual_links(links(spark, sf), wanted="valid"), V.public_annual(public_panel(spark, sf), ["label"]), ["label"])
+    return j, V.tiers(j)
+
+
+OVERLAP = f"{LINK_SQL}, {_KEYS}, raw AS (SELECT concat(CAST(s_suppkey AS VARCHAR), '-', CAST(y AS VARCHAR)) AS raw_row_id, CAST(s_suppkey AS VARCHAR) AS gvkey, CAST(y AS INTEGER) AS data_year, CAST(s_suppkey % 2 AS INTEGER) AS benchmark_label FROM supplier CROSS JOIN range(1993, 1998) t(y)), j AS (SELECT raw.*, annual.issuer_cik, coalesce(k.n, 0) AS n, k.label, k.first, k.last FROM raw LEFT JOIN annual USING (gvkey, data_year) LEFT JOIN k ON k.issuer_cik = annual.issuer_cik AND k.data_year = raw.data_year), t AS (SELECT raw_row_id, count(DISTINCT issuer_cik) AS c, sum(n) AS p FROM j GROUP BY 1), tier AS (SELECT *, CASE WHEN c = 0 OR p = 0 THEN 'dropped' WHEN c = 1 AND p = 1 THEN 'high_confidence' ELSE 'ambiguous' END AS bridge_tier, CASE WHEN c = 0 THEN 'no_bridge_match' WHEN p = 0 THEN 'no_public_match' WHEN c > 1 THEN 'multiple_ciks' WHEN p > 1 THEN 'multiple_public_rows' ELSE 'one_to_one' END AS reason_code FROM t)"
+
+
+@query("Q16_overlap_tiers", f"WITH {OVERLAP} SELECT bridge_tier, reason_code, count(*) AS n FROM tier GROUP BY ALL")
+def q16(spark, sf):
+    return _overlap(spark, sf)[1].groupBy("bridge_tier", "reason_code").agg(F.count("*").alias("n"))
+
+
+@query("Q16_overlap_panel", f"WITH {OVERLAP} SELECT j.raw_row_id, bridge_tier, CAST(c AS BIGINT) AS issuer_cik_count, CAST(p AS BIGINT) AS public_row_count, string_agg(DISTINCT issuer_cik, ';' ORDER BY issuer_cik) AS issuer_ciks, min(j.first) AS origin_date_min, max(j.last) AS origin_date_max, CAST(coalesce(max(label), 0) AS INTEGER) AS label, min(benchmark_label) AS benchmark_label FROM j JOIN tier USING (raw_row_id) GROUP BY ALL")
+def q16_panel(spark, sf):
+    j, t = _overlap(spark, sf)
+    return V.overlap_panel(j, t, ["label"], ["benchmark_label"]).drop("gvkey", "data_year")
+
+
+@query("Q18_event_time", "WITH p AS (SELECT o_custkey AS k, year(o_orderdate) AS y, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS v FROM orders GROUP BY ALL), j AS (SELECT a.k, a.y AS y0, r AS rel, b.v FROM p a CROSS JOIN range(-3, 4) t(r) JOIN p b ON b.k = a.k AND b.y = a.y + r), f AS (SELECT k, y0 FROM j GROUP BY ALL HAVING count(DISTINCT rel) = 7) SELECT CAST(rel AS INTEGER) AS rel, count(*) AS n, round(avg(v), 6) AS rate FROM j JOIN f USING (k, y0) GROUP BY rel")
+def q18(spark, sf):
+    p = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y")).agg(F.max(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("v"))
+    return event_time(p, p, "k", "y", "v").withColumn("rate", F.round("rate", 6))
+
+
+@query("Q19_proxy_coverage", "SELECT count(*) AS n, count(*) FILTER (quality = 0) AS positives, count(*) FILTER (quality = 0 AND toxic = 1) AS positives_with_proxy, round((count(*) FILTER (quality = 0 AND toxic = 1)) / nullif(count(*) FILTER (quality = 0), 0), 6) AS rate FROM labels")
+def q19(spark, sf):
+    pos, hit = F.count_if(F.col("quality") == 0), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1))
+    return read(spark, sf, "labels").agg(F.count("*").alias("n"), pos.alias("positives"), hit.alias("positives_with_proxy"), F.round(F.try_divide(hit, pos), 6).alias("rate"))
+
+
+@query("Q20_evidence", f"WITH {LINK_SQL} SELECT count(DISTINCT source) FILTER (source NOT IN ('A')) AS unknown_sources, coalesce(string_agg(DISTINCT source, ';' ORDER BY source) FILTER (source NOT IN ('A')), '') AS unknown, CASE WHEN count(*) FILTER (source NOT IN ('A')) = 0 THEN 'documented' ELSE 'unverified' END AS evidence_tier FROM yr")
+def q20(spark, sf):
+    return V.evidence(V.annual_links(links(spark, sf), wanted="valid"), ["A"])
+
+
+BENCH = "b AS (SELECT c_custkey AS firm, CAST(1993 + o % 5 AS INTEGER) AS data_year, CASE WHEN (c_custkey + o) % 4 = 0 THEN 1 ELSE 0 END AS y, CASE WHEN (c_custkey + o) % 8 = 0 THEN CAST((c_custkey + o) % 3 AS INTEGER) END AS lag FROM customer CROSS JOIN range(5) t(o))"
+
+
+def bench(spark, sf):
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("firm"), F.explode(F.array(*(F.lit(i) for i in range(5)))).alias("o"))
+    k = F.col("firm") + F.col("o")
+    c = c.select("firm", (1993 + F.col("o") % 5).cast("int").alias("data_year"), F.when(k % 4 == 0, 1).otherwise(0).alias("y"), F.when(k % 8 == 0, (k % 3).cast("int")).alias("lag"))
+    return c.withColumns({f"res_an{i}": F.when(F.col("lag") == i, 1).otherwise(0) for i in range(4)})
+
+
+@query("Q21_detection_proxy", f"WITH {BENCH} SELECT firm, data_year, CASE WHEN y = 1 AND lag IS NOT NULL THEN data_year + lag END AS proxy FROM b")
+def q21(spark, sf):
+    return L.with_detection_year(bench(spark, sf), "data_year", "y", [f"res_an{i}" for i in range(4)]).select("firm", "data_year", F.col("detection_year_proxy").alias("proxy"))
+
+
+@query("Q22_timing_coverage", f"WITH {BENCH} SELECT data_year, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, count(*) FILTER (y = 1 AND lag IS NOT NULL) AS timed, round((count(*) FILTER (y = 1 AND lag IS NOT NULL)) / nullif(sum(y), 0), 6) AS rate FROM b GROUP BY 1")
+def q22(spark, sf):
+    return L.timing_coverage(L.with_detection_year(bench(spark, sf), "data_year", "y", [f"res_an{i}" for i in range(4)]), "data_year", "y").withColumn("rate", F.round("rate", 6))
+
+
+@query("Q23_label_maturation", f"WITH {BENCH}, p AS (SELECT *, CASE WHEN y = 1 AND lag IS NOT NULL THEN data_year + lag END AS d FROM b WHERE data_year <= 1995) SELECT 'naive' AS mode, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM p UNION ALL SELECT 'proxy_drop_observed', count(*), CAST(sum(CASE WHEN d > 1995 THEN 0 ELSE y END) AS BIGINT) FROM p WHERE NOT (y = 1 AND d IS NULL) UNION ALL SELECT 'proxy_imputed_lag_1y', count(*), CAST(sum(CASE WHEN y = 1 AND coalesce(d, data_year + 1) > 1995 THEN 0 ELSE y END) AS BIGINT) FROM p")
+def q23(spark, sf):
+    d = L.with_detection_year(bench(spark, sf), "data_year", "y", [f"res_an{i}" for i in range(4)]).filter("data_year <= 1995")
+    out = None
+    for mode in ("naive", "proxy_drop_observed", "proxy_imputed_lag_1y"):
+        m = L.matured(d, mode, 1995, "data_year", "y").agg(F.count("*").alias("n"), F.sum("y_train").cast("long").alias("positives")).select(F.lit(mode).alias("mode"), "n", "positives")
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("Q24_profile", "SELECT 'l_quantity' AS column_name, round(avg(CASE WHEN l_quantity IS NULL THEN 1 ELSE 0 END), 6) AS missing_rate, round(avg(CASE WHEN try_cast(CAST(l_quantity AS VARCHAR) AS DOUBLE) IS NOT NULL THEN 1 ELSE 0 END), 6) AS numeric_rate, 'numeric' AS role FROM lineitem UNION ALL SELECT 'l_returnflag', 0, 0, 'categorical'")
+def q24(spark, sf):
+    return L.prep_schema(read(spark, sf, "lineitem"), ["l_quantity", "l_returnflag"]).select("column_name", F.round("missing_rate", 6).alias("missing_rate"), F.round("numeric_rate", 6).alias("numeric_rate"), "role")
+
+
+@query("Q25_diagnostics_refresh", "SELECT l.doc_id, quality, lang, CASE WHEN lang IS NULL THEN 'stale' ELSE 'fit' END AS status FROM labels l LEFT JOIN (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0) d USING (doc_id)")
+def q25(spark, sf):
+    meta = read(spark, sf, "documents").filter("doc_id % 2 = 0").select("doc_id", "lang")
+    return read(spark, sf, "labels").select("doc_id", "quality").join(meta, "doc_id", "left").withColumn("status", F.when(F.col("lang").isNull(), "stale").otherwise("fit"))

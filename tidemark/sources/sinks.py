@@ -18,6 +18,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a stored table: what several later steps read is computed once, and their plans start from it (J2 on)."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", order: Sequence[str] = (), one_file: bool = False, partition_by: Sequence[str] = ()) -> str:
     """Parquet (zstd) or CSV (gzip), ordered on request (K1, K2, K3, O2). With one_file the table must be small."""
     if order:
