@@ -102,15 +102,16 @@ def test_components(spark):
         if a != b:
             a, b = top(a), top(b)
             up[max(a, b)] = min(a, b)
-    got = {x.node: x.label for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {x: top(x) for x in up}
+    for at_once in (10**6, 0):
+        got = [(x.node, x.label) for x in components(spark.createDataFrame(links, "a long, b long").repartition(3), at_once).collect()]
+        assert sorted(got) == sorted((x, top(x)) for x in up)
 
 
-@pytest.mark.parametrize("seed,tile,rows_sent", [(3, 512, 10**6), (4, 4, 0)])
-def test_join_equals_brute_force(spark, seed, tile, rows_sent):
+@pytest.mark.parametrize("seed,tile,rows_sent,at_once", [(3, 512, 10**6, 10**6), (4, 4, 0, 10**6), (6, 6, 10**6, 0)])
+def test_join_equals_brute_force(spark, seed, tile, rows_sent, at_once):
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n string")
-    got = J.join(df, tile=tile, broadcast_rows=rows_sent).collect()
+    got = J.join(df, tile=tile, broadcast_rows=rows_sent, at_once=at_once).collect()
     order = lambda x: tuple((v is None, v or 0) for v in x)
     assert sorted(((r.key, r.n, r.component_key) for r in got), key=order) == sorted(brute(rows), key=order)
 

@@ -1,18 +1,58 @@
-"""Connected components of a link table, by alternating large and small stars."""
+"""Connected components of a link table.
+
+Each task first reduces its links to a spanning forest. If what is left is at most `at_once` links, one task
+joins the forests (some 50 bytes a link); beyond that, alternating large and small stars run over all machines.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import stored
 
+AT_ONCE = 2_000_000
+
+
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links and the least node of each one's component."""
+    node, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = np.arange(len(node))
+    a, b = place[: len(a)], place[len(a) :]
+    while len(a):
+        low, high = np.minimum(up[a], up[b]), np.maximum(up[a], up[b])
+        live = low < high
+        a, b, low, high = a[live], b[live], low[live], high[live]
+        np.minimum.at(up, high, low)
+        while (up != up[up]).any():
+            up = up[up]
+    return node, node[up]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for x in batches:
+        a, b = _least(np.concatenate([a, x.column(0).to_numpy()]), np.concatenate([b, x.column(1).to_numpy()]))
+        a, b = a[a != b], b[a != b]
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in _forest(batches):
+        a, b = x.column(0).to_numpy(), x.column(1).to_numpy()
+        root = np.unique(b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, root])), pa.array(np.concatenate([b, root]))], names=["node", "label"])
+
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, label (the least node of its component) for all nodes of links(a, b). Nothing but two numbers
-    a round reaches the driver; each round is written to the shared folder. Hubs are met by aggregates
-    before any join, so a round costs what the links do."""
-    edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+def components(links: DataFrame, at_once: int = AT_ONCE, rounds: int = 60) -> DataFrame:
+    """node, label (the least node of its component) for all nodes of links(a, b). No link or label reaches the driver."""
+    edges = stored(links.filter("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long"), "links")
+    if edges.count() <= at_once:
+        return stored(edges.repartition(1).mapInArrow(_labels, "node long, label long"), "labels")
     last = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

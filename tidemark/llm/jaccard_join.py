@@ -7,7 +7,8 @@ part. A streaming pass over sorted part hashes gives stars, and their components
 which no link can be. In a cluster, sets become tiles by size; hashed bitmaps bound the overlap of two sets
 from above by counting bits, and what remains is decided by intersecting sorted arrays. Only links that
 join something new are kept. Clusters above `tile` sets are first tried against their most copied members,
-then all pairs of tiles between different components are compared, each in its own task.
+then all pairs of tiles between different components are compared, each in its own task. (Up to
+`broadcast_rows` candidates, their ids are broadcast to pick their texts; beyond that they are joined by a shuffle.)
 
 Null and empty texts, and those without words, have empty sets and are linked with nothing. A text with
 fewer words than a shingle has its whole sequence as its only one. Repeated rows, also of one doc_id, are
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.components import components
+from tidemark.llm.components import AT_ONCE, components
 from tidemark.llm.shared import small_batches, stored
 
 SHINGLE, PERCENT, TILE, BROADCAST_ROWS = 3, 90, 512, 1_000_000
@@ -211,29 +212,26 @@ def _checked_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS, at_once: int = AT_ONCE) -> DataFrame:
     """row, key, n, cid of every row, its component (a class in it; null for empty sets) and that component's least key (component_key), for links of percent or more."""
     small_batches(docs.sparkSession)
     rows = stored(sets_of(docs, key, text, k, percent), "sets")
-    clash = rows.groupBy("cid").agg((F.min("chk") != F.max("chk")).alias("x")).filter("x").limit(1).count()
-    if clash:
+    classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("key").alias("least"), (F.min("chk") != F.max("chk")).alias("clash"))
+    classes = stored(classes, "classes")
+    if classes.filter("clash").limit(1).count():
         raise RuntimeError("two sets share a 64-bit hash; change the salt of _identity")
-    links = _links(docs, rows, text, k, percent, tile, broadcast_rows)
-    label = components(links)
-    least = rows.filter("cid is not null").groupBy("cid").agg(F.min("key").alias("least"))
-    named = least.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    whole = named.filter("label <> cid").unionByName(named.filter("label = cid")).groupBy("label").agg(F.min("least").alias("component_key"))
-    by_class = named.join(whole, "label").select("cid", F.col("label").alias("component"), "component_key")
+    label = components(_links(docs, rows, classes, text, k, percent, tile, broadcast_rows, at_once), at_once)
+    named = classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("label", "cid").alias("component"))
+    whole = named.groupBy("component").agg(F.min("least").alias("component_key"))
+    by_class = named.join(whole, "component").select("cid", "component", "component_key")
     return rows.select("row", "key", "n", "cid").join(by_class, "cid", "left").withColumn("component_key", F.when(F.col("cid").isNull(), F.col("key")).otherwise(F.col("component_key")))
 
 
-def _links(docs: DataFrame, rows: DataFrame, text: str, k: int, percent: int, tile: int, broadcast_rows: int) -> DataFrame:
+def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, text: str, k: int, percent: int, tile: int, broadcast_rows: int, at_once: int) -> DataFrame:
     sig = rows.select(F.explode("sigs").alias("sig"), "cid")
-    stars = stored(sig.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_stars, "a long, b long").distinct(), "stars")
-    clusters = stored(components(stars), "clusters")
+    clusters = components(sig.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_stars, "a long, b long"), at_once)
     size = clusters.groupBy("label").agg(F.count("*").alias("size"))
-    copies = rows.filter("cid is not null").groupBy("cid").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
-    nodes = stored(clusters.join(size, "label").join(copies, clusters["node"] == copies["cid"]).select("cid", "row", "copies", "label", "size"), "nodes")
+    nodes = stored(clusters.withColumnRenamed("node", "cid").join(size, "label").join(classes, "cid").select("cid", "row", "copies", "label", "size"), "nodes")
     count, largest = nodes.agg(F.count("*"), F.max("size")).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,16 +276,12 @@ def _links(docs: DataFrame, rows: DataFrame, text: str, k: int, percent: int, ti
     links = stored(few.mapInArrow(by_cluster, "a long, b long"), "tile-links")
     if largest is not None and largest > tile:
         big = nodes.filter(F.col("size") > tile)
-        links = links.unionByName(_big_links(stored(sets.join(_checked_broadcast(big.select("cid", "label", "copies"), count, broadcast_rows), "cid"), "big-sets"), percent, tile))
+        links = links.unionByName(_big_links(stored(sets.join(_checked_broadcast(big.select("cid", "label", "copies"), count, broadcast_rows), "cid"), "big-sets"), percent, tile, at_once))
     return links
 
 
-def _big_links(sets: DataFrame, percent: int, tile: int, rounds: int = 3) -> DataFrame:
+def _big_links(sets: DataFrame, percent: int, tile: int, at_once: int, lead_bytes: int = 32 << 20) -> DataFrame:
     """Links within clusters above the size of a tile. sets: cid, shingles, label (the cluster), copies."""
-    spark = sets.sparkSession
-    state = sets.select("cid", "label", "copies", F.col("cid").alias("part"), F.lit(False).alias("led"))
-    links = None
-
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -297,31 +291,25 @@ def _big_links(sets: DataFrame, percent: int, tile: int, rounds: int = 3) -> Dat
                 keep.append((100 + percent) * overlap_bound(len(x), bits[0], np.array([len(y)]), bits[1:])[0] >= percent * (len(x) + len(y)) and linked(x, [y], percent)[0])
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-    for _ in range(rounds):
-        # the most copied set, outside of its cluster's largest part so far, is tried against all sets of other parts
-        part = state.groupBy("label", "part").agg(F.count("*").alias("m"), F.max(F.when(~F.col("led"), F.struct("copies", "cid"))).alias("best"))
-        most = part.groupBy("label").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts"))
-        lead = part.join(most.filter("parts > 1"), "label").filter("best is not null and (part <> top.part or m = 1)").groupBy("label").agg(F.max("best").alias("best"), F.max_by("part", "best").alias("lead_part"))
-        lead = lead.select("label", F.col("best.cid").alias("lead"), "lead_part").join(sets.select(F.col("cid").alias("lead"), F.col("shingles").alias("lead_shingles")), "lead")
-        lead = stored(lead, "leads")
-        if lead.limit(1).count() == 0:
-            break
-        tried = state.join(lead.select("label", "lead", "lead_part"), "label").filter("part <> lead_part").select("cid", "lead")
-        got = tried.join(sets.select("cid", "shingles"), "cid").join(lead.select("lead", "lead_shingles"), "lead").select(F.col("lead").alias("a"), F.col("cid").alias("b"), "lead_shingles", "shingles")
-        got = stored(got.mapInArrow(pairs, "a long, b long"), "lead-links")
-        links = got if links is None else links.unionByName(got)
-        label = components(links)
-        state = state.drop("part").join(label.select(F.col("node").alias("cid"), F.col("label").alias("part")), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
-        state = stored(state.join(lead.select(F.col("lead").alias("cid"), F.lit(True).alias("now")), "cid", "left").withColumn("led", F.col("led") | F.coalesce("now", F.lit(False))).select("cid", "label", "copies", "part", "led"), "state")
+    # a few sets of each cluster, the most copied among them, are tried against all its sets
+    mixed = F.xxhash64("cid")
+    lead = sets.groupBy("label").agg(F.array(F.max_by("cid", F.struct("copies", "cid")), F.max_by("cid", mixed), F.min_by("cid", mixed)).alias("leads"))
+    lead = lead.select("label", F.explode(F.array_distinct("leads")).alias("lead"))
+    lead = stored(lead.join(sets.select(F.col("cid").alias("lead"), F.col("shingles").alias("lead_shingles")), "lead"), "leads")
+    lead_size = lead.agg(F.coalesce(F.sum(F.length("lead_shingles")), F.lit(0))).first()[0]
+    tried = sets.join(_checked_broadcast(lead, lead_size, lead_bytes), "label").filter("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b"), "lead_shingles", "shingles")
+    links = stored(tried.mapInArrow(pairs, "a long, b long"), "lead-links")
+    label = components(links, at_once)
+    state = stored(sets.select("cid", "label").join(label.select(F.col("node").alias("cid"), F.col("label").alias("part")), "cid", "left").withColumn("part", F.coalesce("part", "cid")), "state")
     part = state.groupBy("label", "part").agg(F.count("*").alias("m"))
-    top = part.groupBy("label").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    top = stored(part.groupBy("label").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1"), "parts")
+    if top.limit(1).count() == 0:
+        return links
     # sets outside their cluster's largest part (side 0) meet each other and all sets of that part (side 1), in blocks of half a tile
     left = state.join(top, "label").withColumn("side", (F.col("part") == F.col("top.part")).cast("int"))
     sized = left.join(sets.select("cid", F.length("shingles").alias("bytes")), "cid")
     order = Window.partitionBy("label", "side").orderBy("bytes", "cid")
     blocks = stored(sized.withColumn("block", F.floor((F.row_number().over(order) - 1) / (tile // 2))).select("cid", "label", "part", "side", "block", "bytes"), "blocks")
-    if blocks.limit(1).count() == 0:
-        return links if links is not None else spark.createDataFrame([], "a long, b long")
     span = blocks.groupBy("label", "side", "block").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"))
     x, y = span.filter("side = 0").alias("x"), span.alias("y")
     near = F.expr(f"x.label = y.label and (y.side = 1 or y.block >= x.block) and 100 * y.hi >= {percent} * x.lo and 100 * x.hi >= {percent} * y.lo")
@@ -337,8 +325,7 @@ def _big_links(sets: DataFrame, percent: int, tile: int, rounds: int = 3) -> Dat
         x, y = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": c[x], "b": c[y]})
 
-    rest = stored(work.groupBy("job").applyInArrow(compare, "a long, b long"), "block-links")
-    return rest if links is None else links.unionByName(rest)
+    return links.unionByName(stored(work.groupBy("job").applyInArrow(compare, "a long, b long"), "block-links"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
