@@ -214,7 +214,7 @@ def _checked_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS, at_once: int = AT_ONCE) -> DataFrame:
     """row, key, n, cid of every row, its component (a class in it; null for empty sets) and that component's least key (component_key), for links of percent or more."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4)
     rows = stored(sets_of(docs, key, text, k, percent), "sets")
     classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("key").alias("least"), (F.min("chk") != F.max("chk")).alias("clash"))
     classes = stored(classes, "classes")
