@@ -37,47 +37,54 @@ END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 COUNTS = "shard long, level long, block long, grams binary, counts binary"
 
 
-class Block:
-    """The n-grams of some texts. For level k (0: words): `code[k]` is, for each place, the n-gram of k + 1 tokens that ends there
-    (-1: none); places are start, words, end of each text in turn. `grams[k]` are their sorted hashes."""
+class Places:
+    """The places of some texts one after another: start, words, end of each. hashes[k]: of the n-gram of k + 1 tokens that ends
+    at a place; `inside` tells how far a place is from its text's start, and so which n-grams there are."""
 
     def __init__(self, col, order: int):
         words, at, _, _ = W.split(col, W.BLANK_LOWER)
-        n = len(at) - 1
         size = np.diff(at) + 2
-        self.begin = np.concatenate([[0], np.cumsum(size)])
+        self.n, self.begin = len(at) - 1, np.concatenate([[0], np.cumsum(size)])
         h = np.empty(self.begin[-1], np.uint64)
         h[self.begin[:-1]], h[self.begin[1:] - 1] = START, END
         if len(words):
             code, distinct = W.coded(words)
             h[np.arange(len(words)) + 2 * W.owners(at) + 1] = W.hashed(distinct)[code]
-        inside = np.arange(len(h)) - np.repeat(self.begin[:-1], size)
-        self.n, self.code, self.grams, self.first = n, [], [], []
-        key = W.mix(h)
-        for k in range(order):
-            if k:
-                key = np.concatenate([key[:1], W.mix(key[:-1] * np.uint64(31) + h[1:])])
-            there = np.flatnonzero(inside >= k)
-            grams, first, inverse = _unique(key[there])
-            code = np.full(len(h), -1, np.int64)
-            code[there] = inverse
-            self.code.append(code)
-            self.grams.append(grams)
-            self.first.append(there[first])
+        self.inside = np.arange(len(h)) - np.repeat(self.begin[:-1], size)
+        self.hashes = [W.mix(h)]
+        for _ in range(1, order):
+            self.hashes.append(np.concatenate([self.hashes[-1][:1], W.mix(self.hashes[-1][:-1] * np.uint64(31) + h[1:])]))
 
-    def counts(self, train: np.ndarray) -> list[np.ndarray]:
-        """How often each n-gram occurs in the texts that train."""
+    def counted(self, train: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each level the sorted n-grams, and how often each occurs in the texts that train."""
         seen = np.repeat(train, np.diff(self.begin))
-        return [np.bincount(c[seen & (c >= 0)], minlength=len(g)) for c, g in zip(self.code, self.grams)]
+        for k, h in enumerate(self.hashes):
+            there = self.inside >= k
+            grams = W.distinct(h[there])
+            some, n = np.unique(h[there & seen], return_counts=True)
+            counts = np.zeros(len(grams), np.int64)
+            counts[np.searchsorted(grams, some)] = n
+            yield grams, counts
+
 
+class Block(Places):
+    """For level k, `code[k]` is the number of the n-gram that ends at each place (-1: none), `grams[k]` are the n-grams by
+    number, which is the order of their hashes, and `first[k]` a place where each ends."""
 
-def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """np.unique with first places and inverse, without a stable sort: hashes are compared by a lookup."""
-    grams = np.unique(x)
-    inverse = np.searchsorted(grams, x)
-    first = np.empty(len(grams), np.int64)
-    first[inverse[::-1]] = np.arange(len(x))[::-1]
-    return grams, first, inverse
+    def __init__(self, col, order: int):
+        super().__init__(col, order)
+        self.code, self.grams, self.first = [], [], []
+        for k, h in enumerate(self.hashes):
+            there = np.flatnonzero(self.inside >= k)
+            by = np.argsort(h[there])
+            s = h[there][by]
+            new = np.ones(len(s), bool)
+            new[1:] = s[1:] != s[:-1]
+            code = np.full(len(h), -1, np.int64)
+            code[there[by]] = np.cumsum(new) - 1
+            self.code.append(code)
+            self.grams.append(s[new])
+            self.first.append(there[by[new]])
 
 
 def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
@@ -94,74 +101,52 @@ def _unpack(x: bytes) -> np.ndarray:
 
 
 class Automaton:
-    """States: 0 is the root, then the n-grams of each level below the last that training has seen. See the module's text."""
+    """States are the root and the histories that training has seen; a history is known by its length and the place behind
+    it. weight[k] holds the arcs that n-grams of k + 1 tokens are (0 or more: there is none), each to the state of its last
+    tokens; fail[k] the failure arcs of histories of k tokens, to the same without the first one. The root has an arc for
+    every token."""
 
     def __init__(self, block: Block, totals: list[np.ndarray], tokens: int, kinds: int, strength: float, floor: float):
-        order = len(totals)
-        self.block, self.symbols = block, len(block.grams[0])
-        start = int(np.searchsorted(block.grams[0], W.mix(np.array([START]))[0])) if self.symbols else 0
-        p = [(totals[0] + floor) / (tokens + floor * (kinds + 1))]
-        base, state = 1, []
-        for k in range(order - 1):
-            state.append(np.where(totals[k] > 0, base + np.cumsum(totals[k] > 0) - 1, 0))
-            base += int((totals[k] > 0).sum())
-        self.fail, self.fail_weight = np.zeros(base, np.int64), np.zeros(base)
-        keys, weights, targets = [], [], []
-        for k in range(1, order):
+        self.block, self.order = block, len(totals)
+        p = (totals[0] + floor) / (tokens + floor * (kinds + 1))
+        self.weight, self.fail = [np.log10(p)], [np.zeros(0)]
+        for k in range(1, self.order):
             last = block.first[k]
-            word, history, shorter = block.code[0][last], block.code[k - 1][last - 1], block.code[k - 1][last]
-            before = totals[k - 1][history]
-            p.append((totals[k] + strength * p[k - 1][shorter]) / (before + strength))
-            live = totals[k] > 0
-            keys.append(state[k - 1][history[live]] * self.symbols + word[live])
-            weights.append(np.log10(p[k][live]))
-            targets.append((state[k] if k < order - 1 else state[k - 1][shorter])[live] if order > 1 else None)
-        for k in range(order - 1):
-            live = totals[k] > 0
-            s = state[k][live]
-            self.fail_weight[s] = np.log10(strength / (totals[k][live] + strength))
-            self.fail[s] = state[k - 1][block.code[k - 1][block.first[k][live]]] if k else 0
-        self.root_weight = np.log10(p[0])
-        self.root_target = state[0] if order > 1 else np.zeros(self.symbols, np.int64)
-        self.start = state[0][start] if order > 1 and self.symbols else 0
-        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        by = np.argsort(key)
-        self.key, self.weight = key[by], (np.concatenate(weights)[by] if keys else np.zeros(0))
-        self.target = np.concatenate(targets)[by] if keys else np.zeros(0, np.int64)
+            p = (totals[k] + strength * p[block.code[k - 1][last]]) / (totals[k - 1][block.code[k - 1][last - 1]] + strength)
+            self.weight.append(np.where(totals[k] > 0, np.log10(p), 1.0))
+            self.fail.append(np.log10(strength / (totals[k - 1] + strength)))
+        self.known = totals[0] > 0
 
     def scores(self) -> np.ndarray:
         """log10 probabilities of all texts: all go one token further at each step, the longest first in line."""
-        b = self.block
+        b, top = self.block, self.order - 1
         size = np.diff(b.begin) - 1  # tokens, with the end
         line = np.argsort(-size, kind="stable")
-        place, left = b.begin[:-1][line] + 1, size[line]
-        state, score = np.full(b.n, self.start, np.int64), np.zeros(b.n)
+        place, left = b.begin[:-1][line], size[line]
+        weight = [w[c] for w, c in zip(self.weight, b.code)]  # by place; what stands where there's no n-gram is never read
+        fail = [f[b.code[k - 1]] if k else f for k, f in enumerate(self.fail)]
+        known = self.known[b.code[0]]
+        score, length = np.zeros(b.n), np.zeros(b.n, np.int64)  # the state of a text is the length of its history
+        if top and b.n:
+            length[:] = known[place]
         ends = np.searchsorted(-left, -np.arange(1, (left[0] if b.n else 0) + 1), side="right")
-        symbol = b.code[0]
         for t, m in enumerate(ends.tolist()):
-            sym, s = symbol[place[:m] + t], state[:m]
-            todo = np.arange(m)
-            while len(todo):
-                now, w = s[todo], sym[todo]
-                root = now == 0
-                if root.any():
-                    at = todo[root]
-                    score[at] += self.root_weight[w[root]]
-                    s[at] = self.root_target[w[root]]
-                    todo, now, w = todo[~root], now[~root], w[~root]
-                    if not len(todo):
-                        break
-                key = now * self.symbols + w
-                i = np.searchsorted(self.key, key)
-                np.minimum(i, len(self.key) - 1, out=i)
-                hit = self.key[i] == key
-                at, j = todo[hit], i[hit]
-                score[at] += self.weight[j]
-                s[at] = self.target[j]
-                miss = ~hit
-                todo = todo[miss]
-                score[todo] += self.fail_weight[now[miss]]
-                s[todo] = self.fail[now[miss]]
+            at = place[:m] + t + 1
+            for k in range(top, 0, -1):
+                here = np.flatnonzero(length[:m] == k)
+                if not len(here):
+                    continue
+                w = weight[k][at[here]]
+                hit = w <= 0
+                score[here[hit]] += w[hit]
+                length[here[hit]] = -min(k + 1, top) - 1  # done with this token
+                miss = here[~hit]
+                score[miss] += fail[k][at[miss] - 1]
+                length[miss] = k - 1
+            here = np.flatnonzero(length[:m] == 0)
+            score[here] += weight[0][at[here]]
+            length[here] = -(known[at[here]] & (top > 0)).astype(np.int64) - 1
+            length[:m] = -length[:m] - 1
         out = np.empty(b.n)
         out[line] = score
         return out
@@ -200,8 +185,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
 
     def asked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        x = Block(t.column(1), order)
-        for level, (grams, counts) in enumerate(zip(x.grams, x.counts(~t.column(2).to_numpy()))):
+        for level, (grams, counts) in enumerate(Places(t.column(1), order).counted(~t.column(2).to_numpy())):
             upto = np.searchsorted(shard_of(grams, shards), np.arange(shards + 1))
             some = [s for s in range(shards) if upto[s] < upto[s + 1]]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([level] * len(some), pa.int64()), pa.array([t.column(0)[0].as_py()] * len(some), pa.int64()), pa.array([grams[upto[s] : upto[s + 1]].tobytes() for s in some], pa.binary()), pa.array([_pack(counts[upto[s] : upto[s + 1]]) for s in some], pa.binary())], names=["shard", "level", "block", "grams", "counts"])
@@ -210,7 +194,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         """The totals of a shard and level for each block, and (block -1) their sum and how many are above 0, without the start mark's."""
         grams = [np.frombuffer(x, np.uint64) for x in t.column("grams").to_pylist()]
         counts = np.concatenate([_unpack(x) for x in t.column("counts").to_pylist()])
-        every = np.unique(np.concatenate(grams))
+        every = W.distinct(np.concatenate(grams))
         total = np.zeros(len(every), np.int64)
         place = [np.searchsorted(every, g) for g in grams]
         np.add.at(total, np.concatenate(place), counts)

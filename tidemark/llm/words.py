@@ -105,3 +105,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def owners(at: np.ndarray) -> np.ndarray:
     """The text that each word belongs to."""
     return np.repeat(np.arange(len(at) - 1), np.diff(at))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort (np.unique alone goes by a hash table, which takes many times longer)."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
