@@ -36,7 +36,7 @@ def test_round_trip(spark, tmp_path, shard, roll):
     seen = []
     for k, x in enumerate((df, df.repartition(5).orderBy("digest"))):
         uri = f"file://{tmp_path}/{k}"
-        manifest = warc.write(x, uri, shard_bytes=shard, roll_bytes=roll).collect()
+        manifest = warc.write(x, uri, shard_bytes=shard, roll_bytes=roll, broadcast_rows=k * 100).collect()
         assert sum(m.records for m in manifest) == len(rows)
         files = sorted(os.listdir(tmp_path / str(k) / "archives"))
         files = [f for f in files if not f.endswith(".crc")]

@@ -28,9 +28,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import new_dir, small_batches
+from tidemark.llm.shared import new_dir, small_batches, stored
 
-LEAST, RANGES = 100, 4096
+LEAST, RANGES, BROADCAST_ROWS = 100, 4096, 200_000
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "file string, shard long, records long, raw_bytes long, file_bytes long, first_id long, last_id long"
 
@@ -79,12 +79,14 @@ class _Files:
             self.out, self.n = None, self.n + 1
 
 
-def prepared(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST) -> DataFrame:
-    """page_id, url, payload (null for revisits), size, digest, refers_to."""
+def prepared(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """page_id, url, payload (null for revisits), size, digest, refers_to. Payloads that occur more than once are
+    broadcast as digests if they are at most broadcast_rows (some 100 bytes each); else payloads are joined by a shuffle."""
     payload = F.coalesce(F.col(html), F.lit(""))
     base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("size"), F.sha2(payload, 256).alias("digest"))
     first = base.filter(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    out = base.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    first = stored(first, "first-pages")
+    out = base.join(F.broadcast(first) if first.count() <= broadcast_rows else first, "digest", "left").withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     return out.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
 
 
@@ -104,14 +106,14 @@ def shards(rows: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
     return low, width, out
 
 
-def write(pages: DataFrame, uri: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, shard_bytes: int = 16 << 20, roll_bytes: int = 4 << 20, date: str = DATE) -> DataFrame:
+def write(pages: DataFrame, uri: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, shard_bytes: int = 16 << 20, roll_bytes: int = 4 << 20, date: str = DATE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Writes archives under uri, which all machines share, and the manifest, which is returned."""
     spark = pages.sparkSession
     small_batches(spark)
     size = F.octet_length(F.coalesce(F.col(html), F.lit(""))).cast("long")
     low, width, of = shards(pages.select(F.col(key).cast("long").alias("page_id"), size.alias("size")), shard_bytes)
     place = F.get(F.lit(of), F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int")).cast("long")
-    rows = prepared(pages, key, url, html, least).withColumn("shard", place)
+    rows = prepared(pages, key, url, html, least, broadcast_rows).withColumn("shard", place)
     path = f"{uri}/archives"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
@@ -196,8 +198,8 @@ def read(spark: SparkSession, uri: str, payloads: bool = True) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=pa.schema(fields))
 
-    listed = spark.read.parquet(f"{uri}/manifest")
-    return listed.select("file").repartition("file").mapInArrow(run, ", ".join(READ.split(", ")[: len(names)]))
+    listed = spark.read.parquet(f"{uri}/manifest").select("file")
+    return listed.repartition(max(1, listed.count()), "file").mapInArrow(run, ", ".join(READ.split(", ")[: len(names)]))
 
 
 def round_trip(pages: DataFrame, **how) -> DataFrame:
