@@ -260,9 +260,9 @@ def ladder(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
     return long_table(df, out)
 
 
-@query("A35_attrition", "SELECT 'all' AS metric, CAST(count(*) AS DOUBLE) AS value FROM orders UNION ALL SELECT 'years', CAST(count(*) AS DOUBLE) FROM orders WHERE year(o_orderdate) >= 1994 UNION ALL SELECT 'open', CAST(count(*) AS DOUBLE) FROM orders WHERE year(o_orderdate) >= 1994 AND o_orderstatus <> 'F'")
+@query("A35_attrition", "SELECT 'all' AS metric, CAST(count(*) AS DOUBLE) AS value FROM orders UNION ALL SELECT 'years', CAST(count(*) AS DOUBLE) FROM orders WHERE year(o_orderdate) >= 1998 UNION ALL SELECT 'open', CAST(count(*) AS DOUBLE) FROM orders WHERE year(o_orderdate) >= 1998 AND o_orderstatus <> 'F'")
 def a35(spark, sf):
-    return ladder(read(spark, sf, "orders"), {"years": F.year("o_orderdate") >= 1994, "open": F.col("o_orderstatus") != "F"})
+    return ladder(read(spark, sf, "orders"), {"years": F.year("o_orderdate") >= 1998, "open": F.col("o_orderstatus") != "F"})
 
 
 @query("A36_missing_rates", "SELECT 'quality' AS column_name, round(avg(CASE WHEN quality IS NULL THEN 1 ELSE 0 END), 6) AS missing_rate FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT 'lang', round(avg(CASE WHEN lang IS NULL THEN 1 ELSE 0 END), 6) FROM documents")

@@ -60,10 +60,10 @@ def p7(spark, sf):
     return view(spark, sf, "filing").filter(F.col("form").isin("10-K", "10-Q", "10-K/A", "10-Q/A") & (says("primary_doc_description") | says("items"))).select("accession")
 
 
-@query("P8_availability_flags", "SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 1995 THEN 1 ELSE 0 END AS has_xbrl, CASE WHEN year(o_orderdate) >= 1993 AND NOT (o_orderdate BETWEEN TIMESTAMP '1994-07-01' AND TIMESTAMP '1996-05-18') THEN 1 ELSE 0 END AS has_logs FROM orders")
+@query("P8_availability_flags", "SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 1997 THEN 1 ELSE 0 END AS has_xbrl, CASE WHEN year(o_orderdate) >= 1996 AND NOT (o_orderdate BETWEEN TIMESTAMP '1997-07-01' AND TIMESTAMP '1999-05-18') THEN 1 ELSE 0 END AS has_logs FROM orders")
 def p8(spark, sf):
     d, on = F.col("o_orderdate"), lambda s: F.lit(s).cast("timestamp_ntz")
-    return read(spark, sf, "orders").select("o_orderkey", F.when(F.year(d) >= 1995, 1).otherwise(0).alias("has_xbrl"), F.when((F.year(d) >= 1993) & ~d.between(on("1994-07-01"), on("1996-05-18")), 1).otherwise(0).alias("has_logs"))
+    return read(spark, sf, "orders").select("o_orderkey", F.when(F.year(d) >= 1997, 1).otherwise(0).alias("has_xbrl"), F.when((F.year(d) >= 1996) & ~d.between(on("1997-07-01"), on("1999-05-18")), 1).otherwise(0).alias("has_logs"))
 
 
 @query("P9_constants", "SELECT o_orderkey, TIMESTAMP '2017-01-31' AS public_date, '2011+' AS vintage FROM orders")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numeric import uniform_bin
 from tidemark.operators import facts as X
 from tidemark.operators.temporal import cumulative, first_by, sessions, with_history
 from tidemark.plans.lake import duck, query, read, view
@@ -100,11 +101,6 @@ def w12(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", F.ntile(10).over(Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey")).cast("long").alias("bin"))
 
 
-def uniform_bin(p, n: int = 10):
-    """The bin of a probability, by comparison with the bins' own edges."""
-    return sum(((p >= F.lit(k / n)).cast("int") for k in range(1, n)), F.lit(0))
-
-
 @query("W13_uniform_bins", "SELECT bin, count(*) AS n FROM (SELECT CAST(least(floor(CAST(o_orderkey % 101 AS DOUBLE) / 100.0 * 10 + 1e-9), 9) AS INTEGER) AS bin FROM orders) GROUP BY bin")
 def w13(spark, sf):
     return read(spark, sf, "orders").select(uniform_bin((F.col("o_orderkey") % 101) / 100.0).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
