@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: words that count as missing, legal suffixes in the order they are tried, and the patterns of filings' texts
 MISSING = ("nan", "none")
@@ -106,7 +107,7 @@ def item_codes(c: str | Column) -> Column:
     return F.when(items_missing(c), F.array().cast("array<string>")).otherwise(found)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
 

@@ -1 +1,248 @@
-"""Queries."""
+"""Supporting operators (X) and streams (T), each as a query with its oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import audit as U
+from tidemark.operators import facts as X
+from tidemark.operators import labels as L
+from tidemark.operators import overlap as V
+from tidemark.operators import runner as R
+from tidemark.plans.composites import public_panel
+from tidemark.plans.lake import duck, query, read, view
+from tidemark.sources import sinks as K
+from tidemark.sources import tables as T
+from tidemark.streaming import sessions as S
+
+
+@query("X1_label_modes", "SELECT * FROM (VALUES (0, 'naive'), (1, 'proxy_imputed_lag_1y'), (2, 'proxy_imputed_lag_2y'), (3, 'matured')) t(k, mode)")
+def x1(spark, sf):
+    modes = L.label_modes(["naive", "proxy_imputed_lag_<N>y", "matured", "naive"], [1, 2])
+    return spark.createDataFrame(list(enumerate(modes)), "k int, mode string")
+
+
+@query("X2_unknown_positives", "WITH b AS (SELECT c_custkey, CAST(c_custkey % 7 AS INTEGER) AS y0, c_custkey % 2 AS y FROM customer) SELECT 'current_year' AS how, CAST(sum(y0) AS BIGINT) AS s FROM b WHERE y = 1 UNION ALL SELECT 'final_label', CAST(sum(y0 + 1) AS BIGINT) FROM b WHERE y = 1")
+def x2(spark, sf):
+    c = read(spark, sf, "customer").select((F.col("c_custkey") % 7).cast("int").alias("y0"), (F.col("c_custkey") % 2).cast("int").alias("y"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    out = None
+    for how in ("current_year", "final_label"):
+        one = L.with_detection_year(c, "y0", "y", ["a", "b"], how).agg(F.sum("detection_year_proxy").alias("s")).select(F.lit(how).alias("how"), "s")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("X3_identifier_table", "SELECT 'cik' AS match_type, count(*) AS n FROM customer WHERE c_custkey > 0 UNION ALL SELECT 'ticker', 2 * count(*) FROM customer WHERE c_custkey > 0 UNION ALL SELECT 'name', count(*) FROM customer WHERE c_custkey > 0")
+def x3(spark, sf):
+    c = read(spark, sf, "customer")
+    p = c.select(F.col("c_custkey").alias("issuer_cik"), F.concat(F.lit("a"), F.col("c_custkey").cast("string"), F.lit(";b"), F.col("c_custkey").cast("string")).alias("tickers_json"), F.col("c_name").alias("entity_name"))
+    return V.identifiers(p).groupBy("match_type").agg(F.count("*").alias("n"))
+
+
+@query("X4_overlap_stats", "WITH c AS (SELECT s_suppkey AS raw_row_id, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS issuer_cik, CAST(1996 + s_suppkey % 8 AS INTEGER) AS data_year FROM supplier WHERE s_suppkey > 0), k AS (SELECT DISTINCT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS issuer_cik, CAST(year(o_orderdate) AS INTEGER) AS data_year, 1 AS hit FROM orders) SELECT count(*) AS candidates, count(hit) AS public_candidates, count(DISTINCT raw_row_id) AS raw_rows, count(DISTINCT CASE WHEN hit = 1 THEN raw_row_id END) AS public_raw_rows, round((count(DISTINCT CASE WHEN hit = 1 THEN raw_row_id END)) / count(DISTINCT raw_row_id), 6) AS rate FROM c LEFT JOIN k USING (issuer_cik, data_year)")
+def x4(spark, sf):
+    c = read(spark, sf, "supplier").filter("s_suppkey > 0").select(F.col("s_suppkey").alias("raw_row_id"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("issuer_cik"), (1996 + F.col("s_suppkey") % 8).cast("int").alias("data_year"))
+    k = V.public_annual(public_panel(spark, sf), ["label"])
+    return V.overlap_stats(c, k).withColumn("rate", F.round("rate", 6))
+
+
+@query("X5_ambiguous_candidates", "SELECT l_orderkey AS raw_row_id, count(DISTINCT l_suppkey) AS candidate_count FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
+def x5(spark, sf):
+    return read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("raw_row_id")).agg(F.countDistinct("l_suppkey").alias("candidate_count")).filter("candidate_count > 1")
+
+
+@query("X6_raw_keys", "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS gvkey, CAST(year(o_orderdate) AS INTEGER) AS data_year, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS benchmark_label FROM orders")
+def x6(spark, sf):
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("gvkey"), F.year("o_orderdate").alias("data_year"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"))
+    return V.raw_keys(o, label="label")
+
+
+@query("X7_linkage_stats", "SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM orders UNION ALL SELECT 'entities', CAST(count(DISTINCT o_custkey) AS DOUBLE) FROM orders UNION ALL SELECT 'first_year', CAST(min(year(o_orderdate)) AS DOUBLE) FROM orders UNION ALL SELECT 'last_year', CAST(max(year(o_orderdate)) AS DOUBLE) FROM orders")
+def x7(spark, sf):
+    y = F.year("o_orderdate")
+    return U.long_table(read(spark, sf, "orders"), {"rows": F.count("*"), "entities": F.countDistinct("o_custkey"), "first_year": F.min(y), "last_year": F.max(y)})
+
+
+@query("X8_tolerant_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders")
+def x8(spark, sf):
+    from tidemark.functions.dates import day, mixed_date
+
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", " yyyy-MM-dd ")).otherwise("NaT")
+    return read(spark, sf, "orders").select("o_orderkey", day(mixed_date(text)).alias("d"))
+
+
+@query("X9_schema_probe", "SELECT 'quality' AS label, CAST(NULL AS INTEGER) AS absent, count(*) AS n FROM labels GROUP BY ALL")
+def x9(spark, sf):
+    df = read(spark, sf, "labels")
+    label = next(c for c in ("misstatement", "quality") if c in df.columns)
+    return T.align(df, "doc_id long, absent int").agg(F.first("absent").alias("absent"), F.count("*").alias("n")).withColumn("label", F.lit(label))
+
+
+@query("X11_only_row", "SELECT 'AFRICA' AS r_name")
+def x11(spark, sf):
+    r = U.only_row(read(spark, sf, "region").filter("r_name = 'AFRICA'"))
+    return spark.createDataFrame([(r.r_name,)], "r_name string")
+
+
+@query("X12_frozen_spec", "SELECT count(*) AS n FROM (SELECT DISTINCT o_orderpriority, year(o_orderdate) FROM orders)")
+def x12(spark, sf):
+    m = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("task"), F.year("o_orderdate").alias("y")).agg(F.count("*").alias("v"))
+    return U.assert_unique(U.assert_known(m, ["task", "y"]), ["task", "y"]).agg(F.count("*").alias("n"))
+
+
+@query("X13_canonical_order", "SELECT * FROM (SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderdate, o_orderkey LIMIT 50)")
+def x13(spark, sf):
+    return read(spark, sf, "orders").orderBy("o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey").limit(50)
+
+
+@query("X14_class_guard", "SELECT lang, count(DISTINCT quality) AS classes, CASE WHEN count(DISTINCT quality) < 2 THEN 'one_class' ELSE 'fit' END AS status FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def x14(spark, sf):
+    j = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return j.groupBy("lang").agg(F.countDistinct("quality").alias("classes")).withColumn("status", F.when(F.col("classes") < 2, "one_class").otherwise("fit"))
+
+
+@query("X15_preprocessor", "SELECT count(*) AS n, CAST(count(DISTINCT c_mktsegment) + 2 AS INTEGER) AS width FROM customer")
+def x15(spark, sf):
+    from pyspark.ml import Pipeline
+
+    from tidemark.operators.models import preprocessor
+
+    c = read(spark, sf, "customer").select(F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal")).alias("bal"), "c_mktsegment")
+    x = Pipeline(stages=preprocessor(["bal"], ["c_mktsegment"], "robust")).fit(c).transform(c)
+    return x.agg(F.count("*").alias("n")).withColumn("width", F.lit(x.select("features").first()[0].size))
+
+
+@query("X16_identifier_columns", "SELECT o_totalprice, o_orderstatus FROM orders")
+def x16(spark, sf):
+    o = read(spark, sf, "orders").drop("o_orderdate", "o_orderpriority")
+    return o.drop(*(c for c in o.columns if c.endswith("key")))
+
+
+@query("X18_mapping_report", "SELECT * FROM (VALUES ('assets', 'c_acctbal', 'mapped'), ('receivables', NULL, 'missing')) t(concept, column_name, status)")
+def x18(spark, sf):
+    have = set(read(spark, sf, "customer").columns)
+    want = {"assets": ("balance", "c_acctbal"), "receivables": ("rect",)}
+    rows = [(c, next((n for n in names if n in have), None)) for c, names in want.items()]
+    return spark.createDataFrame([(c, n, "mapped" if n else "missing") for c, n in rows], "concept string, column_name string, status string")
+
+
+@query("X19_task_frame", "SELECT count(*) AS n FROM (SELECT o_custkey, year(o_orderdate) FROM orders WHERE o_orderdate + INTERVAL 365 DAY <= TIMESTAMP '2001-08-01' GROUP BY ALL)")
+def x19(spark, sf):
+    from tidemark.functions.dates import censored
+
+    o = read(spark, sf, "orders").filter(censored("o_orderdate", F.lit("2001-08-01").cast("timestamp_ntz")) == 0)
+    one = o.groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("c"))
+    return U.assert_unique(one, ["o_custkey", "y"]).agg(F.count("*").alias("n"))
+
+
+@query("X20_status_grid", "SELECT p.o_orderpriority, y.y, coalesce(c.n, 0) AS n, CASE WHEN c.n IS NULL THEN 'skipped_no_rows' ELSE 'fit' END AS status FROM (SELECT DISTINCT o_orderpriority FROM orders) p CROSS JOIN range(1999, 2004) y(y) LEFT JOIN (SELECT o_orderpriority, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL) c ON c.o_orderpriority = p.o_orderpriority AND c.y = y.y")
+def x20(spark, sf):
+    o = read(spark, sf, "orders")
+    grid = o.select("o_orderpriority").distinct().withColumn("y", F.explode(F.sequence(F.lit(1999).cast("long"), F.lit(2003).cast("long"))))
+    c = o.groupBy("o_orderpriority", F.year("o_orderdate").cast("long").alias("y")).agg(F.count("*").alias("n"))
+    return grid.join(c, ["o_orderpriority", "y"], "left").select("o_orderpriority", "y", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "skipped_no_rows").otherwise("fit").alias("status"))
+
+
+@query("X21_fallback_summary", f"WITH {duck('fact')} SELECT adsh, count(*) AS xbrl_fact_count FROM (SELECT DISTINCT * FROM fact) GROUP BY adsh")
+def x21(spark, sf):
+    return X.summary(view(spark, sf, "fact")).select("adsh", "xbrl_fact_count")
+
+
+@query("X22_view_fallback", "SELECT 'orders' AS used, count(*) AS n FROM orders")
+def x22(spark, sf):
+    name = next(t for t in ("orders_summary", "orders") if T.exists(spark, f"{sf}/{t}.parquet"))
+    return read(spark, sf, name).agg(F.count("*").alias("n")).withColumn("used", F.lit(name))
+
+
+@query("X23_sidecar_hash", "SELECT true AS unchanged, true AS change_found")
+def x23(spark, sf):
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        p = K.write_json({"a": 1}, os.path.join(d, "x.json"))
+        R.write_metadata(p)
+        R.verify_metadata(p)
+        K.write_json({"a": 2}, p)
+        try:
+            R.verify_metadata(p)
+            found = False
+        except ValueError:
+            found = True
+    return spark.createDataFrame([(True, found)], "unchanged boolean, change_found boolean")
+
+
+@query("X24_batches", "SELECT * FROM (VALUES (0, 2), (1, 2), (2, 1)) t(batch, n)")
+def x24(spark, sf):
+    return spark.createDataFrame([(k, len(b)) for k, b in enumerate(R.batched(list("abcde"), 2))], "batch int, n int")
+
+
+@query("X25_overwrite", "SELECT count(*) AS n FROM region")
+def x25(spark, sf):
+    path = K.scratch(spark, "x25")
+    K.write_table(read(spark, sf, "nation").select(F.col("n_name").alias("v")), path)
+    K.write_table(read(spark, sf, "region").select(F.col("r_name").alias("v")), path, mode="overwrite")
+    return spark.read.parquet(path).agg(F.count("*").alias("n"))
+
+
+@query("X27_contained", "SELECT true AS inside, true AS outside_refused")
+def x27(spark, sf):
+    R.contained("/data/lake/a", "/data/lake")
+    try:
+        R.contained("/data/lake/../x", "/data/lake")
+        refused = False
+    except ValueError:
+        refused = True
+    return spark.createDataFrame([(True, refused)], "inside boolean, outside_refused boolean")
+
+
+@query("X28_distinct_profile", "SELECT 'n_name' AS column_name, count(DISTINCT n_name) AS n_distinct, (SELECT string_agg(n_name, ';' ORDER BY n_name) FROM (SELECT n_name FROM nation ORDER BY n_name LIMIT 3)) AS first_values FROM nation")
+def x28(spark, sf):
+    return U.distinct_profile(read(spark, sf, "nation"), ["n_name"], 3).withColumn("first_values", F.array_join("first_values", ";"))
+
+
+@query("X31_claims", "SELECT * FROM (VALUES ('a', 'supported'), ('b', 'blocked'), ('c', 'partial')) t(claim, status)")
+def x31(spark, sf):
+    parts = {"a": {"x": "fit", "y": "fit"}, "b": {"x": "fit", "y": "blocked"}, "c": {"x": "fit", "y": "partial"}}
+    return spark.createDataFrame([(c, R.claim_status(p)) for c, p in parts.items()], "claim string, status string")
+
+
+@query("X32_same_rows", "SELECT true AS same, false AS other")
+def x32(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return spark.createDataFrame([(U.same_rows(o, o.repartition(3)), U.same_rows(o, o.filter("o_orderkey <> 1")))], "same boolean, other boolean")
+
+
+@query("X33_monitor", "SELECT 'orders' AS name, count(*) AS n, count(*) > 0 AS complete FROM orders")
+def x33(spark, sf):
+    return read(spark, sf, "orders").agg(F.count("*").alias("n")).select(F.lit("orders").alias("name"), "n", (F.col("n") > 0).alias("complete"))
+
+
+EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def _event_stream(spark, sf):
+    return S.read_stream(spark, sf, EVENT_SCHEMA, glob="events.parquet")
+
+
+def _drained(spark, df, name):
+    base = K.scratch(spark, name)
+    S.drain(df, f"{base}/out", f"{base}/state")
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+@query("T1_stream_first_wins", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
+def t1(spark, sf):
+    return _drained(spark, S.first_wins(_event_stream(spark, sf), ["event_id"], "ts", "40 days"), "t1").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("T2_stream_sessions")
+def t2(spark, sf):
+    return _drained(spark, S.sessions(_event_stream(spark, sf), "user_id", "ts", "2 days"), "t2")
+
+
+@query("T3_stream_counts")
+def t3(spark, sf):
+    return _drained(spark, S.counts(_event_stream(spark, sf), "event_type", "ts", "1 day"), "t3")
+
+

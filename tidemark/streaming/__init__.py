@@ -1 +1 @@
-"""Part of tidemark; see the modules."""
+"""Structured Streaming forms of the session, look-ahead and deduplication operators."""
