@@ -113,3 +113,14 @@ def claim_status(parts: Mapping[str, str]) -> str:
         if s in states:
             return s
     return "supported" if states == {"fit"} or states == {"complete"} else "partial"
+
+
+def provenance(folder: str, inputs: Sequence[str] = ()) -> dict:
+    """The commit of a repository, whether it has changes, and hashes of inputs (X29); unknown values are None."""
+    import subprocess
+
+    def git(*args: str) -> str | None:
+        got = subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True)
+        return got.stdout.strip() if got.returncode == 0 else None
+
+    return {"commit": git("rev-parse", "HEAD"), "changed": None if (s := git("status", "--porcelain")) is None else bool(s), "inputs": {os.path.basename(p): file_hash(p) for p in inputs}}

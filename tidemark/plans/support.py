@@ -246,3 +246,26 @@ def t3(spark, sf):
     return _drained(spark, S.counts(_event_stream(spark, sf), "event_type", "ts", "1 day"), "t3")
 
 
+
+
+@query("X17_peer_specs", "SELECT * FROM (VALUES ('fixed_linear_score', 'none'), ('variable_logit', 'weights'), ('logit_sampled', 'undersample'), ('entropy_tree', 'undersample'), ('bagged_trees', 'undersample'), ('linear_svm', 'undersample'), ('tree_ensemble', 'weights'), ('neural_net', 'undersample'), ('stacked', 'undersample'), ('boosted_deep', 'weights')) t(model, balance)")
+def x17(spark, sf):
+    from tidemark.operators.models import peer_specs
+
+    return spark.createDataFrame([(s.name, s.balance) for s in peer_specs(light=False)], "model string, balance string")
+
+
+@query("X29_provenance", "SELECT 'c.json' AS name, true AS hashed")
+def x29(spark, sf):
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        p = R.provenance(d, [K.write_json({"a": 1}, os.path.join(d, "c.json"))])
+    return spark.createDataFrame([(n, len(h) == 64) for n, h in p["inputs"].items()], "name string, hashed boolean")
+
+
+@query("X30_summary_text", "SELECT '| AFRICA | 0 |' AS line")
+def x30(spark, sf):
+    text = K.markdown(read(spark, sf, "region").filter("r_regionkey = 0").select("r_name", "r_regionkey"))
+    return spark.createDataFrame([(text.split("\n")[2],)], "line string")
