@@ -142,12 +142,12 @@ def links(spark, sf):
     return spark.sql(LINKS.format(s="STRING", sup=f"parquet.`{sf}/supplier.parquet`", cus=f"parquet.`{sf}/customer.parquet`"))
 
 
-LINK_SQL = f"link AS ({LINKS.format(s='VARCHAR', sup='supplier', cus='customer')}), span AS (SELECT *, greatest(sec_start_date, link_start_date) AS a, least(sec_end_date, link_end_date) AS b FROM link WHERE link_desc = 'valid'), yr AS (SELECT gvkey, lpad(replace(cik, '.0', ''), 10, '0') AS issuer_cik, source, unnest(range(year(a), year(b) + 1)) AS data_year FROM span WHERE a <= b), annual AS (SELECT gvkey, CAST(data_year AS INTEGER) AS data_year, issuer_cik, string_agg(DISTINCT CASE source WHEN 'A' THEN 'wrds_a' ELSE 'wrds_b' END, ';' ORDER BY CASE source WHEN 'A' THEN 'wrds_a' ELSE 'wrds_b' END) AS source FROM yr GROUP BY ALL)"
+LINK_SQL = f"link AS ({LINKS.format(s='VARCHAR', sup='supplier', cus='customer')}), span AS (SELECT *, greatest(sec_start_date, link_start_date) AS a, least(sec_end_date, link_end_date) AS b FROM link WHERE link_desc = 'valid'), yr AS (SELECT gvkey, lpad(replace(cik, '.0', ''), 10, '0') AS issuer_cik, source, unnest(range(year(a), year(b) + 1)) AS data_year FROM span WHERE a <= b), annual AS (SELECT gvkey, CAST(data_year AS INTEGER) AS data_year, issuer_cik, string_agg(DISTINCT CASE source WHEN 'A' THEN 'source_a' ELSE 'source_b' END, ';' ORDER BY CASE source WHEN 'A' THEN 'source_a' ELSE 'source_b' END) AS source FROM yr GROUP BY ALL)"
 
 
 @query("Q12_annual_links", f"WITH {LINK_SQL} SELECT * FROM annual")
 def q12(spark, sf):
-    return V.annual_links(links(spark, sf), wanted="valid", names={"A": "wrds_a", "B": "wrds_b"}).select("gvkey", "data_year", "issuer_cik", "source")
+    return V.annual_links(links(spark, sf), wanted="valid", names={"A": "source_a", "B": "source_b"}).select("gvkey", "data_year", "issuer_cik", "source")
 
 
 @query("Q13_crosswalk_ranges", "WITH x AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS gvkey, lpad(CAST(s_suppkey + 7 AS VARCHAR), 10, '0') AS issuer_cik, unnest(range(greatest(1990 + s_suppkey % 6, 1993), least(coalesce(CASE WHEN s_suppkey % 4 <> 0 THEN 1996 + s_suppkey % 3 END, 1997), 1997) + 1)) AS y FROM supplier) SELECT gvkey, issuer_cik, CAST(y AS INTEGER) AS data_year FROM x")
