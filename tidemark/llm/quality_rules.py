@@ -55,7 +55,7 @@ def _per_text(flag: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def _dup_lines(data: np.ndarray, inside: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = len(offs) - 1
     feed = data == 10
-    cut = np.union1d(offs, np.flatnonzero(feed) + 1)  # where lines begin; an empty last line has no word
+    cut = W.distinct(np.concatenate([offs, np.flatnonzero(feed) + 1]))  # where lines begin; an empty last line has no word
     lines = _per_text(inside, cut) > 0
     begin, end = cut[:-1][lines], cut[1:][lines]
     if not len(begin):
@@ -68,7 +68,7 @@ def _dup_lines(data: np.ndarray, inside: np.ndarray, offs: np.ndarray) -> np.nda
     np.cumsum(end - begin, out=at[1:])
     code, _ = W.coded(pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(at), pa.py_buffer(data[np.cumsum(keep[:-1]).astype(bool)])]))
     text = np.searchsorted(offs, begin, side="right") - 1
-    pair = np.unique(text * (int(code.max()) + 1) + code)
+    pair = W.distinct(text * (int(code.max()) + 1) + code)
     return np.bincount(text, minlength=n) - np.bincount(pair // (int(code.max()) + 1), minlength=n)
 
 
@@ -83,7 +83,7 @@ def _repeat_words(code: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
         for j in range(k):
             h = W.mix(h + code[first + j].astype(np.uint64))
         s = np.sort(h)
-        twice = np.unique(s[1:][s[1:] == s[:-1]])
+        twice = W.distinct(s[1:][s[1:] == s[:-1]])
         if len(twice):
             place = np.searchsorted(twice, h)
             first = first[twice[np.minimum(place, len(twice) - 1)] == h]
@@ -133,7 +133,7 @@ def signals(col, bands: Bands = Bands()) -> dict[str, np.ndarray]:
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: Bands = Bands()) -> DataFrame:
     """The key and all signals of every row."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,7 +146,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: Bands
 
 def keep_good(docs: DataFrame, text: str = "text", bands: Bands = Bands()) -> DataFrame:
     """The rows of docs that pass, with all their columns as they are."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
