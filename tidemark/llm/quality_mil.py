@@ -64,7 +64,7 @@ def features(col, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
         np.maximum.at(top, at_pair, times)
         two = of[1:] == of[:-1]
         d = len(distinct)
-        links = np.bincount(np.unique((of[1:][two] * d + code[1:][two]) * d + code[:-1][two]) // (d * d), minlength=m)
+        links = np.bincount(W.distinct((of[1:][two] * d + code[1:][two]) * d + code[:-1][two]) // (d * d), minlength=m)
         some = np.maximum(count, 1)
         out[:, N_KINDS] = kinds / some
         out[:, N_KINDS + 1] = top / some
@@ -149,7 +149,7 @@ def fold(key, folds: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, sample: int = SAMPLE, bag: int = BAG, passage: int = PASSAGE) -> Model:
-    small_batches(docs.sparkSession, 8)
+    small_batches(docs.sparkSession, 4)
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(key, folds) != 0)).select(F.col(key).alias("key"), F.col(label).cast("double").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("key"), "key", "label").limit(sample)  # a bound that is a parameter
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("label", "text")
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", folds: int = 5, threshold: float = THRESHOLD, passage: int = PASSAGE) -> DataFrame:
     """key, held_out, score, predicted of every row."""
     spark = docs.sparkSession
-    small_batches(spark, 8)
+    small_batches(spark, 4)
     sent = spark.sparkContext.broadcast(model)
     base = docs.select(F.col(key).alias("key"), (fold(key, folds) == 0).alias("held_out"), F.col(text).alias("text"))
     kind = base.schema["key"].dataType.simpleString()
