@@ -84,7 +84,7 @@ def mix(docs: DataFrame, dims: Sequence[Column], targets: Sequence[dict | float]
     """docs with the columns mix_0.. (the dimensions), mix_tokens, mix_probability and mix_sampled."""
     names = [f"mix_{i}" for i in range(len(dims))]
     x = docs.drop(*names, "mix_tokens", "mix_probability", "mix_sampled").withColumns(dict(zip(names, dims)) | {"mix_tokens": words(text)})
-    cells = x.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"))
+    cells = stored(x.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")), "cells")
     chances = stored(calibrate(rake(cells, names, targets, iterations), keep).select(*(F.col(n).alias(f"cell_{n}") for n in names), F.col("probability").alias("mix_probability")), "chances")
     on = [F.col(n).eqNullSafe(F.col(f"cell_{n}")) for n in names]
     small = chances.count() <= broadcast_cells
