@@ -35,9 +35,18 @@ def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        x, y = _least(np.concatenate([a, *(h[0] for h in held)]), np.concatenate([b, *(h[1] for h in held)]))
+        return x[x != y], y[x != y]
+
     for x in batches:
-        a, b = _least(np.concatenate([a, x.column(0).to_numpy()]), np.concatenate([b, x.column(1).to_numpy()]))
-        a, b = a[a != b], b[a != b]
+        held.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+        if sum(len(h[0]) for h in held) > max(100_000, len(a)):
+            a, b = reduced()
+            held = []
+    a, b = reduced()
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
@@ -48,9 +57,15 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, root])), pa.array(np.concatenate([b, root]))], names=["node", "label"])
 
 
-def components(links: DataFrame, at_once: int = AT_ONCE, rounds: int = 60) -> DataFrame:
-    """node, label (the least node of its component) for all nodes of links(a, b). No link or label reaches the driver."""
-    edges = stored(links.filter("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long"), "links")
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links that a task has: each node but the least of a component, with the least."""
+    return _forest(batches)
+
+
+def components(links: DataFrame, at_once: int = AT_ONCE, rounds: int = 60, reduced: bool = False) -> DataFrame:
+    """node, label (the least node of its component) for all nodes of links(a, b). No link or label reaches the driver.
+    reduced: the links are spanning forests of their tasks already."""
+    edges = stored(links if reduced else links.filter("a <> b").select("a", "b").mapInArrow(forest, "a long, b long"), "links")
     if edges.count() <= at_once:
         return stored(edges.repartition(1).mapInArrow(_labels, "node long, label long"), "labels")
     last = None

@@ -7,7 +7,8 @@ part. A streaming pass over sorted part hashes gives stars, and their components
 which no link can be. In a cluster, sets become tiles by size; hashed bitmaps bound the overlap of two sets
 from above by counting bits, and what remains is decided by intersecting sorted arrays. Only links that
 join something new are kept. Clusters above `tile` sets are first tried against their most copied members,
-then all pairs of tiles between different components are compared, each in its own task. (Up to
+then tiles of bitmaps of different components are compared, each pair of tiles in a task of its own, and what
+their bound leaves is intersected. (Up to
 `broadcast_rows` candidates, their ids are broadcast to pick their texts; beyond that they are joined by a shuffle.)
 
 Null and empty texts, and those without words, have empty sets and are linked with nothing. A text with
@@ -17,6 +18,7 @@ each returned; a null doc_id never becomes a component's id unless all its membe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.components import AT_ONCE, components
+from tidemark.llm.components import AT_ONCE, components, forest
 from tidemark.llm.shared import small_batches, stored
 
 SHINGLE, PERCENT, TILE, BROADCAST_ROWS = 3, 90, 512, 1_000_000
@@ -55,13 +57,20 @@ def shingle_sets(col, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bands(percent: int, limit: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The least size of each band, the differences that linked sets of its tile may have, and the parts it is dealt into."""
+    """The least size of each band, the differences that linked sets of its tile may have, and the parts it is dealt into:
+    so many that the parts beyond the differences are more than those that stay empty in the smallest set, with a margin."""
     low = [1]
     while low[-1] < limit:
         low.append(low[-1] + max(1, low[-1] // 2))
     low = np.array(low, np.int64)
     differ = (2 * (low[1:] - 1) * (100 - percent)) // (100 + percent)
-    return low, differ, differ + 2 + differ // 16
+    parts = []
+    for k, d in zip((-(-percent * low[:-1] // 100)).tolist(), differ.tolist()):
+        p = d + 2
+        while p < 2 * d + 2 and p - d <= 1 + (e := p * math.exp(-k / p)) + 3 * math.sqrt(e):
+            p += max(1, p // 64)
+        parts.append(p)
+    return low, differ, np.array(parts)
 
 
 def part_hashes(sh: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,16 +113,26 @@ def overlap_bound(nx: int, bx: np.ndarray, n: np.ndarray, b: np.ndarray) -> np.n
     return np.minimum(nx - np.bitwise_count(bx & ~b).sum(1, dtype=np.int64), n - np.bitwise_count(b & ~bx).sum(1, dtype=np.int64))
 
 
-def bitmaps(sets: list[np.ndarray], at_most: int = 1 << 15) -> np.ndarray:
-    width = 64
-    while width < 2 * max(map(len, sets)) and width < at_most:
-        width *= 2
-    out = np.zeros((len(sets), width // 8), np.uint8)
-    for i, s in enumerate(sets):
-        bit = np.zeros(width, bool)
-        bit[(s & np.uint64(width - 1)).astype(np.int64)] = True
-        out[i] = np.packbits(bit)
-    return out.view(np.uint64)
+def bitmap(s: np.ndarray, width: int) -> np.ndarray:
+    bit = np.zeros(width, bool)
+    bit[(s & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bit).view(np.uint64)
+
+
+def width_of(n: int, at_most: int = 1 << 15) -> int:
+    return min(at_most, max(64, 1 << (2 * n - 1).bit_length()))
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    width = width_of(max(map(len, sets)))
+    return np.stack([bitmap(s, width) for s in sets])
+
+
+def folded(b: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap as it would be with fewer words: bits that then fall together are joined."""
+    while len(b) > words:
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return b
 
 
 def linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -160,33 +179,41 @@ def _arrays(col) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in col.to_pylist()]
 
 
-def sets_of(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """row, key, n, cid and chk (two hashes of the set; null if it is empty), and part hashes of the first row of each set in a task."""
+def sets_of(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """row, key, n, cid and chk (two hashes of the set; null if it is empty)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for b in batches:
             sh, at = shingle_sets(b.column(2), k)
             cid, chk = _identity(sh, at)
             size = np.diff(at)
-            first = np.zeros(len(size), bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), pa.array(chk, mask=size == 0)], names=["row", "key", "n", "cid", "chk"])
+
+    base = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("key"), docs[text].alias("text"))
+    return base.mapInArrow(run, f"row long, key {kind}, n long, cid long, chk long")
+
+
+def parts_of(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """sig, cid: the part hashes of the first row of each set in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            sh, at = shingle_sets(b.column(0), k)
+            cid, _ = _identity(sh, at)
+            size, own = np.diff(at), []
             for i, c in enumerate(cid.tolist()):
                 if size[i] and c not in seen:
                     seen.add(c)
-                    first[i] = True
-            own = np.flatnonzero(first)
+                    own.append(i)
+            own = np.array(own, np.int64)
             m = size[own]
             el = np.repeat(at[:-1][own], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             sig, doc = part_hashes(sh[el], np.concatenate([[0], np.cumsum(m)]), percent)
-            order = np.argsort(doc, kind="stable")
-            upto = np.searchsorted(own[doc[order]], np.arange(len(size) + 1))
-            sigs = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(sig[order].view(np.int64)))
-            gone = size == 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(cid, mask=gone), pa.array(chk, mask=gone), sigs], names=["row", "key", "n", "cid", "chk", "sigs"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cid[own[doc]])], names=["sig", "cid"])
 
-    base = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("key"), docs[text].alias("text"))
-    return base.mapInArrow(run, f"row long, key {kind}, n long, cid long, chk long, sigs array<long>")
+    return docs.select(text).mapInArrow(run, "sig long, cid long")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +231,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, lead = s[-1], leads[-1]
         differ = leads != c
         if differ.any():
-            a, o = np.unique(np.stack([leads[differ], c[differ]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(o)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(leads[differ]), pa.array(c[differ])], names=["a", "b"])
 
 
 def _checked_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -215,7 +241,7 @@ def _checked_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS, at_once: int = AT_ONCE) -> DataFrame:
     """row, key, n, cid of every row, its component (a class in it; null for empty sets) and that component's least key (component_key), for links of percent or more."""
     small_batches(docs.sparkSession, 4)
-    rows = stored(sets_of(docs, key, text, k, percent), "sets")
+    rows = stored(sets_of(docs, key, text, k), "sets")
     classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("key").alias("least"), (F.min("chk") != F.max("chk")).alias("clash"))
     classes = stored(classes, "classes")
     if classes.filter("clash").limit(1).count():
@@ -228,8 +254,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
 
 
 def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, text: str, k: int, percent: int, tile: int, broadcast_rows: int, at_once: int) -> DataFrame:
-    sig = rows.select(F.explode("sigs").alias("sig"), "cid")
-    clusters = components(sig.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_stars, "a long, b long"), at_once)
+    sig = parts_of(docs, text, k, percent)
+    # one Python worker a task makes stars and reduces them to a forest
+    clusters = components(sig.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(lambda batches: forest(_stars(batches)), "a long, b long"), at_once, reduced=True)
     size = clusters.groupBy("label").agg(F.count("*").alias("size"))
     nodes = stored(clusters.withColumnRenamed("node", "cid").join(size, "label").join(classes, "cid").select("cid", "row", "copies", "label", "size"), "nodes")
     count, largest = nodes.agg(F.count("*"), F.max("size")).first()
@@ -245,7 +272,7 @@ def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, text: str, k: i
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), docs[text].alias("text"))
     texts = base.join(_checked_broadcast(nodes.select("row", "cid"), count, broadcast_rows), "row").select("cid", "text")
-    sets = texts.mapInArrow(run, "cid long, shingles binary")
+    sets = texts.mapInArrow(run, "cid long, shingles binary")  # read again for each use: only what a use needs is kept
     small = nodes.filter(F.col("size") <= tile).select("cid", "label")
 
     def by_cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,25 +334,41 @@ def _big_links(sets: DataFrame, percent: int, tile: int, at_once: int, lead_byte
         return links
     # sets outside their cluster's largest part (side 0) meet each other and all sets of that part (side 1), in blocks of half a tile
     left = state.join(top, "label").withColumn("side", (F.col("part") == F.col("top.part")).cast("int"))
-    sized = left.join(sets.select("cid", F.length("shingles").alias("bytes")), "cid")
-    order = Window.partitionBy("label", "side").orderBy("bytes", "cid")
-    blocks = stored(sized.withColumn("block", F.floor((F.row_number().over(order) - 1) / (tile // 2))).select("cid", "label", "part", "side", "block", "bytes"), "blocks")
-    span = blocks.groupBy("label", "side", "block").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"))
+    bits = sets.select("cid", "shingles").mapInArrow(_bits, "cid long, n long, bits binary")
+    sized = left.join(bits, "cid")
+    order = Window.partitionBy("label", "side").orderBy("n", "cid")
+    blocks = stored(sized.withColumn("block", F.floor((F.row_number().over(order) - 1) / (tile // 2))).select("cid", "label", "part", "side", "block", "n", "bits"), "blocks")
+    span = blocks.groupBy("label", "side", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = span.filter("side = 0").alias("x"), span.alias("y")
     near = F.expr(f"x.label = y.label and (y.side = 1 or y.block >= x.block) and 100 * y.hi >= {percent} * x.lo and 100 * x.hi >= {percent} * y.lo")
     met = x.join(y, near).select(F.col("x.label").alias("label"), F.col("x.block").alias("xb"), F.col("y.side").alias("ys"), F.col("y.block").alias("yb"))
     met = met.withColumn("job", F.xxhash64("label", "xb", "ys", "yb"))
     sides = met.select("job", "label", F.lit(0).alias("side"), F.col("xb").alias("block")).unionByName(met.select("job", "label", F.col("ys").alias("side"), F.col("yb").alias("block"))).distinct()
-    work = sides.join(blocks, ["label", "side", "block"]).select("job", "cid", "part").join(sets.select("cid", "shingles"), "cid")
+    work = sides.join(blocks, ["label", "side", "block"]).select("job", "cid", "part", "n", "bits")
 
     def compare(t: pa.Table) -> pa.Table:
-        c = t.column("cid").to_numpy()
-        _, group = np.unique(t.column("part").to_numpy(), return_inverse=True)
-        found = tile_links(_arrays(t.column("shingles")), percent, group)
-        x, y = np.array(found, np.int64).reshape(-1, 2).T
-        return pa.table({"a": c[x], "b": c[y]})
-
-    return links.unionByName(stored(work.groupBy("job").applyInArrow(compare, "a long, b long"), "block-links"))
+        """Pairs of different components whose bitmaps leave room for a link."""
+        c, part, n = (t.column(i).to_numpy() for i in ("cid", "part", "n"))
+        raw = [np.frombuffer(v, np.uint64) for v in t.column("bits").to_pylist()]
+        words = min(map(len, raw))
+        b = np.stack([folded(v, words) for v in raw])
+        out = []
+        for i in range(len(c)):
+            rest = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * n[i + 1 :] >= percent * n[i]) & (percent * n[i + 1 :] <= 100 * n[i])) + i + 1
+            rest = rest[(100 + percent) * overlap_bound(n[i], b[i], n[rest], b[rest]) >= percent * (n[i] + n[rest])]
+            out += [(c[i], c[j]) for j in rest]
+        a, z = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": z})
+
+    some = work.groupBy("job").applyInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
+    return links.unionByName(stored(some.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(pairs, "a long, b long"), "block-links"))
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = _arrays(b.column(1))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s, width_of(len(s))).tobytes() for s in sets], pa.binary())], names=["cid", "n", "bits"])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
