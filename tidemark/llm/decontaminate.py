@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import words as W
 from tidemark.llm.shared import small_batches
 
-WINDOW, SHARD_WORDS, BLOCK_BYTES, SAMPLE = 10, 2_000_000, 16 << 20, 8
+WINDOW, SHARD_WORDS, BLOCK_BYTES, SAMPLE = 10, 1_000_000, 16 << 20, 8
 
 
 @dataclass
@@ -242,7 +242,7 @@ def blocks(benchmark: DataFrame, key: str, text: str, window: int, block_bytes:
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each row of docs: its key, n_words, the items found as sorted strings, and merged removal spans."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4)
     base = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.monotonically_increasing_id().alias("row"))
     passes = []
     for p in blocks(benchmark, item_key, item_text, window, block_bytes):
@@ -288,7 +288,7 @@ def n_hit(spans="spans"):
 def drop_hit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs without any occurrence of a phrase, all columns as they are. One pass for each block of items, chained."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4)
     place, out = docs.columns.index(text), docs
     for p in blocks(benchmark, item_key, item_text, window, block_bytes):
         sent = spark.sparkContext.broadcast(p)

@@ -23,7 +23,7 @@ _SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B,
 
 
 class Encoder:
-    def __init__(self, path: str, pieces: bool = True, most: int = 400_000):
+    def __init__(self, path: str, pieces: bool = True, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -88,7 +88,10 @@ class Encoder:
         pool, begin, length = self._distinct(distinct.to_pylist())
         size = length[code]
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = pool[np.repeat(begin[code] - upto[:-1], size) + np.arange(upto[-1])]
+        at_pool = np.repeat(begin[code] - upto[:-1], size)
+        at_pool += np.arange(upto[-1])
+        ids = pool[at_pool]
+        pa.default_memory_pool().release_unused()
         return ids, upto[np.searchsorted(at, offs)]
 
 
