@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import small_batches
+from tidemark.llm.shared import small_batches, stored
 from tidemark.llm.tokens import encoder
 
 
 def lengths(docs: DataFrame, tokenizer: str, text: str = "text", pieces: bool = True) -> DataFrame:
     """length, n_docs: partial counts of each batch."""
-    small_batches(docs.sparkSession, 8)
+    small_batches(docs.sparkSession, 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, pieces)
@@ -36,7 +36,7 @@ def lengths(docs: DataFrame, tokenizer: str, text: str = "text", pieces: bool =
 
 def by_limit(histogram: DataFrame, block: int = 1024) -> DataFrame:
     """For each length: n_docs of it, docs_from and tokens_from (that long or longer), docs_over, tokens_total, truncated_tokens, share_within."""
-    h = histogram.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / block))
+    h = stored(histogram, "lengths").withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / block))
     every = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
     whole = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t")).select(
