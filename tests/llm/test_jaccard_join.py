@@ -71,12 +71,26 @@ def test_linked_sets_share_a_part(percent):
         rows = corpus(seed, 140)
         s = [shingles(t) for _, t in rows]
         sh, at = J.shingle_sets(pa.array([t for _, t in rows], pa.string()), 3)
-        sig, doc = J.part_hashes(sh, at, percent)
+        sig, doc, *by_tile = J.part_hashes(sh, at, percent)
         have = [set(sig[doc == i].tolist()) for i in range(len(rows))]
+        need = {(d, t): n for d, t, n in zip(*(x.tolist() for x in by_tile))}
         for i in range(len(rows)):
             for j in range(i):
                 if s[i] and s[j] and s[i] != s[j] and 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j]):
-                    assert have[i] & have[j]
+                    both = [x & 63 for x in have[i] & have[j]]
+                    assert any(both.count(t) >= max(need[i, t], need[j, t]) for t in set(both))
+
+
+def test_shared_rows_over_batches():
+    r = np.random.default_rng(4)
+    for step in (1, 2, 3, 7, 100):
+        s, c = np.sort(r.integers(0, 12, 40)), r.integers(0, 3, 40)
+        order = np.lexsort((c, s))
+        s, c = s[order], c[order]
+        batches = [pa.RecordBatch.from_arrays([pa.array(s[i : i + step]), pa.array(c[i : i + step])], names=["sig", "cid"]) for i in range(0, 40, step)]
+        got = [tuple(x.values()) for b in J._shared(iter(batches)) for x in b.to_pylist()]
+        pairs = set(zip(s.tolist(), c.tolist()))
+        assert sorted(got) == sorted(p for p in pairs if sum(q[0] == p[0] for q in pairs) > 1)
 
 
 def test_bound_is_never_below_the_overlap():

@@ -1,6 +1,6 @@
 """Connected components of a link table.
 
-Each task first reduces its links to a spanning forest. If what is left is at most `at_once` links, one task
+Distinct links are dealt out, and each task reduces its own to a spanning forest. If what is left is at most `at_once` links, one task
 joins the forests (some 50 bytes a link); beyond that, alternating large and small stars run over all machines.
 """
 
@@ -57,15 +57,9 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, root])), pa.array(np.concatenate([b, root]))], names=["node", "label"])
 
 
-def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the links that a task has: each node but the least of a component, with the least."""
-    return _forest(batches)
-
-
-def components(links: DataFrame, at_once: int = AT_ONCE, rounds: int = 60, reduced: bool = False) -> DataFrame:
-    """node, label (the least node of its component) for all nodes of links(a, b). No link or label reaches the driver.
-    reduced: the links are spanning forests of their tasks already."""
-    edges = stored(links if reduced else links.filter("a <> b").select("a", "b").mapInArrow(forest, "a long, b long"), "links")
+def components(links: DataFrame, at_once: int = AT_ONCE, rounds: int = 60) -> DataFrame:
+    """node, label (the least node of its component) for all nodes of links(a, b). No link or label reaches the driver."""
+    edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().mapInArrow(_forest, "a long, b long"), "links")
     if edges.count() <= at_once:
         return stored(edges.repartition(1).mapInArrow(_labels, "node long, label long"), "labels")
     last = None

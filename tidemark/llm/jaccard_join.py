@@ -3,8 +3,9 @@
 A set is held as sorted 64-bit hashes of its shingles. Texts with equal sets form one class at once. Sets
 that are linked differ in at most (1 - t) / (1 + t) of their sizes' sum, so within a band of sizes all
 shingles are dealt by hash into more parts than the band allows differences: linked sets have an equal
-part. A streaming pass over sorted part hashes gives stars, and their components are clusters outside of
-which no link can be. In a cluster, sets become tiles by size; hashed bitmaps bound the overlap of two sets
+part, and more of them the more parts there are. A streaming pass over sorted part hashes keeps those that sets share;
+sets that share fewer than a link needs are dropped, exactly. Components of what is left are clusters outside of which
+no link can be. In a cluster, sets become tiles by size; hashed bitmaps bound the overlap of two sets
 from above by counting bits, and what remains is decided by intersecting sorted arrays. Only links that
 join something new are kept. Clusters above `tile` sets are first tried against their most copied members,
 then tiles of bitmaps of different components are compared, each pair of tiles in a task of its own, and what
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.components import AT_ONCE, components, forest
+from tidemark.llm.components import AT_ONCE, components
 from tidemark.llm.shared import small_batches, stored
 
-SHINGLE, PERCENT, TILE, BROADCAST_ROWS = 3, 90, 512, 1_000_000
+SHINGLE, PERCENT, TILE, BROADCAST_ROWS, TILE_BITS = 3, 90, 512, 1_000_000, 63
 
 
 def shingle_sets(col, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +74,9 @@ def bands(percent: int, limit: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, n
     return low, differ, np.array(parts)
 
 
-def part_hashes(sh: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each set, hashes of its parts in its own tile and, if it is near the next band, in that; with the set of each."""
+def part_hashes(sh: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """For each set, hashes of its parts in its own tile and, if it is near the next band, in that; with the set of each.
+    Then, for each set and tile: the set, the tile, and how many part hashes it shares at least with any linked set there."""
     low, differ, parts = bands(percent)
     size = np.diff(at)
     own = np.searchsorted(low, size, side="right") - 1
@@ -94,8 +96,15 @@ def part_hashes(sh: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarra
     line = np.repeat(np.arange(len(doc)), p)
     sig = W.mix(W.mix(value) + W.mix((tile[line] << 32).astype(np.uint64) + (np.arange(total) - base[line] + 1).astype(np.uint64)))
     empty = np.bincount(line, weights=count == 0, minlength=len(doc)).astype(np.int64)
-    many = empty >= p - differ[tile]  # so many empty parts that the equal part may be one of them
-    return np.concatenate([sig[count > 0], W.mix(tile[many].astype(np.uint64) + np.uint64(1 << 60))]), np.concatenate([doc[line[count > 0]], doc[many]])
+    spare = p - differ[tile] - empty  # a linked set shares at least so many parts that aren't empty
+    many = spare <= 0  # so many empty parts that the equal part may be one of them
+    sig = np.concatenate([_tagged(sig[count > 0], tile[line[count > 0]]), _tagged(W.mix(tile[many].astype(np.uint64) + np.uint64(1 << 60)), tile[many])])
+    return sig, np.concatenate([doc[line[count > 0]], doc[many]]), doc, tile, np.maximum(spare, 1)
+
+
+def _tagged(sig: np.ndarray, tile: np.ndarray) -> np.ndarray:
+    """A part hash whose lowest six bits are its tile."""
+    return (sig & ~np.uint64(TILE_BITS)) | tile.astype(np.uint64)
 
 
 def _identity(sh: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +188,8 @@ def _arrays(col) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in col.to_pylist()]
 
 
-def sets_of(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """row, key, n, cid and chk (two hashes of the set; null if it is empty)."""
+def sets_of(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """row, key, n, cid and chk (two hashes of the set; null if it is empty), and by tile how many part hashes it must share."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +197,14 @@ def sets_of(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             sh, at = shingle_sets(b.column(2), k)
             cid, chk = _identity(sh, at)
             size = np.diff(at)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), pa.array(chk, mask=size == 0)], names=["row", "key", "n", "cid", "chk"])
+            _, _, doc, tile, need = part_hashes(sh, at, percent)
+            by = np.argsort(doc, kind="stable")
+            upto = pa.array(np.searchsorted(doc[by], np.arange(len(size) + 1)), pa.int32())
+            tiles = pa.ListArray.from_arrays(upto, pa.array((need[by] << 6) | tile[by], pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), pa.array(chk, mask=size == 0), tiles], names=["row", "key", "n", "cid", "chk", "tiles"])
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("key"), docs[text].alias("text"))
-    return base.mapInArrow(run, f"row long, key {kind}, n long, cid long, chk long")
+    return base.mapInArrow(run, f"row long, key {kind}, n long, cid long, chk long, tiles array<long>")
 
 
 def parts_of(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
@@ -210,28 +223,42 @@ def parts_of(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
             own = np.array(own, np.int64)
             m = size[own]
             el = np.repeat(at[:-1][own], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            sig, doc = part_hashes(sh[el], np.concatenate([[0], np.cumsum(m)]), percent)
+            sig, doc, *_ = part_hashes(sh[el], np.concatenate([[0], np.cumsum(m)]), percent)
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cid[own[doc]])], names=["sig", "cid"])
 
     return docs.select(text).mapInArrow(run, "sig long, cid long")
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (sig, cid) in order: (first cid of the sig, other cid) of sigs that different sets share."""
-    sig = cid = lead = None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (sig, cid) in order: the distinct rows of sigs that different sets share. Between batches only the last
+    row's sig, that sig's first cid, whether it has been given out, and the last cid are held."""
+    sig = lead = last = None
+    out = False
     for b in batches:
         s, c = b.column(0).to_numpy(), b.column(1).to_numpy()
         if not len(s):
             continue
+        if s[0] == sig and not out:  # the first row of an open group may still be needed
+            s, c = np.concatenate([[sig], s]), np.concatenate([[lead], c])
+            fresh = True
+        else:
+            fresh = s[0] != sig
         new = np.ones(len(s), bool)
         new[1:] = s[1:] != s[:-1]
-        new[0] = sig is None or s[0] != sig
-        at = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-        leads = np.where(at < 0, lead if lead is not None else 0, c[np.maximum(at, 0)])
-        sig, lead = s[-1], leads[-1]
-        differ = leads != c
-        if differ.any():
-            yield pa.RecordBatch.from_arrays([pa.array(leads[differ]), pa.array(c[differ])], names=["a", "b"])
+        again = np.zeros(len(s), bool)
+        again[1:] = ~new[1:] & (c[1:] == c[:-1])
+        if not fresh:
+            new[0] = False
+            again[0] = c[0] == last
+        group = np.cumsum(new) - (1 if new[0] else 0)
+        differ = np.bincount(group, weights=~new & ~again) > 0  # a group that goes on from before has been found to be shared
+        if not fresh:
+            differ[0] = True
+        keep = differ[group] & ~again
+        sig, last, out = s[-1], c[-1], bool(differ[group[-1]])
+        lead = c[np.flatnonzero(new)[-1]] if new.any() else lead
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(c[keep])], names=["sig", "cid"])
 
 
 def _checked_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -241,7 +268,7 @@ def _checked_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS, at_once: int = AT_ONCE) -> DataFrame:
     """row, key, n, cid of every row, its component (a class in it; null for empty sets) and that component's least key (component_key), for links of percent or more."""
     small_batches(docs.sparkSession, 4)
-    rows = stored(sets_of(docs, key, text, k), "sets")
+    rows = stored(sets_of(docs, key, text, k, percent), "sets")
     classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("key").alias("least"), (F.min("chk") != F.max("chk")).alias("clash"))
     classes = stored(classes, "classes")
     if classes.filter("clash").limit(1).count():
@@ -255,8 +282,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
 
 def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, text: str, k: int, percent: int, tile: int, broadcast_rows: int, at_once: int) -> DataFrame:
     sig = parts_of(docs, text, k, percent)
-    # one Python worker a task makes stars and reduces them to a forest
-    clusters = components(sig.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(lambda batches: forest(_stars(batches)), "a long, b long"), at_once, reduced=True)
+    shared = stored(sig.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_shared, "sig long, cid long"), "shared")
+    tile_of = F.col("sig").bitwiseAND(F.lit(TILE_BITS)).alias("tile")
+    need = rows.filter("cid is not null").select("cid", F.explode("tiles").alias("t")).groupBy("cid", F.col("t").bitwiseAND(F.lit(TILE_BITS)).alias("tile")).agg(F.min(F.shiftright("t", 6)).alias("need"))
+    # sets that share too few parts in a tile have no link there
+    live = stored(shared.groupBy("cid", tile_of).agg(F.count("*").alias("have")).join(need, ["cid", "tile"]).filter("have >= need").select("cid", "tile"), "live")
+    shared = shared.withColumn("tile", tile_of).join(_checked_broadcast(live, live.count(), broadcast_rows), ["cid", "tile"], "left_semi").select("sig", "cid")
+    clusters = components(shared.groupBy("sig").agg(F.min("cid").alias("a")).join(shared, "sig").select("a", F.col("cid").alias("b")), at_once)
     size = clusters.groupBy("label").agg(F.count("*").alias("size"))
     nodes = stored(clusters.withColumnRenamed("node", "cid").join(size, "label").join(classes, "cid").select("cid", "row", "copies", "label", "size"), "nodes")
     count, largest = nodes.agg(F.count("*"), F.max("size")).first()
