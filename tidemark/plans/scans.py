@@ -12,9 +12,14 @@ from tidemark.sources import sinks as K
 from tidemark.sources import tables as T
 
 
+MOST = 20_000
+
+
 def _text(df, sep: str, cols=None) -> str:
-    """A small table as delimited text."""
-    rows = [df.columns if cols is None else cols, *df.limit(20_000).collect()]
+    """A small table as delimited text; larger ones are refused."""
+    rows = [df.columns if cols is None else cols, *df.limit(MOST + 1).collect()]
+    if len(rows) > MOST + 1:
+        raise ValueError(f"more than {MOST} rows are not written by the driver")
     return "\n".join(sep.join("" if v is None else str(v) for v in r) for r in rows) + "\n"
 
 
@@ -65,6 +70,15 @@ def _zipped(spark, name: str, members: dict[str, str]) -> list[str]:
     return [T.write_bytes(spark, f"{K.scratch(spark, name)}/{name}.zip", A.make_zip(members))]
 
 
+def _archives(spark, name: str, sep: str, members: dict) -> list[str]:
+    """Tables of any size as members of archives that executors write."""
+    lines = None
+    for m, df in members.items():
+        one = A.member_lines(df, m, sep)
+        lines = one if lines is None else lines.unionByName(one)
+    return A.write_zips(lines, K.scratch(spark, name), {m: sep.join(df.columns) for m, df in members.items()})
+
+
 @query("S7_zip_member", "SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS name FROM nation")
 def s7(spark, sf):
     z = _zipped(spark, "s7", {"readme.htm": "x", "d/sub.txt": _text(_nation(spark, sf), "\t"), "d/z.txt": "a\n"})
@@ -84,7 +98,7 @@ def s8(spark, sf):
 def _facts(spark, sf):
     o = read(spark, sf, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("adsh"), F.col("o_custkey").alias("cik"), F.date_format("o_orderdate", "yyyyMMdd").alias("period"))
     l = read(spark, sf, "lineitem").filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("adsh"), F.lit("Assets").alias("tag"), F.date_format("l_shipdate", "yyyyMMdd").alias("ddate"), F.col("l_linenumber").alias("qtrs"), F.lit("USD").alias("uom"), F.round("l_extendedprice", 2).cast("decimal(20,2)").alias("value"))
-    return _zipped(spark, "facts", {"sub.txt": _text(o, "\t"), "num.txt": _text(l, "\t")})
+    return _archives(spark, "facts", "\t", {"sub.txt": o, "num.txt": l})
 
 
 @query("S9_fact_archive", "SELECT CAST(o_orderkey AS VARCHAR) AS adsh, CASE WHEN o_custkey > 0 THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS issuer_cik, CAST(o_orderdate AS DATE) AS fiscal_period_end FROM orders WHERE o_orderkey % 20 = 0")
@@ -125,8 +139,8 @@ def s13(spark, sf):
 
 @query("S14_form_ap", "SELECT CAST(s_suppkey AS VARCHAR) AS form_filing_id, CASE WHEN s_suppkey > 0 THEN lpad(CAST(s_suppkey AS VARCHAR), 10, '0') END AS issuer_cik, TIMESTAMP '2020-03-01' AS filing_date FROM supplier")
 def s14(spark, sf):
-    s = read(spark, sf, "supplier").select("s_suppkey", F.col("s_suppkey").alias("c"), F.lit("03/01/2020").alias("d"))
-    z = _zipped(spark, "ap", {"FirmFilings.csv": _text(s, ",", ["Form Filing ID", "Issuer CIK", "Filing Date"])})
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("Form Filing ID"), F.col("s_suppkey").alias("Issuer CIK"), F.lit("03/01/2020").alias("Filing Date"))
+    z = _archives(spark, "ap", ",", {"FirmFilings.csv": s})
     return A.form_ap(A.zip_rows(spark, z, "FirmFilings")).select("form_filing_id", "issuer_cik", "filing_date")
 
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 import csv
 import io
 import json
+import uuid
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from tidemark.functions import normalize as N
 from tidemark.operators.audit import assert_no_conflict
 from tidemark.operators.facts import CONTEXT, exact
 from tidemark.operators.temporal import first_by
-from tidemark.sources.tables import sniff
+from tidemark.sources.tables import filesystem, sniff
 
 
 def pick_members(names: Sequence[str], stem: str) -> list[str]:
@@ -153,5 +155,42 @@ def make_zip(members: Mapping[str, str]) -> bytes:
     return out.getvalue()
 
 
+def member_lines(df: DataFrame, member: str, sep: str) -> DataFrame:
+    """member, line: the rows of df as lines of a delimited member; nulls are empty."""
+    return df.select(F.lit(member).alias("member"), F.concat_ws(sep, *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns)).alias("line"))
+
+
+def write_zips(lines: DataFrame, path: str, heads: Mapping[str, str] = {}, per_file: int = 100_000) -> list[str]:
+    """Zip files in a new folder that all machines share, from rows of member and line; returns their paths.
+
+    Each task writes one file of about per_file lines as a stream, each member in it with its head, so no row comes to
+    the driver. Names are new on each attempt and only those of tasks that ended are returned.
+    """
+    fs, p = filesystem(lines.sparkSession, path)
+    fs.mkdirs(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri = f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
+        system, folder = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+        name, member, out = f"{uuid.uuid4().hex}.zip", None, None
+        with system.open_output_stream(f"{folder}/{name}", compression=None) as file, zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+            for b in batches:
+                for m, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if m != member:
+                        if out:
+                            out.close()
+                        member, out = m, z.open(m, "w", force_zip64=True)
+                        if m in heads:
+                            out.write(f"{heads[m]}\n".encode())
+                    out.write(f"{line}\n".encode())
+            if out:
+                out.close()
+        yield pa.RecordBatch.from_pylist([{"file": name}])
+
+    parts = max(1, -(-lines.count() // per_file))
+    done = lines.select("member", "line").repartition(parts).sortWithinPartitions("member").mapInArrow(run, "file string").collect()
+    return [f"{path}/{r.file}" for r in done]
+
+
 def to_json(value: object) -> str:
     return json.dumps(value)
