@@ -118,6 +118,16 @@ def j14(spark, sf):
     return left.join(right, ["t", "v"]).select("t", "id", "sid").dropDuplicates()
 
 
+@query("J14_all_typed_identifiers", "WITH c AS (SELECT 'key' AS t, CAST(c_custkey AS VARCHAR) AS v, c_custkey AS id FROM customer UNION ALL SELECT 'segment', c_mktsegment, c_custkey FROM customer), s AS (SELECT 'key' AS t, CAST(s_suppkey AS VARCHAR) AS v, s_suppkey AS sid FROM supplier UNION ALL SELECT 'segment', 'BUILDING', s_suppkey FROM supplier) SELECT t, id, count(DISTINCT sid) AS matches, min(sid) AS least FROM c JOIN s USING (t, v) GROUP BY t, id")
+def j14_all(spark, sf):
+    """All identifiers; one side is counted by identifier before the join, so the result has a row for each id and type."""
+    c, s = read(spark, sf, "customer"), read(spark, sf, "supplier")
+    left = c.select(F.explode(F.array(F.struct(F.lit("key").alias("t"), F.col("c_custkey").cast("string").alias("v")), F.struct(F.lit("segment").alias("t"), F.col("c_mktsegment").alias("v")))).alias("i"), F.col("c_custkey").alias("id")).select("i.t", "i.v", "id")
+    right = s.select(F.explode(F.array(F.struct(F.lit("key").alias("t"), F.col("s_suppkey").cast("string").alias("v")), F.struct(F.lit("segment").alias("t"), F.lit("BUILDING").alias("v")))).alias("i"), F.col("s_suppkey").alias("sid")).select("i.t", "i.v", "sid")
+    by = right.dropDuplicates().groupBy("t", "v").agg(F.count("sid").alias("matches"), F.min("sid").alias("least"))
+    return left.dropDuplicates().join(by, ["t", "v"]).select("t", "id", "matches", "least")
+
+
 @query("J15_bridge_join", "SELECT s_suppkey, c_custkey, coalesce(n, 0) AS n FROM supplier LEFT JOIN (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 10 = 0) ON s_nationkey = c_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def j15(spark, sf):
     c = read(spark, sf, "customer").filter("c_custkey % 10 = 0").select("c_custkey", "c_nationkey")
@@ -125,6 +135,15 @@ def j15(spark, sf):
     return read(spark, sf, "supplier").join(c, F.col("s_nationkey") == F.col("c_nationkey"), "left").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("s_suppkey", "c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query("J15_all_bridge_join", "SELECT s_suppkey, count(c_custkey) AS customers, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM supplier LEFT JOIN customer ON s_nationkey = c_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey GROUP BY 1")
+def j15_all(spark, sf):
+    """The whole crosswalk; customers are summed by nation before the join, so the result has a row for each supplier."""
+    o = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    c = read(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.sum("n").alias("n"))
+    j = read(spark, sf, "supplier").join(c, F.col("s_nationkey") == F.col("c_nationkey"), "left")
+    return j.select("s_suppkey", *(F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("customers", "n")))
+
+
 @query("J16_four_way", "SELECT n_name, count(*) AS n, round(sum(l_extendedprice), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def j16(spark, sf):
     l, o, c, n = (read(spark, sf, t) for t in ("lineitem", "orders", "customer", "nation"))

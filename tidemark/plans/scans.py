@@ -95,15 +95,40 @@ def s8(spark, sf):
     return issuer.select("issuer_cik", "entity_name").join(f, "issuer_cik")
 
 
-def _facts(spark, sf):
-    o = read(spark, sf, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("adsh"), F.col("o_custkey").alias("cik"), F.date_format("o_orderdate", "yyyyMMdd").alias("period"))
-    l = read(spark, sf, "lineitem").filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("adsh"), F.lit("Assets").alias("tag"), F.date_format("l_shipdate", "yyyyMMdd").alias("ddate"), F.col("l_linenumber").alias("qtrs"), F.lit("USD").alias("uom"), F.round("l_extendedprice", 2).cast("decimal(20,2)").alias("value"))
+@query("S8_all_submissions", "SELECT lpad(CAST(c_custkey + 1 AS VARCHAR), 10, '0') AS issuer_cik, c_name AS entity_name, CAST(3 AS BIGINT) AS filings, '10-K;8-K' AS forms FROM customer")
+def s8_all(spark, sf):
+    k = (F.col("c_custkey") + 1).cast("string")
+    texts = lambda *v: F.array(*(F.lit(x) for x in v))
+    numbers = F.array(*(F.concat(F.col("c_custkey").cast("string"), F.lit(f"-{i}")) for i in (1, 2, 3)))
+    recent = F.struct(numbers.alias("accessionNumber"), texts("2020-01-01", "2020-05-01", "bad").alias("filingDate"), texts("10-K", "8-K", "8-K").alias("form"), texts("", "4.02", None).alias("items"))
+    one = F.to_json(F.struct(k.alias("cik"), F.col("c_name").alias("name"), F.struct(recent.alias("recent")).alias("filings")))
+    lines = read(spark, sf, "customer").select(F.concat(F.lit("CIK"), F.lpad(k, 10, "0"), F.lit(".json")).alias("member"), one.alias("line"))
+    issuer, filing = A.submissions(A.zip_texts(spark, A.write_zips(lines, K.scratch(spark, "s8"), per_file=5000)))
+    f = filing.groupBy("issuer_cik").agg(F.count("*").alias("filings"), F.array_join(F.array_sort(F.collect_set("form")), ";").alias("forms"))
+    return issuer.select("issuer_cik", "entity_name").join(f, "issuer_cik")
+
+
+def _facts(spark, sf, orders="true", lines="true"):
+    o = read(spark, sf, "orders").filter(orders).select(F.col("o_orderkey").alias("adsh"), F.col("o_custkey").alias("cik"), F.date_format("o_orderdate", "yyyyMMdd").alias("period"))
+    l = read(spark, sf, "lineitem").filter(lines).select(F.col("l_orderkey").alias("adsh"), F.lit("Assets").alias("tag"), F.date_format("l_shipdate", "yyyyMMdd").alias("ddate"), F.col("l_linenumber").alias("qtrs"), F.lit("USD").alias("uom"), F.round("l_extendedprice", 2).cast("decimal(20,2)").alias("value"))
     return _archives(spark, "facts", "\t", {"sub.txt": o, "num.txt": l})
 
 
+FEW = ("o_orderkey % 20 = 0", "l_orderkey % 20 = 0")
+
+
 @query("S9_fact_archive", "SELECT CAST(o_orderkey AS VARCHAR) AS adsh, CASE WHEN o_custkey > 0 THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS issuer_cik, CAST(o_orderdate AS DATE) AS fiscal_period_end FROM orders WHERE o_orderkey % 20 = 0")
 def s9(spark, sf):
-    return A.fact_filings(A.zip_rows(spark, _facts(spark, sf), "sub")).select("adsh", "issuer_cik", "fiscal_period_end")
+    return _filings(spark, _facts(spark, sf, *FEW))
+
+
+@query("S9_all_fact_archive", "SELECT CAST(o_orderkey AS VARCHAR) AS adsh, CASE WHEN o_custkey > 0 THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS issuer_cik, CAST(o_orderdate AS DATE) AS fiscal_period_end FROM orders")
+def s9_all(spark, sf):
+    return _filings(spark, _facts(spark, sf))
+
+
+def _filings(spark, archives):
+    return A.fact_filings(A.zip_rows(spark, archives, "sub")).select("adsh", "issuer_cik", "fiscal_period_end")
 
 
 @query("S10_notes_archive", "SELECT CAST(r_regionkey AS VARCHAR) AS adsh, 2 AS note_text_count, CAST(2 * length(r_name) AS BIGINT) AS note_text_char_count FROM region")
@@ -115,7 +140,16 @@ def s10(spark, sf):
 
 @query("S11_fact_manifest", "SELECT CAST(l_orderkey AS VARCHAR) AS adsh, count(*) AS n, CAST(sum(CAST(round(l_extendedprice, 2) AS DECIMAL(28,4))) AS VARCHAR) AS total FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1")
 def s11(spark, sf):
-    f = A.core_facts(A.zip_rows(spark, _facts(spark, sf), "num"), ["Assets"])
+    return _totals(spark, _facts(spark, sf, *FEW))
+
+
+@query("S11_all_fact_manifest", "SELECT CAST(l_orderkey AS VARCHAR) AS adsh, count(*) AS n, CAST(sum(CAST(round(l_extendedprice, 2) AS DECIMAL(28,4))) AS VARCHAR) AS total FROM lineitem GROUP BY 1")
+def s11_all(spark, sf):
+    return _totals(spark, _facts(spark, sf))
+
+
+def _totals(spark, archives):
+    f = A.core_facts(A.zip_rows(spark, archives, "num"), ["Assets"])
     return f.groupBy("adsh").agg(F.count("*").alias("n"), F.sum("value").cast("string").alias("total"))
 
 
