@@ -33,7 +33,7 @@ def ml1_folds(spark, sf):
 def ml1(spark, sf):
     df = panel(spark, sf)
     ys = years(df)
-    folds = [("rolling_2y", t, tr) for _, t, tr in L.rolling_folds(ys, [2], 2)][:2]
+    folds = [("rolling_2y", t, tr) for _, t, tr in L.rolling_folds(ys, [2], 2)]
     out, _ = M.backtest(df, [M.Spec("logit", "logit", "weights", {"maxIter": 10})], folds, "y", "label", NUMERIC, "o_orderkey", ["o_orderpriority"])
     return out
 
