@@ -216,6 +216,15 @@ def opacity(p: DataFrame) -> tuple[DataFrame, list[str]]:
     return p.withColumn("missingness_density_score", total / len(parts) if parts else F.lit(0.0)), list(parts)
 
 
+NOT_CONTROLS = ("missingness_density_score", "issuer_has_fpi_form", "tickers_json", "exchanges_json", "former_names_json", "flags", "description", "phone", "ein", "prior_comment_thread_count", "public_history_comment_thread_1y_count", "public_history_comment_thread_3y_count")
+
+
+def dml_controls(columns: Sequence[str], parts: Sequence[str]) -> list[str]:
+    """All model columns but those that the opacity score is made of, states of the sources and labels (ML12)."""
+    gone = {*NOT_CONTROLS, *KEYS, *parts, *(c.replace("opacity_", "").replace("_absent", "") for c in parts)}
+    return [c for c in columns if c not in gone and not c.startswith(("missing_", "raw_missing_", "xbrl_coverage_", "source_available_", "public_date_", "vintage_", "label_", "censored_"))]
+
+
 def run_public_cascade(spark: SparkSession, panel_path: str, out: str, first_year: int, last_year: int, sets: Sequence[str] = ("metadata", "all"), windows: Sequence[int | None] = (None, 5), least_years: int = 3, spec: models.Spec | None = None, domestic_only: bool = True, jobs: int = 2, with_dml: bool = True) -> dict:
     """Three label tasks over feature families and matured folds, and the adjusted effect of opacity on each."""
     spec = spec or models.Spec("boosted", "gbt", "weights", {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1})
@@ -244,9 +253,9 @@ def run_public_cascade(spark: SparkSession, panel_path: str, out: str, first_yea
     inference = []
     if with_dml:
         q, parts = opacity(p)
-        controls = [c for c in fam["metadata"] + fam["xbrl"] if not c.startswith(("missing_", "xbrl_coverage_"))][:20]
+        controls = dml_controls(fam["all"], parts)
         for task, label in TASKS.items():
-            got = models.dml(q.filter(F.col(label).isNotNull()), label, "missingness_density_score", controls, "accession", "issuer_cik", folds=2, trees=5) if parts else {"status": "skipped_no_opacity_components"}
+            got = models.dml(q.filter(F.col(label).isNotNull()), label, "missingness_density_score", controls, "accession", "issuer_cik", trees=5) if parts else {"status": "skipped_no_opacity_components"}
             inference.append({"outcome": task, **got})
     if every is None:
         return _summary(spark, out, status="no_fits", rows=p.count(), folds=len(folds), inference=inference)
