@@ -95,3 +95,16 @@ def mix(docs: DataFrame, dims: Sequence[Column], targets: Sequence[dict | float]
 def sample(docs: DataFrame, dims: Sequence[Column], targets: Sequence[dict | float], **how) -> DataFrame:
     """The rows drawn, with the columns of docs."""
     return mix(docs, dims, targets, **how).filter("mix_sampled").select(*docs.columns)
+
+
+def shares(mixed: DataFrame, targets: Sequence[dict | float]) -> DataFrame:
+    """dimension, value, target, expected: shares of tokens wanted, and expected under the probabilities of mix (which
+    cells that reach 1 keep from the targets); the rows are those of the dimensions' values."""
+    every, out = Window.partitionBy("dimension"), None
+    for i, target in enumerate(targets):
+        t = F.sum("mix_tokens").cast("double")
+        by = mixed.groupBy(F.col(f"mix_{i}").cast("string").alias("value")).agg(t.alias("t"), F.sum(F.col("mix_tokens") * F.coalesce("mix_probability", F.lit(0.0))).alias("k"))
+        want = F.coalesce(*(F.when(F.col("value").eqNullSafe(F.lit(None if k is None else str(k))), F.lit(float(v))) for k, v in target.items()), F.lit(0.0)) if isinstance(target, dict) else F.when(F.col("t") > 0, F.pow("t", F.lit(float(target)))).otherwise(0.0)
+        by = by.select(F.lit(i).alias("dimension"), "value", want.alias("s"), "k")
+        out = by if out is None else out.unionByName(by)
+    return out.select("dimension", "value", F.try_divide("s", F.sum("s").over(every)).alias("target"), F.try_divide("k", F.sum("k").over(every)).alias("expected"))
