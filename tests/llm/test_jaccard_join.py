@@ -7,6 +7,7 @@ import pytest
 
 from tidemark.llm import jaccard_join as J
 from tidemark.llm.components import components
+from tidemark.llm.shared import Scratch
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -130,6 +131,60 @@ def test_join_equals_brute_force(spark, seed, tile, rows_sent, at_once):
     assert sorted(((r.key, r.n, r.component_key) for r in got), key=order) == sorted(brute(rows), key=order)
 
 
+@pytest.mark.parametrize("percent", [90, 60])
+def test_links_of_big_clusters_join_what_brute_force_joins(spark, percent):
+    r = random.Random(9)
+    sets = {}
+    for base in range(6):
+        whole = [r.getrandbits(60) for _ in range(r.choice([9, 30, 31, 200]))]
+        for i in range(20):
+            own = [x if r.random() > i / 300 else r.getrandbits(60) for x in whole]
+            sets[100 * base + i] = np.unique(np.array(own[: len(own) - i // 5], np.uint64))
+    df = spark.createDataFrame([(c, s.tobytes(), c % 2, 1) for c, s in sets.items()], "cid long, shingles binary, label long, copies long")
+    with Scratch(spark) as own:
+        got = [(x.a, x.b) for x in J._big_links(df, percent, 1, 10**6, 10**6, own).collect()]
+    linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))
+    assert all(linked(a, b) for a, b in got)
+    want = [(a, b) for a in sets for b in sets if a < b and a % 2 == b % 2 and linked(a, b)]
+    assert len(want) > 100 and parts(sets, got) == parts(sets, want)
+
+
+def parts(nodes, links):
+    label = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_small_sets_with_empty_pieces_are_not_one_cluster():
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 10**6, r.integers(4, 14))) for _ in range(3000)]
+    sh, at = J.shingle_sets(pa.array(texts), 1)
+    sig, doc, *_ = J.part_hashes(sh, at, 80)
+    assert max(np.unique(sig, return_counts=True)[1]) < 20
+
+
+def test_one_of_repeated_rows_stays_and_columns_keep_their_names(spark):
+    t = "one two three four five six seven"
+    rows = [(1, t, 77, "a"), (1, t, 77, "a"), (1, t, 77, "a"), (2, t + " eight", 88, "b"), (3, t, 99, "c"), (4, "quite other words stand here", 5, "d"), (None, t, 6, "e"), (None, None, 7, "f"), (8, "", 8, None), (8, "", 8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long, text_hash string")
+    kept = J.keep_one(df, percent=80)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[5], *rows[7:]], key=str)
+    for sent in (0, 10**6):
+        same = J.keep_one(df.repartition(5), percent=80, broadcast_rows=sent)
+        assert sorted(map(tuple, same.collect()), key=str) == sorted(map(tuple, kept.collect()), key=str)
+
+
+def test_long_texts(spark):
+    r = random.Random(8)
+    long = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    other = [*long[:59_000], *(f"v{i}" for i in range(1000))]
+    df = spark.createDataFrame([(5, " ".join(long)), (3, " ".join(other)), (4, " ".join(long[:50_000]))], "doc_id long, text string")
+    assert sorted((x.key, x.component_key) for x in J.join(df).collect()) == [(3, 3), (4, 4), (5, 3)]
+
+
 def test_keep_one_and_empty_tables(spark):
     rows = corpus(5)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n string")

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import Scratch
+from tidemark.llm.shared import stored as kept
 
 AT_ONCE = 2_000_000
 
@@ -57,8 +58,10 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, root])), pa.array(np.concatenate([b, root]))], names=["node", "label"])
 
 
-def components(links: DataFrame, at_once: int = AT_ONCE, rounds: int = 60) -> DataFrame:
-    """node, label (the least node of its component) for all nodes of links(a, b). No link or label reaches the driver."""
+def components(links: DataFrame, at_once: int = AT_ONCE, own: Scratch | None = None, rounds: int = 60) -> DataFrame:
+    """node, label (the least node of its component) for all nodes of links(a, b). No link or label reaches the driver.
+    own: where the tables go that are written, which then live as long as that."""
+    stored = own.stored if own else kept
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().mapInArrow(_forest, "a long, b long"), "links")
     if edges.count() <= at_once:
         return stored(edges.repartition(1).mapInArrow(_labels, "node long, label long"), "labels")

@@ -1,20 +1,30 @@
 """Self-join of texts by the Jaccard similarity of their word shingles, exact for any threshold.
 
-A set is held as sorted 64-bit hashes of its shingles. Texts with equal sets form one class at once. Sets
-that are linked differ in at most (1 - t) / (1 + t) of their sizes' sum, so within a band of sizes all
-shingles are dealt by hash into more parts than the band allows differences: linked sets have an equal
-part, and more of them the more parts there are. A streaming pass over sorted part hashes keeps those that sets share;
-sets that share fewer than a link needs are dropped, exactly. Components of what is left are clusters outside of which
-no link can be. In a cluster, sets become tiles by size; hashed bitmaps bound the overlap of two sets
-from above by counting bits, and what remains is decided by intersecting sorted arrays. Only links that
-join something new are kept. Clusters above `tile` sets are first tried against their most copied members,
-then tiles of bitmaps of different components are compared, each pair of tiles in a task of its own, and what
-their bound leaves is intersected. (Up to
-`broadcast_rows` candidates, their ids are broadcast to pick their texts; beyond that they are joined by a shuffle.)
+A set is held as sorted 64-bit hashes of its shingles; texts with equal sets form one class at once. Sets are put
+into size bands (a set near the next band into that as well, so linked sets meet in one). Bands alone would leave all
+pairs of a band to compare, so each band's sets are first brought together by pieces of their hashed signatures:
+
+* Linked sets differ in at most d = (1 - t) / (1 + t) of their sizes' sum. All shingles of a set are dealt by hash into
+  p parts of three pieces each. Two of a part's pieces are equal if at most one shingle of it differs, so of the 3 p
+  pairs of pieces linked sets have at least 2 p - d in common, whatever differs; p is chosen so that this exceeds the
+  pairs that are empty in both. A streaming pass over sorted pair hashes keeps those that sets share; sets that share
+  fewer than a link needs are dropped, exactly. A small set with too many empty pairs is also entered by its
+  smallest shingle hashes (of n, as many as a linked set can lack, and one).
+* Components of what is left are clusters, outside of which no link can be. In a cluster, sets are compared in tiles
+  of neighbouring size: hashed bitmaps bound the overlap of two sets from above by counting bits, and what the bound
+  leaves is decided by intersecting sorted arrays. Only links that join something new are kept.
+* Clusters above `tile` sets (or TILE_ELEMENTS shingles) are not held by one task. A few of their sets are tried
+  against all of them, a few times; sets that are then still apart are compared in tiles (a size band, then a hash)
+  of bitmaps, each pair of tiles in a task of its own; of what the bound leaves, one pair for each set and component is
+  intersected first, and then the pairs that are still apart.
+
+(Up to `broadcast_rows` candidates, their ids are broadcast to pick their texts; beyond that they are joined by a shuffle.)
 
 Null and empty texts, and those without words, have empty sets and are linked with nothing. A text with
 fewer words than a shingle has its whole sequence as its only one. Repeated rows, also of one doc_id, are
-each returned; a null doc_id never becomes a component's id unless all its members have none.
+each returned; a null doc_id never becomes a component's id unless all its members have none. Texts are found
+again by key and 64-bit hash, never by their place, so the input may be read in another order each time. Columns other
+than key and text are not looked at, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,14 +34,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.components import AT_ONCE, components
-from tidemark.llm.shared import small_batches, stored
+from tidemark.llm.shared import Scratch, fresh, small_batches, stored
 
 SHINGLE, PERCENT, TILE, BROADCAST_ROWS, TILE_BITS = 3, 90, 512, 1_000_000, 63
+TILE_ELEMENTS, LEAD_ROUNDS = 8 << 20, 3
 
 
 def shingle_sets(col, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,9 +68,15 @@ def shingle_sets(col, k: int) -> tuple[np.ndarray, np.ndarray]:
     return sh[new], np.searchsorted(doc[new], np.arange(n + 1))
 
 
+def common(parts: int, differ: int) -> int:
+    """The least number of pairs of pieces that sets have in common which differ in so many elements: the first one in a part costs two
+    of its three pairs, the second the last one."""
+    return 3 * parts - 2 * differ if differ <= parts else 2 * parts - differ
+
+
 def bands(percent: int, limit: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The least size of each band, the differences that linked sets of its tile may have, and the parts it is dealt into:
-    so many that the parts beyond the differences are more than those that stay empty in the smallest set, with a margin."""
+    so many that the pairs in common are more than those that stay empty in the smallest set, with a margin, or as near to it as can be."""
     low = [1]
     while low[-1] < limit:
         low.append(low[-1] + max(1, low[-1] // 2))
@@ -67,16 +84,21 @@ def bands(percent: int, limit: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, n
     differ = (2 * (low[1:] - 1) * (100 - percent)) // (100 + percent)
     parts = []
     for k, d in zip((-(-percent * low[:-1] // 100)).tolist(), differ.tolist()):
-        p = d + 2
-        while p < 2 * d + 2 and p - d <= 1 + (e := p * math.exp(-k / p)) + 3 * math.sqrt(e):
+        best, p = (-math.inf, 1), d // 2 + 1
+        while p < 2 * d + 2:
+            e = 3 * p * math.exp(-2 * k / (3 * p))
+            margin = common(p, d) - 1 - e - 3 * math.sqrt(e)
+            best = max(best, (margin, -p))
+            if margin > 0:
+                break
             p += max(1, p // 64)
-        parts.append(p)
+        parts.append(abs(best[1]))
     return low, differ, np.array(parts)
 
 
 def part_hashes(sh: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """For each set, hashes of its parts in its own tile and, if it is near the next band, in that; with the set of each.
-    Then, for each set and tile: the set, the tile, and how many part hashes it shares at least with any linked set there."""
+    """For each set, hashes of its pairs of pieces in its own tile and, if it is near the next band, in that; with the set of each.
+    Then, for each set and tile: the set, the tile, and how many of the hashes it shares at least with any linked set there."""
     low, differ, parts = bands(percent)
     size = np.diff(at)
     own = np.searchsorted(low, size, side="right") - 1
@@ -86,24 +108,34 @@ def part_hashes(sh: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarra
     keep = differ[tile] > 0  # else only equal sets are linked
     doc, tile = doc[keep], tile[keep]
     p, n = parts[tile], size[doc]
-    base = np.cumsum(p) - p
-    el = np.repeat(at[doc], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    x = W.mix(sh[el] + np.repeat(tile.astype(np.uint64), n))
-    slot = np.repeat(base, n) + ((x >> np.uint64(32)) % np.repeat(p, n).astype(np.uint64)).astype(np.int64)
-    total = int(p.sum())
+    base = 3 * (np.cumsum(p) - p)
+    x = W.mix(sh[_places(at[doc], n)] + np.repeat(tile.astype(np.uint64), n))
+    slot = np.repeat(base, n) + ((x >> np.uint64(32)) % np.repeat(3 * p, n).astype(np.uint64)).astype(np.int64)
+    total = int(3 * p.sum())
     value, count = np.zeros(total, np.uint64), np.bincount(slot, minlength=total)
     np.add.at(value, slot, W.mix(x))
-    line = np.repeat(np.arange(len(doc)), p)
-    sig = W.mix(W.mix(value) + W.mix((tile[line] << 32).astype(np.uint64) + (np.arange(total) - base[line] + 1).astype(np.uint64)))
-    empty = np.bincount(line, weights=count == 0, minlength=len(doc)).astype(np.int64)
-    spare = p - differ[tile] - empty  # a linked set shares at least so many parts that aren't empty
-    many = spare <= 0  # so many empty parts that the equal part may be one of them
-    sig = np.concatenate([_tagged(sig[count > 0], tile[line[count > 0]]), _tagged(W.mix(tile[many].astype(np.uint64) + np.uint64(1 << 60)), tile[many])])
-    return sig, np.concatenate([doc[line[count > 0]], doc[many]]), doc, tile, np.maximum(spare, 1)
+    piece = np.arange(total)
+    nxt = np.where(piece % 3 == 2, piece - 2, piece + 1)  # the pairs of a part: 0 and 1, 1 and 2, 2 and 0
+    line = np.repeat(np.arange(len(doc)), 3 * p)
+    sig = W.mix(W.mix(value) * np.uint64(3) + W.mix(value[nxt]) + W.mix((tile[line] << 32).astype(np.uint64) + (piece - base[line] + 1).astype(np.uint64)))
+    full = count + count[nxt] > 0
+    empty = np.bincount(line, weights=~full, minlength=len(doc)).astype(np.int64)
+    least = np.where(differ[tile] <= p, 3 * p - 2 * differ[tile], 2 * p - differ[tile])
+    spare = least - empty  # a linked set shares at least so many pairs that aren't empty
+    many = spare <= 0  # so many empty pairs that the common ones may be among them
+    few = n[many] - -(-percent * n[many] // 100) + 1
+    first = W.mix(W.mix(sh[_places(at[doc[many]], few)]) + np.repeat(tile[many].astype(np.uint64) + np.uint64(1 << 60), few))
+    sig = np.concatenate([_tagged(sig[full], tile[line[full]]), _tagged(first, np.repeat(tile[many], few))])
+    return sig, np.concatenate([doc[line[full]], np.repeat(doc[many], few)]), doc, tile, np.maximum(spare, 1)
+
+
+def _places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where the first n elements of sets lie that begin at these places."""
+    return np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _tagged(sig: np.ndarray, tile: np.ndarray) -> np.ndarray:
-    """A part hash whose lowest six bits are its tile."""
+    """Hashes whose lowest six bits are the tile."""
     return (sig & ~np.uint64(TILE_BITS)) | tile.astype(np.uint64)
 
 
@@ -189,7 +221,7 @@ def _arrays(col) -> list[np.ndarray]:
 
 
 def sets_of(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """row, key, n, cid and chk (two hashes of the set; null if it is empty), and by tile how many part hashes it must share."""
+    """key, th (a hash of the text), n, cid and chk (two hashes of the set; null if it is empty), and by tile how many part hashes it must share."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +233,10 @@ def sets_of(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataF
             by = np.argsort(doc, kind="stable")
             upto = pa.array(np.searchsorted(doc[by], np.arange(len(size) + 1)), pa.int32())
             tiles = pa.ListArray.from_arrays(upto, pa.array((need[by] << 6) | tile[by], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), pa.array(chk, mask=size == 0), tiles], names=["row", "key", "n", "cid", "chk", "tiles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), pa.array(chk, mask=size == 0), tiles], names=["key", "th", "n", "cid", "chk", "tiles"])
 
-    base = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("key"), docs[text].alias("text"))
-    return base.mapInArrow(run, f"row long, key {kind}, n long, cid long, chk long, tiles array<long>")
+    base = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
+    return base.mapInArrow(run, f"key {kind}, th long, n long, cid long, chk long, tiles array<long>")
 
 
 def parts_of(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
@@ -222,8 +254,7 @@ def parts_of(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
                     own.append(i)
             own = np.array(own, np.int64)
             m = size[own]
-            el = np.repeat(at[:-1][own], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            sig, doc, *_ = part_hashes(sh[el], np.concatenate([[0], np.cumsum(m)]), percent)
+            sig, doc, *_ = part_hashes(sh[_places(at[own], m)], np.concatenate([[0], np.cumsum(m)]), percent)
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cid[own[doc]])], names=["sig", "cid"])
 
     return docs.select(text).mapInArrow(run, "sig long, cid long")
@@ -266,46 +297,55 @@ def _checked_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS, at_once: int = AT_ONCE) -> DataFrame:
-    """row, key, n, cid of every row, its component (a class in it; null for empty sets) and that component's least key (component_key), for links of percent or more."""
+    """key, th (a hash of the text), n, cid of every row, its component (a class in it; null for empty sets) and that component's least key (component_key), for links of percent or more."""
     small_batches(docs.sparkSession, 4)
     rows = stored(sets_of(docs, key, text, k, percent), "sets")
-    classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("key").alias("least"), (F.min("chk") != F.max("chk")).alias("clash"))
+    classes = rows.filter("cid is not null").groupBy("cid").agg(F.min(F.struct("key", "th")).alias("one"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("key").alias("least"), (F.min("chk") != F.max("chk")).alias("clash"))
     classes = stored(classes, "classes")
     if classes.filter("clash").limit(1).count():
         raise RuntimeError("two sets share a 64-bit hash; change the salt of _identity")
-    label = components(_links(docs, rows, classes, text, k, percent, tile, broadcast_rows, at_once), at_once)
+    with Scratch(docs.sparkSession) as own:
+        label = stored(components(_links(docs, rows, classes, text, key, k, percent, tile, broadcast_rows, at_once, own), at_once, own), "labels")
     named = classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("label", "cid").alias("component"))
     whole = named.groupBy("component").agg(F.min("least").alias("component_key"))
     by_class = named.join(whole, "component").select("cid", "component", "component_key")
-    return rows.select("row", "key", "n", "cid").join(by_class, "cid", "left").withColumn("component_key", F.when(F.col("cid").isNull(), F.col("key")).otherwise(F.col("component_key")))
+    return rows.select("key", "th", "n", "cid").join(by_class, "cid", "left").withColumn("component_key", F.when(F.col("cid").isNull(), F.col("key")).otherwise(F.col("component_key")))
 
 
-def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, text: str, k: int, percent: int, tile: int, broadcast_rows: int, at_once: int) -> DataFrame:
+def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, text: str, key: str, k: int, percent: int, tile: int, broadcast_rows: int, at_once: int, own: Scratch) -> DataFrame:
     sig = parts_of(docs, text, k, percent)
-    shared = stored(sig.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_shared, "sig long, cid long"), "shared")
+    shared = own.stored(sig.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_shared, "sig long, cid long"), "shared")
     tile_of = F.col("sig").bitwiseAND(F.lit(TILE_BITS)).alias("tile")
     need = rows.filter("cid is not null").select("cid", F.explode("tiles").alias("t")).groupBy("cid", F.col("t").bitwiseAND(F.lit(TILE_BITS)).alias("tile")).agg(F.min(F.shiftright("t", 6)).alias("need"))
     # sets that share too few parts in a tile have no link there
-    live = stored(shared.groupBy("cid", tile_of).agg(F.count("*").alias("have")).join(need, ["cid", "tile"]).filter("have >= need").select("cid", "tile"), "live")
+    live = own.stored(shared.groupBy("cid", tile_of).agg(F.count("*").alias("have")).join(need, ["cid", "tile"]).filter("have >= need").select("cid", "tile"), "live")
     shared = shared.withColumn("tile", tile_of).join(_checked_broadcast(live, live.count(), broadcast_rows), ["cid", "tile"], "left_semi").select("sig", "cid")
-    clusters = components(shared.groupBy("sig").agg(F.min("cid").alias("a")).join(shared, "sig").select("a", F.col("cid").alias("b")), at_once)
-    size = clusters.groupBy("label").agg(F.count("*").alias("size"))
-    nodes = stored(clusters.withColumnRenamed("node", "cid").join(size, "label").join(classes, "cid").select("cid", "row", "copies", "label", "size"), "nodes")
-    count, largest = nodes.agg(F.count("*"), F.max("size")).first()
+    clusters = components(shared.groupBy("sig").agg(F.min("cid").alias("a")).join(shared, "sig").select("a", F.col("cid").alias("b")), at_once, own)
+    size = clusters.join(classes.select(F.col("cid").alias("node"), "n"), "node").groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("elements"))
+    nodes = own.stored(clusters.withColumnRenamed("node", "cid").join(size, "label").join(classes, "cid").select("cid", "one", "copies", "label", "size", (F.col("size") <= tile).__and__(F.col("elements") <= TILE_ELEMENTS).alias("small")), "nodes")
+    count, n_big = nodes.agg(F.count("*"), F.coalesce(F.sum((~F.col("small")).cast("long")), F.lit(0))).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             sh, at = shingle_sets(b.column(1), k)
             cid, _ = _identity(sh, at)
-            if (cid != b.column(0).to_numpy()).any():
-                raise RuntimeError("rows of the input have changed between two reads; store it first")
             raw = pa.Array.from_buffers(pa.large_binary(), len(cid), [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(sh))])
-            yield pa.RecordBatch.from_arrays([b.column(0), raw.cast(pa.binary())], names=["cid", "shingles"])
+            keep = []
+            for c, want in zip(cid.tolist(), b.column(0).to_pylist()):
+                keep.append(c == want and c not in seen)
+                seen.add(c)
+            yield pa.RecordBatch.from_arrays([b.column(0), raw.cast(pa.binary())], names=["cid", "shingles"]).filter(pa.array(keep, pa.bool_()))
 
-    base = docs.select(F.monotonically_increasing_id().alias("row"), docs[text].alias("text"))
-    texts = base.join(_checked_broadcast(nodes.select("row", "cid"), count, broadcast_rows), "row").select("cid", "text")
-    sets = texts.mapInArrow(run, "cid long, shingles binary")  # read again for each use: only what a use needs is kept
-    small = nodes.filter(F.col("size") <= tile).select("cid", "label")
+    base = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
+
+    def sets(of: DataFrame, rows_sent: int) -> DataFrame:
+        """cid, shingles of some classes, read again from one text of each (repeated rows may give a set twice)."""
+        of = _checked_broadcast(of.select("cid", "one"), rows_sent, broadcast_rows)
+        same = base["th"].eqNullSafe(of["one.th"]) & base["key"].eqNullSafe(of["one.key"])
+        return base.join(of, same).select("cid", "text").mapInArrow(run, "cid long, shingles binary")
+
+    small = nodes.filter("small")
 
     def by_cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by cluster; one cluster is held at a time."""
@@ -324,23 +364,31 @@ def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, text: str, k: i
 
     def cluster(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(held)
-        c = t.column(0).to_numpy()
-        found = tile_links(_arrays(t.column(2)), percent)
+        c, first = np.unique(t.column(0).to_numpy(), return_index=True)
+        if len(c) != t.column(2)[0].as_py():
+            raise RuntimeError("rows of the input have changed between two reads; store it first")
+        found = tile_links(_arrays(t.column(3).take(pa.array(first))), percent)
         if found:
             x, y = np.array(found).T
             yield pa.RecordBatch.from_arrays([pa.array(c[x]), pa.array(c[y])], names=["a", "b"])
 
-    few = sets.join(_checked_broadcast(small, count, broadcast_rows), "cid").select("cid", "label", "shingles")
+    few = sets(small, count).join(_checked_broadcast(small.select("cid", "label", "size"), count, broadcast_rows), "cid").select("cid", "label", "size", "shingles")
     few = few.repartition("label").sortWithinPartitions("label")
-    links = stored(few.mapInArrow(by_cluster, "a long, b long"), "tile-links")
-    if largest is not None and largest > tile:
-        big = nodes.filter(F.col("size") > tile)
-        links = links.unionByName(_big_links(stored(sets.join(_checked_broadcast(big.select("cid", "label", "copies"), count, broadcast_rows), "cid"), "big-sets"), percent, tile, at_once))
+    links = own.stored(few.mapInArrow(by_cluster, "a long, b long"), "tile-links")
+    if n_big:
+        big = nodes.filter("not small")
+        whole = own.stored(sets(big, n_big).join(_checked_broadcast(big.select("cid", "label", "copies"), n_big, broadcast_rows), "cid"), "big-sets")
+        if whole.count() != n_big:
+            whole = own.stored(whole.dropDuplicates(["cid"]), "big-sets")
+            if whole.count() != n_big:
+                raise RuntimeError("rows of the input have changed between two reads; store it first")
+        links = links.unionByName(_big_links(whole, percent, tile, broadcast_rows, at_once, own))
     return links
 
 
-def _big_links(sets: DataFrame, percent: int, tile: int, at_once: int, lead_bytes: int = 32 << 20) -> DataFrame:
+def _big_links(sets: DataFrame, percent: int, tile: int, broadcast_rows: int, at_once: int, own: Scratch, lead_bytes: int = 32 << 20) -> DataFrame:
     """Links within clusters above the size of a tile. sets: cid, shingles, label (the cluster), copies."""
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -350,51 +398,73 @@ def _big_links(sets: DataFrame, percent: int, tile: int, at_once: int, lead_byte
                 keep.append((100 + percent) * overlap_bound(len(x), bits[0], np.array([len(y)]), bits[1:])[0] >= percent * (len(x) + len(y)) and linked(x, [y], percent)[0])
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-    # a few sets of each cluster, the most copied among them, are tried against all its sets
-    mixed = F.xxhash64("cid")
-    lead = sets.groupBy("label").agg(F.array(F.max_by("cid", F.struct("copies", "cid")), F.max_by("cid", mixed), F.min_by("cid", mixed)).alias("leads"))
-    lead = lead.select("label", F.explode(F.array_distinct("leads")).alias("lead"))
-    lead = stored(lead.join(sets.select(F.col("cid").alias("lead"), F.col("shingles").alias("lead_shingles")), "lead"), "leads")
-    lead_size = lead.agg(F.coalesce(F.sum(F.length("lead_shingles")), F.lit(0))).first()[0]
-    tried = sets.join(_checked_broadcast(lead, lead_size, lead_bytes), "label").filter("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b"), "lead_shingles", "shingles")
-    links = stored(tried.mapInArrow(pairs, "a long, b long"), "lead-links")
-    label = components(links, at_once)
-    state = stored(sets.select("cid", "label").join(label.select(F.col("node").alias("cid"), F.col("label").alias("part")), "cid", "left").withColumn("part", F.coalesce("part", "cid")), "state")
-    part = state.groupBy("label", "part").agg(F.count("*").alias("m"))
-    top = stored(part.groupBy("label").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1"), "parts")
-    if top.limit(1).count() == 0:
-        return links
-    # sets outside their cluster's largest part (side 0) meet each other and all sets of that part (side 1), in blocks of half a tile
-    left = state.join(top, "label").withColumn("side", (F.col("part") == F.col("top.part")).cast("int"))
+    def parts(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """cid, label, copies, part of each set (its component so far), and of clusters in several parts the largest one."""
+        label = components(links, at_once, own)
+        state = sets.select("cid", "label", "copies").join(label.select(F.col("node").alias("cid"), F.col("label").alias("part")), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+        state = own.stored(state, "state")
+        part = state.groupBy("label", "part").agg(F.count("*").alias("m"))
+        return state, own.stored(part.groupBy("label").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("label", F.col("top.part").alias("top")), "parts")
+
+    # a few sets of each cluster, the most copied among them, are tried against all its sets; then a few of those still apart, and so on
+    links, mixed = None, F.xxhash64("cid")
+    state, top = sets.select("cid", "label", "copies").withColumn("part", F.col("cid")), None
+    for _ in range(LEAD_ROUNDS):
+        left = state if top is None else state.join(top, "label").filter("part <> top")
+        lead = left.groupBy("label").agg(F.array(F.max_by("cid", F.struct("copies", "cid")), F.max_by("cid", mixed), F.min_by("cid", mixed)).alias("leads"))
+        lead = lead.select("label", F.explode(F.array_distinct("leads")).alias("lead"))
+        lead = own.stored(lead.join(sets.select(F.col("cid").alias("lead"), F.col("shingles").alias("lead_shingles")), "lead"), "leads")
+        size = lead.agg(F.coalesce(F.sum(F.length("lead_shingles")), F.lit(0))).first()[0]
+        tried = sets.join(_checked_broadcast(lead, size, lead_bytes), "label").filter("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b"), "lead_shingles", "shingles")
+        found = own.stored(tried.mapInArrow(pairs, "a long, b long"), "lead-links")
+        links = found if links is None else links.unionByName(found)
+        state, top = parts(links)
+        if top.limit(1).count() == 0:
+            return links
+    # sets outside their cluster's largest part (side 0) meet each other and all sets of that part (side 1), in tiles: a size band, then
+    # a hash, so that tiles hold about 4 * tile sets; only tiles of neighbouring bands can hold links
     bits = sets.select("cid", "shingles").mapInArrow(_bits, "cid long, n long, bits binary")
-    sized = left.join(bits, "cid")
-    order = Window.partitionBy("label", "side").orderBy("n", "cid")
-    blocks = stored(sized.withColumn("block", F.floor((F.row_number().over(order) - 1) / (tile // 2))).select("cid", "label", "part", "side", "block", "n", "bits"), "blocks")
-    span = blocks.groupBy("label", "side", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = span.filter("side = 0").alias("x"), span.alias("y")
-    near = F.expr(f"x.label = y.label and (y.side = 1 or y.block >= x.block) and 100 * y.hi >= {percent} * x.lo and 100 * x.hi >= {percent} * y.lo")
-    met = x.join(y, near).select(F.col("x.label").alias("label"), F.col("x.block").alias("xb"), F.col("y.side").alias("ys"), F.col("y.block").alias("yb"))
-    met = met.withColumn("job", F.xxhash64("label", "xb", "ys", "yb"))
-    sides = met.select("job", "label", F.lit(0).alias("side"), F.col("xb").alias("block")).unionByName(met.select("job", "label", F.col("ys").alias("side"), F.col("yb").alias("block"))).distinct()
-    work = sides.join(blocks, ["label", "side", "block"]).select("job", "cid", "part", "n", "bits")
+    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent))).alias("band")
+    sized = own.stored(state.join(top, "label").withColumn("side", (F.col("part") == F.col("top")).cast("int")).join(bits, "cid").select("cid", "label", "part", "side", band, "n", "bits"), "sized")
+    many = sized.groupBy("label", "side", "band").agg(F.ceil(F.count("*") / (4 * tile)).alias("tiles"))
+    blocks = own.stored(sized.join(many, ["label", "side", "band"]).withColumn("block", F.pmod(F.xxhash64("cid"), "tiles")).drop("tiles"), "blocks")
+    span = blocks.groupBy("label", "side", "band", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = span.filter("side = 0"), span.select("label", *(F.col(c).alias(f"y_{c}") for c in ("side", "band", "block", "lo", "hi")))
+    x = x.withColumn("y_band", F.explode(F.sequence(F.col("band") - 2, F.col("band") + 2)))  # a link's sizes are within one band of each other, but for rounding
+    near = f"(y_side = 1 or y_band > band or y_band = band and y_block >= block) and 100 * y_hi >= {percent} * lo and 100 * hi >= {percent} * y_lo"
+    met = x.join(y, ["label", "y_band"]).filter(near).withColumn("job", F.xxhash64("label", "band", "block", "y_side", "y_band", "y_block"))
+    of = lambda own, side, *at: met.select("job", "label", F.lit(own).alias("own"), side.alias("side"), *(F.col(c).alias(n) for c, n in zip(at, ("band", "block"))))
+    sides = of(1, F.lit(0), "band", "block").unionByName(of(0, F.col("y_side"), "y_band", "y_block"))
+    work = sides.join(blocks, ["label", "side", "band", "block"]).select("job", "own", "cid", "part", "n", "bits")
 
     def compare(t: pa.Table) -> pa.Table:
-        """Pairs of different components whose bitmaps leave room for a link."""
-        c, part, n = (t.column(i).to_numpy() for i in ("cid", "part", "n"))
+        """Pairs across two tiles, of different components, whose bitmaps leave room for a link; with the component of the second and their bound."""
+        c, part, n, mine = (t.column(i).to_numpy() for i in ("cid", "part", "n", "own"))
         raw = [np.frombuffer(v, np.uint64) for v in t.column("bits").to_pylist()]
         words = min(map(len, raw))
         b = np.stack([folded(v, words) for v in raw])
-        out = []
-        for i in range(len(c)):
-            rest = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * n[i + 1 :] >= percent * n[i]) & (percent * n[i + 1 :] <= 100 * n[i])) + i + 1
-            rest = rest[(100 + percent) * overlap_bound(n[i], b[i], n[rest], b[rest]) >= percent * (n[i] + n[rest])]
-            out += [(c[i], c[j]) for j in rest]
-        a, z = np.array(out, np.int64).reshape(-1, 2).T
-        return pa.table({"a": a, "b": z})
-
-    some = work.groupBy("job").applyInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one, two = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-    return links.unionByName(stored(some.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(pairs, "a long, b long"), "block-links"))
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+        other = np.flatnonzero(mine == 0)
+        for i in np.flatnonzero(mine == 1):
+            rest = other[(part[other] != part[i]) & (100 * n[other] >= percent * n[i]) & (percent * n[other] <= 100 * n[i])]
+            bound = overlap_bound(n[i], b[i], n[rest], b[rest])
+            ok = (100 + percent) * bound >= percent * (n[i] + n[rest])
+            for k, v in enumerate((np.full(ok.sum(), c[i]), c[rest[ok]], part[rest[ok]], bound[ok] * 200 // (n[i] + n[rest[ok]]))):
+                out[k].append(v)
+        return pa.table(dict(zip(("a", "b", "part", "bound"), map(np.concatenate, out))))
+
+    some = own.stored(work.groupBy("job").applyInArrow(compare, "a long, b long, part long, bound long"), "pairs")
+
+    def decided(of: DataFrame) -> DataFrame:
+        one, two = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
+        return own.stored(of.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(pairs, "a long, b long"), "pair-links")
+
+    first = some.groupBy("a", "part").agg(F.max_by("b", F.struct("bound", "b")).alias("b")).select("a", "b")
+    links = links.unionByName(decided(first))
+    state, top = parts(links)
+    now = lambda c: state.select(F.col("cid").alias(c), F.col("part").alias(f"part_{c}"))
+    apart = some.select("a", "b").join(first, ["a", "b"], "left_anti").join(now("a"), "a").join(now("b"), "b").filter("part_a <> part_b")
+    return links.unionByName(decided(apart))
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,9 +473,23 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s, width_of(len(s))).tobytes() for s in sets], pa.binary())], names=["cid", "n", "bits"])
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each component, all columns as they are: of the rows with its least key the first; rows without shingles all stay."""
-    by = join(docs, key, text, **how)
-    first = by.filter("cid is not null").groupBy("component").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("own"))
-    rows = stored(first.select(F.col("own.row").alias("_row")).unionByName(by.filter("cid is null").select(F.col("row").alias("_row"))), "kept")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(rows, "_row", "left_semi").select(*docs.columns)
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
+    """One row of each component, all columns as they are, whatever their names: a row with its least key (of those, with the least hash of
+    its text); rows without shingles all stay. Of repeated rows (key and text) one stays, with the other columns of any of them."""
+    by = join(docs, key, text, broadcast_rows=broadcast_rows, **how).filter("cid is not null")
+    rank = F.struct(F.col("key").isNull().alias("none"), "key", "th")
+    least = by.groupBy("component").agg(F.min(rank).alias("own"), F.count("*").alias("rows")).filter("rows > 1")
+    spare = by.join(least, "component").groupBy("key", "th").agg(F.first(rank == F.col("own")).alias("stays"), F.count("*").alias("rows"))
+    spare = stored(spare.filter("not stays or rows > 1"), "spare")
+    count, again = spare.agg(F.count("*"), F.coalesce(F.sum(F.col("stays").cast("long")), F.lit(0))).first()
+    h = fresh(docs, "text_hash")
+    marked = docs.withColumn(h, F.xxhash64(docs[text]))
+
+    def rows_of(df: DataFrame, which: str, how: str) -> DataFrame:
+        some = _checked_broadcast(spare.filter(which).select(F.col("key").alias(f"{h}_key"), F.col("th").alias(f"{h}_of")), count, broadcast_rows)
+        return df.join(some, F.col(h).eqNullSafe(F.col(f"{h}_of")) & df[key].eqNullSafe(F.col(f"{h}_key")), how)
+
+    kept = rows_of(marked, "true", "left_anti")
+    if again:
+        kept = kept.unionByName(rows_of(marked, "stays", "left_semi").dropDuplicates([key, h]))
+    return kept.drop(h)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,49 @@ def new_dir(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lost executors then cost a read, not a new computation."""
     path = new_dir(df.sparkSession, name)
+    _at_end(df.sparkSession, path)
     df.write.options(**options).format(fmt).save(path)
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
 
 
+_kept: list[str] = []
+
+
+def _at_end(spark: SparkSession, path: str) -> None:
+    """Deletes a table when Python ends, as long as the session lives then."""
+    if not _kept:
+        atexit.register(lambda: [remove(spark, p) for p in _kept] if spark.sparkContext._jsc is not None else None)
+    _kept.append(path)
+
+
+class Scratch:
+    """Tables that only a step's own work needs: all are deleted when it ends, but for those that are kept for its result. Kept ones go when Python ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_dir(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder, by Hadoop's file system, wherever that is."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
