@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidemark.llm import lm_score as L
@@ -54,3 +55,18 @@ def test_edges(spark):
     assert L.score(df.limit(0)).count() == 0
     none = L.score(df.filter("doc_id < 50"), folds=1).collect()
     assert len(none) == 53 and {(r.train_tokens, r.n_known, r.held_out) for r in none} == {(0, 0, True)}
+
+
+def test_sorted_numbers_come_back():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 2, 1000):
+        x = np.sort(r.integers(0, 2**64, n, dtype=np.uint64))
+        assert (L._unpack_sorted(L._pack_sorted(x)) == x).all()
+
+
+def test_a_long_text_and_many_blocks(spark):
+    r = random.Random(4)
+    rows = [(1, " ".join(f"w{r.randrange(900)}" for _ in range(20_000))), *((i, "w1 w2 w3") for i in range(2, 40)), (40, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = L.score(df, strength=10.0, block_bytes=400, shard_grams=3000, folds=3).collect()
+    assert sorted((str(x.doc_id), x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6), round(x.score, 6)) for x in got) == brute(rows, L.ORDER, 10.0, 3)

@@ -1,11 +1,11 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Texts are split into blocks of rows. A block counts its own n-grams and sends them, as sorted hashes dealt
-into hash ranges, to shards; a shard adds up what all blocks sent and answers each block with the
-totals of just the n-grams that this block holds. So a block learns the slice of the model that its
-texts can meet, a common n-gram crosses the network once a block, and neither side holds more than a
-block or a shard. (64-bit hashes stand for n-grams: among V of them the chance that any two meet is about
-V^2 / 3.7e19.) The number of blocks and of shards grows with the input.
+Texts are packed into blocks of about `block_bytes` (one longer text is a block), which are written once. A block counts its
+own n-grams and sends them, as sorted hashes dealt into hash ranges, to shards; a shard adds up what all blocks sent and
+answers each block with the totals of just the n-grams that this block holds. So a block learns the slice of the model
+that its texts can meet, a common n-gram crosses the network once a block, and neither side holds more than a block or
+a shard (a shard gets a message from each block that holds one of its n-grams). (64-bit hashes stand for n-grams: among
+V of them the chance that any two meet is about V^2 / 3.7e19.) The number of blocks and of shards grows with the input.
 
 The slice becomes an automaton. States are the histories seen in training, arcs the n-grams seen, and a failure
 arc leads from each history to the same without its first word. The smoothing is a Dirichlet prior: the
@@ -16,6 +16,7 @@ text and adds up log10 probabilities; it starts in the state for the start of a
 
 Null and empty texts are an end token alone. Rows whose crc32(key as text) mod `folds` is 0 are held out;
 a null key counts as the empty text there. Repeated rows count and are scored each. If no row trains, all counts are 0.
+An empty table gives an empty one. Columns other than key and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.shared import small_batches, stored
 
-ORDER, STRENGTH, FLOOR = 2, 500.0, 0.1
+ORDER, STRENGTH, FLOOR = 3, 100.0, 0.1
 BLOCK_BYTES, SHARD_GRAMS = 12 << 20, 1_000_000
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 COUNTS = "shard long, level long, block long, grams binary, counts binary"
@@ -100,6 +102,28 @@ def _unpack(x: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32).astype(np.int64)
 
 
+def _pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as differences, whose high bytes, put together, take hardly any room."""
+    d = np.diff(x, prepend=np.zeros(1, np.uint64))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack_sorted(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _blob(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _unblob(x: bytes) -> pa.Table:
+    return pa.ipc.open_stream(x).read_all()
+
+
 class Automaton:
     """States are the root and the histories that training has seen; a history is known by its length and the place behind
     it. weight[k] holds the arcs that n-grams of k + 1 tokens are (0 or more: there is none), each to the state of its last
@@ -157,77 +181,89 @@ def held_out(key, folds: int):
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, order: int = ORDER, strength: float = STRENGTH, floor: float = FLOOR, block_bytes: int = BLOCK_BYTES, shard_grams: int = SHARD_GRAMS) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row, learnt from the rows that aren't held out.
-    docs must give the same rows at each read, as a stored table does."""
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row, learnt from the rows that aren't held out."""
     spark = docs.sparkSession
-    small_batches(spark)
-    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    per_block = max(1, rows * block_bytes // max(size, 1))
-    shards = max(1, -(-size * order // (6 * shard_grams)))  # some six bytes a word
-    row = F.monotonically_increasing_id()
-    block = F.shiftright(row, 33) * F.lit(1 << 24) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(per_block))
-    base = docs.select(block.cast("long").alias("block"), docs[key].alias("key"), docs[text].alias("text"), held_out(key, folds).alias("held_out"))
+    small_batches(spark, 4)
+    base = docs.select(docs[key].alias("key"), docs[text].alias("text"), held_out(key, folds).alias("held_out"))
     kind = base.schema["key"].dataType.simpleString()
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """block, its rows, and how many bytes their texts have."""
+        no, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([no], pa.int64()), pa.array([_blob(pa.Table.from_batches(held))], pa.binary()), pa.array([size], pa.int64())], names=["block", "rows", "bytes"])
+
         for b in batches:
-            no = b.column(0).to_numpy()
-            cut = [0, *(np.flatnonzero(no[1:] != no[:-1]) + 1).tolist(), len(no)]
-            for i, j in zip(cut[:-1], cut[1:]):
-                if held and held[-1].column(0)[0].as_py() != no[i]:
-                    yield from asked(held)
-                    held = []
-                if j > i:
-                    held.append(b.slice(i, j - i))
+            upto = np.cumsum(np.diff(W.buffers(b.column(1))[1]) + 8)  # so that empty texts take room too
+            i = 0
+            while i < b.num_rows:
+                before = int(upto[i - 1]) if i else 0
+                j = max(i + 1, int(np.searchsorted(upto, before + block_bytes - size, side="right")))  # up to which the block has room
+                if held and int(upto[j - 1]) - before + size > block_bytes:
+                    yield packed()
+                    no, held, size = no + 1, [], 0
+                    continue
+                held.append(b.slice(i, j - i))
+                size += int(upto[j - 1]) - before
+                i = j
         if held:
-            yield from asked(held)
+            yield packed()
+
+    blocks = stored(base.mapInArrow(pack, "block long, rows binary, bytes long"), "blocks")
+    size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    shards = max(1, -(-size * order // (6 * shard_grams)))  # some six bytes a word
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for no, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                yield from asked(no, _unblob(raw.as_buffer()))
 
-    def asked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
+    def asked(no: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
         for level, (grams, counts) in enumerate(Places(t.column(1), order).counted(~t.column(2).to_numpy())):
-            upto = np.searchsorted(shard_of(grams, shards), np.arange(shards + 1))
-            some = [s for s in range(shards) if upto[s] < upto[s + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([level] * len(some), pa.int64()), pa.array([t.column(0)[0].as_py()] * len(some), pa.int64()), pa.array([grams[upto[s] : upto[s + 1]].tobytes() for s in some], pa.binary()), pa.array([_pack(counts[upto[s] : upto[s + 1]]) for s in some], pa.binary())], names=["shard", "level", "block", "grams", "counts"])
+            if not len(grams):
+                continue
+            shard = shard_of(grams, shards)
+            cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(grams)]
+            n = len(cut) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), pa.array([level] * n, pa.int64()), pa.array([no] * n, pa.int64()), pa.array([_pack_sorted(grams[i:j]) for i, j in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([_pack(counts[i:j]) for i, j in zip(cut[:-1], cut[1:])], pa.binary())], names=["shard", "level", "block", "grams", "counts"])
 
     def answer(t: pa.Table) -> pa.Table:
         """The totals of a shard and level for each block, and (block -1) their sum and how many are above 0, without the start mark's."""
-        grams = [np.frombuffer(x, np.uint64) for x in t.column("grams").to_pylist()]
+        grams = [_unpack_sorted(x) for x in t.column("grams").to_pylist()]
         counts = np.concatenate([_unpack(x) for x in t.column("counts").to_pylist()])
         every = W.distinct(np.concatenate(grams))
         total = np.zeros(len(every), np.int64)
         place = [np.searchsorted(every, g) for g in grams]
         np.add.at(total, np.concatenate(place), counts)
         own = total[every != W.mix(np.array([START]))[0]]
-        shard, level = t.column("shard")[0].as_py(), t.column("level")[0].as_py()
+        shard, level, n = t.column("shard")[0].as_py(), t.column("level")[0].as_py(), len(grams)
         return pa.table({
-            "block": pa.array([-1, *t.column("block").to_pylist()], pa.int64()), "level": pa.array([level] * (len(grams) + 1), pa.int64()), "shard": pa.array([shard] * (len(grams) + 1), pa.int64()),
-            "totals": pa.array([np.array([own.sum(), (own > 0).sum()]).tobytes(), *(_pack(total[p]) for p in place)], pa.binary()),
+            "block": pa.array([-1, *t.column("block").to_pylist()], pa.int64()), "level": pa.array([level] * (n + 1), pa.int64()), "shard": pa.array([shard] * (n + 1), pa.int64()),
+            "totals": pa.array([None, *(_pack(total[p]) for p in place)], pa.binary()), "tokens": pa.array([int(own.sum())] + [None] * n, pa.int64()), "kinds": pa.array([int((own > 0).sum())] + [None] * n, pa.int64()),
         })
 
-    asks = base.select("block", "text", "held_out").mapInArrow(ask, COUNTS)
-    answers = stored(asks.groupBy("shard", "level").applyInArrow(answer, "block long, level long, shard long, totals binary"), "totals")
-    tokens, kinds = 0, 0
-    for r in answers.filter("block = -1 and level = 0").select("totals").toLocalIterator():
-        a, b = np.frombuffer(bytes(r.totals), np.int64)
-        tokens, kinds = tokens + int(a), kinds + int(b)
+    asks = blocks.select("block", "rows").mapInArrow(ask, COUNTS)
+    answers = stored(asks.groupBy("shard", "level").applyInArrow(answer, "block long, level long, shard long, totals binary, tokens long, kinds long"), "totals")
+    tokens, kinds = answers.filter("block = -1 and level = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = Block(left.column("text"), order)
+        left = _unblob(left.column("rows").combine_chunks()[0].as_buffer())
+        x = Block(left.column(1), order)
         parts: list[list] = [[] for _ in range(order)]
         for level, shard, raw in sorted(zip(right.column("level").to_pylist(), right.column("shard").to_pylist(), right.column("totals").to_pylist())):
             parts[level].append(_unpack(raw))
         totals = [np.concatenate(p or [np.zeros(0, np.int64)]) for p in parts]
         if [len(p) for p in totals] != [len(g) for g in x.grams]:
-            raise RuntimeError("rows of the input have changed between two reads; store it first")
+            raise RuntimeError("a block did not get the totals of all its n-grams")
         tokens_at = np.ones(x.begin[-1], bool)
         tokens_at[x.begin[:-1]] = False
         c = totals[0][x.code[0]]
         log = np.where(tokens_at, np.log10((c + floor) / (tokens + floor * (kinds + 1))), 0.0)
         return pa.table({
-            "key": left.column("key"), "held_out": left.column("held_out"), "n_tokens": pa.array(np.diff(x.begin) - 1), "n_known": pa.array(np.add.reduceat(((c > 0) & tokens_at).astype(np.int64), x.begin[:-1])),
+            "key": left.column(0), "held_out": left.column(2), "n_tokens": pa.array(np.diff(x.begin) - 1), "n_known": pa.array(np.add.reduceat(((c > 0) & tokens_at).astype(np.int64), x.begin[:-1])),
             "train_tokens": pa.array([tokens] * x.n, pa.int64()), "base_score": pa.array(np.add.reduceat(log, x.begin[:-1])), "score": pa.array(Automaton(x, totals, tokens, kinds, strength, floor).scores()),
         })
 
-    out = base.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(scored, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = blocks.select("block", "rows").groupBy("block").cogroup(answers.filter("block >= 0").select("block", "level", "shard", "totals").groupBy("block")).applyInArrow(scored, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)
