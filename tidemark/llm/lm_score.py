@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.shared import small_batches, stored
+from tidemark.llm.shared import give_back, small_batches, stored
 
 ORDER, STRENGTH, FLOOR = 3, 100.0, 0.1
-BLOCK_BYTES, SHARD_GRAMS = 12 << 20, 1_000_000
+BLOCK_BYTES, SHARD_GRAMS = 8 << 20, 1_000_000
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 COUNTS = "shard long, level long, block long, grams binary, counts binary"
 
@@ -218,6 +218,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         for b in batches:
             for no, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 yield from asked(no, _unblob(raw.as_buffer()))
+                give_back()
 
     def asked(no: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
         for level, (grams, counts) in enumerate(Places(t.column(1), order).counted(~t.column(2).to_numpy())):
@@ -260,10 +261,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         tokens_at[x.begin[:-1]] = False
         c = totals[0][x.code[0]]
         log = np.where(tokens_at, np.log10((c + floor) / (tokens + floor * (kinds + 1))), 0.0)
-        return pa.table({
+        score = pa.array(Automaton(x, totals, tokens, kinds, strength, floor).scores())
+        out = pa.table({
             "key": left.column(0), "held_out": left.column(2), "n_tokens": pa.array(np.diff(x.begin) - 1), "n_known": pa.array(np.add.reduceat(((c > 0) & tokens_at).astype(np.int64), x.begin[:-1])),
-            "train_tokens": pa.array([tokens] * x.n, pa.int64()), "base_score": pa.array(np.add.reduceat(log, x.begin[:-1])), "score": pa.array(Automaton(x, totals, tokens, kinds, strength, floor).scores()),
+            "train_tokens": pa.array([tokens] * x.n, pa.int64()), "base_score": pa.array(np.add.reduceat(log, x.begin[:-1])), "score": score,
         })
+        del x, totals, parts, c, log, score
+        give_back()
+        return out
 
     out = blocks.select("block", "rows").groupBy("block").cogroup(answers.filter("block >= 0").select("block", "level", "shard", "totals").groupBy("block")).applyInArrow(scored, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)

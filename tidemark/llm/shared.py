@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -75,6 +77,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Returns memory that a worker no longer uses to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def small_batches(spark: SparkSession, megabytes: int = 16) -> None:
     """Bounds what Python gets at once by bytes, as texts may be very long."""
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")):
