@@ -4,8 +4,9 @@ Texts are packed into blocks of about `block_bytes` (one longer text is a block)
 own n-grams and sends them, as sorted hashes dealt into hash ranges, to shards; a shard adds up what all blocks sent and
 answers each block with the totals of just the n-grams that this block holds. So a block learns the slice of the model
 that its texts can meet, a common n-gram crosses the network once a block, and neither side holds more than a block or
-a shard (a shard gets a message from each block that holds one of its n-grams). (64-bit hashes stand for n-grams: among
-V of them the chance that any two meet is about V^2 / 3.7e19.) The number of blocks and of shards grows with the input.
+a shard (a shard gets a message from each block that holds one of its n-grams). (Hashes stand for n-grams, 64 bits for words
+and pairs and 56 for longer ones: among V of those, a share of V / 7.2e16 has the hash of another one, 1.4e-4 at 10^13,
+which some 100 TB of text have.) The number of blocks and of shards grows with the input.
 
 The slice becomes an automaton. States are the histories seen in training, arcs the n-grams seen, and a failure
 arc leads from each history to the same without its first word. The smoothing is a Dirichlet prior: the
@@ -56,6 +57,7 @@ class Places:
         self.hashes = [W.mix(h)]
         for _ in range(1, order):
             self.hashes.append(np.concatenate([self.hashes[-1][:1], W.mix(self.hashes[-1][:-1] * np.uint64(31) + h[1:])]))
+        self.hashes[2:] = [x & ~np.uint64(255) for x in self.hashes[2:]]  # the last byte then takes no room in messages
 
     def counted(self, train: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each level the sorted n-grams, and how often each occurs in the texts that train."""
@@ -94,23 +96,30 @@ def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     return (((grams >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, the first bytes of all first: high bytes are mostly 0 and take hardly any room."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def _unplanes(x: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.astype(np.uint32).tobytes())
+    return _planes(x.astype(np.uint32))
 
 
 def _unpack(x: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32).astype(np.int64)
+    return _unplanes(x, np.uint32).astype(np.int64)
 
 
 def _pack_sorted(x: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as differences, whose high bytes, put together, take hardly any room."""
-    d = np.diff(x, prepend=np.zeros(1, np.uint64))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return _planes(np.diff(x, prepend=np.zeros(1, np.uint64)))
 
 
 def _unpack_sorted(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_unplanes(x, np.uint64), dtype=np.uint64)
 
 
 def _blob(t: pa.Table) -> bytes:
