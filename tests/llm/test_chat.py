@@ -54,3 +54,12 @@ def test_frames(spark):
         assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert g.formatted_chars == len(chat.inst_template([{"role": a, "text": b} for _, a, b in turns]))
     assert chat.read_back(chat.render(df.limit(0))).count() == 0
+
+
+def test_large_ids_beside_a_null_id_and_a_long_text(spark):
+    big, long = (1 << 60) + 1, "word </s> " * 40_000
+    rows = [(big, 0, "user", "a"), (None, 0, "user", "b"), (big, 1, "assistant", None), (None, 1, "assistant", long), (3, 0, None, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string").coalesce(1)
+    got = {r.conv_id: r for r in chat.read_back(chat.render(df)).collect()}
+    assert set(got) == {big, None, 3} and got[big].n_turns == 2 and got[None].loss_chars == len(long) and got[big].loss_chars == 0
+    assert chat.render(df.limit(0)).count() == 0

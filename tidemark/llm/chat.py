@@ -17,7 +17,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +89,7 @@ def spans(turns: list[dict], template: Template) -> dict:
     return {"formatted": before, "turns": found, "rewritten_at": rewritten, "stable_chars": len(before) if stable is None else stable}
 
 
+SPANS = pa.list_(pa.struct([("role", pa.string()), *((n, pa.int64()) for n in ("begin", "end", "text_begin", "text_end"))]))
 SPANNED = "formatted string, turns array<struct<role:string,begin:long,end:long,text_begin:long,text_end:long>>, rewritten_at long, stable_chars long"
 
 
@@ -99,14 +100,12 @@ def render(conversations: DataFrame, template: Template = inst_template, key: st
     whole = conversations.select(F.col(key).alias("key"), turn.alias("t")).groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("rows"))
     kind = whole.schema["key"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [spans([{"role": r["role"], "text": r["text"]} for r in x], template) for x in f["rows"]]
-            out = pd.DataFrame(rows, columns=["formatted", "turns", "rewritten_at", "stable_chars"])
-            out.insert(0, "key", f["key"].array)
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [spans([{"role": r["role"], "text": r["text"]} for r in x], template) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[n] for x in found], t) for n, t in zip(("formatted", "turns", "rewritten_at", "stable_chars"), (pa.string(), SPANS, pa.int64(), pa.int64())))], names=["key", "formatted", "turns", "rewritten_at", "stable_chars"])
 
-    return whole.mapInPandas(run, f"key {kind}, {SPANNED}").withColumnRenamed("key", key)
+    return whole.mapInArrow(run, f"key {kind}, {SPANNED}").withColumnRenamed("key", key)
 
 
 def read_back(formatted: DataFrame, key: str = "conv_id", undo: Callable[[str], str] = unescape, loss_role: str = "assistant") -> DataFrame:
@@ -123,12 +122,11 @@ def read_back(formatted: DataFrame, key: str = "conv_id", undo: Callable[[str],
                 chars += len(x)
         return {"n_turns": len(turns), "turns_sha256": whole.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": len(text)}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        for f in frames:
-            out = pd.DataFrame([one(a, b) for a, b in zip(f["formatted"], f["turns"])], columns=names)
-            out.insert(0, "key", f["key"].array)
-            yield out.assign(rewritten_at=f["rewritten_at"].array)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+        for b in batches:
+            found = [one(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[n] for x in found], t) for n, t in names.items()), b.column(3)], names=["key", *names, "rewritten_at"])
 
     cols = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten_at long"
-    return formatted.select(F.col(key).alias("key"), "formatted", "turns", "rewritten_at").mapInPandas(run, f"key {kind}, {cols}").withColumnRenamed("key", key)
+    return formatted.select(F.col(key).alias("key"), "formatted", "turns", "rewritten_at").mapInArrow(run, f"key {kind}, {cols}").withColumnRenamed("key", key)
