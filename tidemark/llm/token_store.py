@@ -7,7 +7,8 @@ are read stripe by stripe in parallel, and a lookup by document id prunes files,
 groups by their statistics and Bloom filters. Files are committed by Spark's own protocol.
 
 Null and empty texts give the end id alone. A null doc_id sorts first. Rows of equal doc_id stand in the
-order of a hash of their texts; all rows are kept.
+order of a hash of their texts; all rows are kept. An empty table gives files without rows. Columns other than doc_id and
+text are not looked at. A task writes one file, whatever maxRecordsPerFile the session has: its offsets run through it.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     (
         base.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
         .mapInArrow(run, f"doc_id {kind}, offset long, n_tokens long, ids array<int>")
-        .write.option("compression", "zstd").option("orc.stripe.size", str(stripe_mb << 20)).option("orc.row.index.stride", str(stride))
+        .write.option("maxRecordsPerFile", "0").option("compression", "zstd").option("orc.stripe.size", str(stripe_mb << 20)).option("orc.row.index.stride", str(stride))
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
     )
 
