@@ -6,10 +6,11 @@ text its weight, and the score is a logistic function of the weighted sum of the
 and output are learnt together from text labels by Adam on the log loss.
 
 The model is fitted on the driver, on a bounded sample: of the labelled rows outside the held-out fold, those
-`sample` with the least hash of doc_id, without texts of over `bag` passages (their features, some 400 bytes a
-passage, are computed by the executors). Everything else is done for all rows and whole texts. Scores use the text
+`sample` with the least hash of doc_id; of a text with more than `bag` passages, `bag` evenly spaced ones train (features,
+332 bytes a passage, are computed by the executors, so the driver gets sample * bag * 332 bytes at most, 127 MB by
+default). Everything else is done for all rows and whole texts: a score looks at every passage. Scores use the text
 alone. Null and empty texts are one empty passage and get a score too. Rows with a null label don't train;
-repeated rows train and are scored each. Without labels of both kinds all scores are the share of label 1, or 0.5.
+repeated rows train and are scored each. An empty table gives an empty one; other columns are not looked at. Without labels of both kinds all scores are the share of label 1, or 0.5.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import words as W
 from tidemark.llm.shared import small_batches
 
-PASSAGE, SAMPLE, BAG, BUCKETS, THRESHOLD = 128, 6000, 2000, 64, 0.3
+PASSAGE, SAMPLE, BAG, BUCKETS, THRESHOLD = 128, 6000, 64, 64, 0.3
 
 #: kinds of bytes: 0 other, then as listed
 KINDS = np.zeros(256, np.uint8)
@@ -148,6 +149,11 @@ def fold(key, folds: int):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(folds))
 
 
+def spaced(x: np.ndarray, most: int) -> np.ndarray:
+    """All rows, or so many of them at even distances, the first and last among them."""
+    return x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).round().astype(np.int64)]
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, sample: int = SAMPLE, bag: int = BAG, passage: int = PASSAGE) -> Model:
     small_batches(docs.sparkSession, 4)
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(key, folds) != 0)).select(F.col(key).alias("key"), F.col(label).cast("double").alias("label"))
@@ -157,8 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, first = features(b.column(1), passage)
-            few = np.diff(first) <= bag
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(few)), pa.array([x[first[i] : first[i + 1]].tobytes() for i in np.flatnonzero(few)], pa.binary())], names=["label", "bag"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([spaced(x[i:j], bag).tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], names=["label", "bag"])
 
     # sorted, so that the fit doesn't hang on the order in which tasks end
     got = sorted((r.label, bytes(r.bag)) for r in texts.mapInArrow(run, "label double, bag binary").toLocalIterator())
