@@ -3,6 +3,7 @@ import hashlib
 import os
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import warc
@@ -65,3 +66,25 @@ def test_empty_table_and_strays(spark, tmp_path):
     assert warc.write(df.limit(0), uri).count() == 0
     (tmp_path / "archives" / "shard-000000-00000.warc.gz").write_bytes(b"stray")
     assert warc.read(spark, uri).count() == 0
+
+
+def sizes(spark, uri, df, **how):
+    return [m.raw_bytes for m in warc.write(df, uri, roll_bytes=1 << 40, **how).collect()]
+
+
+def test_shards_are_of_equal_bytes_however_ids_lie(spark, tmp_path):
+    page = lambda i: (i, None, f"{i} " + "y" * 2000)
+    strays = [page(i) for i in (10**15, -(1 << 63), (1 << 63) - 1)]
+    df = spark.createDataFrame([*(page(i) for i in range(900)), *strays, *[page(5)] * 3, *(page(7)[:2] + (f"{i}" + "z" * 2000,) for i in range(300)), (None, None, None)], "page_id long, url string, html string")
+    got = sizes(spark, f"file://{tmp_path}/a", df, shard_bytes=100_000)
+    assert len(got) > 25 and max(got) < 200_000
+    assert warc.read(spark, f"file://{tmp_path}/a").count() == df.count()
+    with pytest.raises(ValueError, match="integer"):
+        warc.write(df.withColumn("page_id", df.page_id.cast("string")), f"file://{tmp_path}/b")
+
+
+def test_cuts_of_many_records_in_one_range(spark):
+    rows = spark.range(1_000_000).selectExpr("id as page_id", "hash(id) as tie", "400L as size").unionByName(spark.range(10**15, 10**15 + 1).selectExpr("id as page_id", "0 as tie", "400L as size"))
+    at = warc.cuts(rows, 10_000_000)
+    ids = np.frombuffer(at.tobytes().ljust(16 * len(at)), ">u8").reshape(-1, 2)[:, 0].astype(np.int64) ^ np.int64(-(1 << 63))
+    assert len(at) == 100 and np.abs(np.diff(ids)[:-1] - 10_000).max() <= 1 and ids[-1] == 10**15

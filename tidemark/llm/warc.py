@@ -1,7 +1,8 @@
 """A deterministic, sharded WARC writer, and its reader.
 
-Pages are dealt to shards by ranges of their id that depend on the pages alone (a histogram of bytes over
-equal id ranges, packed up to a target), and sorted in each shard. A task writes each record as its own gzip
+Pages are ordered by their id (and a hash of url and payload among equal ids), and cut into shards wherever the bytes so
+far pass another multiple of the shard size: ranges of equal bytes, however ids lie, that depend on the pages alone.
+Each shard is sorted. A task writes each record as its own gzip
 member with fresh headers and digests, and starts a new file when the compressed size passes a limit. Files
 are written under temporary names and renamed to names that follow from shard and number, so a retried
 or doubled task leaves the same file; the manifest, committed by Spark, lists the files that count, and
@@ -11,7 +12,8 @@ Of records with equal payloads of at least `least` bytes, that with the smallest
 others are revisits of it without payload; smaller ones are all responses. Null payloads count as empty. A
 null page_id sorts first and is never revisited while other ids have its payload. Rows that repeat the
 smallest page_id with its payload are all responses. A null url is left out; signs that can't stand in a
-header are percent-encoded.
+header are percent-encoded. Ids must be integers (others are refused). An empty table gives an empty manifest. Columns
+other than these three are not looked at.
 """
 
 from __future__ import annotations
@@ -21,17 +23,21 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import new_dir, small_batches, stored
 
-LEAST, RANGES, BROADCAST_ROWS = 100, 4096, 200_000
+LEAST, MOST_SHARDS, BROADCAST_ROWS = 100, 50_000, 200_000
 DATE = "2024-01-01T00:00:00Z"
+NULL_ID = -(1 << 63)
 MANIFEST = "file string, shard long, records long, raw_bytes long, file_bytes long, first_id long, last_id long"
 
 
@@ -82,38 +88,53 @@ class _Files:
 def prepared(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, payload (null for revisits), size, digest, refers_to. Payloads that occur more than once are
     broadcast as digests if they are at most broadcast_rows (some 100 bytes each); else payloads are joined by a shuffle."""
+    if pages.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{key} is not an integer; number the pages first")
     payload = F.coalesce(F.col(html), F.lit(""))
-    base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("size"), F.sha2(payload, 256).alias("digest"))
+    base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("size"), F.sha2(payload, 256).alias("digest"), F.xxhash64(F.col(url), payload).alias("tie"))
     first = base.filter(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     first = stored(first, "first-pages")
     out = base.join(F.broadcast(first) if first.count() <= broadcast_rows else first, "digest", "left").withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    return out.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
+    return out.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to", "tie")
 
 
-def shards(rows: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """The least id, the width of an id range, and the shard of each range: at most RANGES numbers, however many rows."""
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return 0, 1, [0]
-    width = (high - low) // RANGES + 1
-    size = dict(rows.groupBy(F.floor((F.col("page_id") - low) / width).alias("r")).agg(F.sum(F.col("size") + 600)).filter("r is not null").collect())
-    out, shard, held = [], 0, 0
-    for r in range((high - low) // width + 1):
-        if held and held + size.get(r, 0) > shard_bytes:
-            shard, held = shard + 1, 0
-        held += size.get(r, 0)
-        out.append(shard)
-    return low, width, out
+def _ordered(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Pairs of 64-bit numbers as bytes in the same order."""
+    pair = np.stack([ids.astype(np.int64), ties.astype(np.int64)], 1).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(pair.astype(">u8")).view("S16").ravel()
+
+
+def cuts(rows: DataFrame, shard_bytes: int) -> np.ndarray:
+    """The first (page_id, tie) of each shard but the first one, as bytes. rows: page_id, tie, size. At most MOST_SHARDS come to the driver: beyond,
+    shards get larger (a task streams its shard, so that costs time, not memory)."""
+    spark = rows.sparkSession
+    each = rows.groupBy(F.coalesce("page_id", F.lit(NULL_ID)).alias("page_id"), "tie").agg(F.sum(F.col("size") + 600).alias("bytes"))
+    each = stored(each.repartitionByRange("page_id", "tie").withColumn("part", F.spark_partition_id()), "sizes")
+    parts = sorted(each.groupBy("part").agg(F.sum("bytes")).collect())  # a row for each task
+    if not parts:
+        return np.zeros(0, "S16")
+    before = [0, *accumulate(n for _, n in parts)]
+    step = max(shard_bytes, -(-before[-1] // MOST_SHARDS))
+    start = spark.createDataFrame([(k, n) for (k, _), n in zip(parts, before)], "part int, before long")
+    so_far = F.sum("bytes").over(Window.partitionBy("part").orderBy("page_id", "tie")) - F.col("bytes")  # a part is what one task holds
+    shard = F.floor((F.col("before") + so_far) / step).alias("shard")
+    found = sorted(each.join(F.broadcast(start), "part").select("page_id", "tie", shard).groupBy("shard").agg(F.min(F.struct("page_id", "tie")).alias("first")).collect())
+    return _ordered(np.array([r.first.page_id for r in found[1:]], np.int64), np.array([r.first.tie for r in found[1:]], np.int64))
 
 
 def write(pages: DataFrame, uri: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, shard_bytes: int = 16 << 20, roll_bytes: int = 4 << 20, date: str = DATE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Writes archives under uri, which all machines share, and the manifest, which is returned."""
     spark = pages.sparkSession
     small_batches(spark)
-    size = F.octet_length(F.coalesce(F.col(html), F.lit(""))).cast("long")
-    low, width, of = shards(pages.select(F.col(key).cast("long").alias("page_id"), size.alias("size")), shard_bytes)
-    place = F.get(F.lit(of), F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int")).cast("long")
-    rows = prepared(pages, key, url, html, least, broadcast_rows).withColumn("shard", place)
+    rows = prepared(pages, key, url, html, least, broadcast_rows)
+    at = spark.sparkContext.broadcast(cuts(rows.select("page_id", "tie", "size"), shard_bytes))
+
+    @F.pandas_udf("long")
+    def place(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at.value, _ordered(ids.to_numpy(), ties.to_numpy()), side="right"))
+
+    n = len(at.value) + 1
+    rows = rows.withColumn("shard", place(F.coalesce("page_id", F.lit(NULL_ID)), "tie"))
     path = f"{uri}/archives"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
@@ -135,7 +156,7 @@ def write(pages: DataFrame, uri: str, key: str = "page_id", url: str = "url", ht
         if files and (done := list(files.close())):
             yield pack(done)
 
-    rows = rows.repartition(max(1, of[-1] + 1), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url")
+    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "tie", "digest", "url").drop("tie")
     rows.mapInArrow(run, MANIFEST).write.parquet(f"{uri}/manifest")
     return spark.read.parquet(f"{uri}/manifest")
 
