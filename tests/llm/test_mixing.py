@@ -17,7 +17,7 @@ def corpus(n=400):
     return out + [(None, None, None, "en", "x", None), (5, "one two", "a", "en", "x", ""), (5, "one two", "a", "en", "x", "")]
 
 
-def brute(rows, targets, keep, iterations=8, seed="mix"):
+def brute(rows, targets, keep, iterations=200, seed="mix"):
     tokens = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
     cells = defaultdict(int)
     for r, n in zip(rows, tokens):
@@ -49,13 +49,15 @@ def brute(rows, targets, keep, iterations=8, seed="mix"):
 def test_mix_equals_brute_force(spark, targets, keep):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, kind string, mix_tokens string")
+    with pytest.raises(ValueError, match="mix_tokens"):
+        M.mix(df, [F.col(d) for d in DIMS], targets, keep)
     for most in (100_000, 0):
-        got = M.mix(df, [F.col(d) for d in DIMS], targets, keep, broadcast_cells=most).select("doc_id", "mix_tokens", F.round("mix_probability", 9), "mix_sampled").collect()
+        got = M.mix(df, [F.col(d) for d in DIMS], targets, keep, broadcast_cells=most, prefix="m").select("doc_id", "m_tokens", F.round("m_probability", 9), "m_sampled").collect()
         want, w, goals = brute(rows, targets, keep)
         assert sorted((str(a), b, c, d) for a, b, c, d in got) == sorted(want)
     for d in range(3):
         for v, goal in goals[d].items():
-            assert abs(sum(x for c, x in w.items() if c[d] == v) - goal) <= 0.01 * goal + 1e-6
+            assert abs(sum(x for c, x in w.items() if c[d] == v) - goal) <= 1e-9 * goal + 1e-6
     kept = M.sample(df, [F.col(d) for d in DIMS], targets, keep=keep)
     assert kept.columns == df.columns and kept.count() == sum(x[3] for x in want)
 
@@ -67,3 +69,12 @@ def test_edges(spark):
     blank = df.withColumn("text", F.lit(None).cast("string"))
     assert M.sample(blank, [F.col("source"), M.style("text")], (0.5, 0.5)).count() == 0
     assert M.sample(df, [F.col("source")], (1.0,), keep=1.0).count() >= df.filter("text <> ''").count()
+
+
+def test_columns_stay_and_impossible_targets_are_told(spark):
+    df = spark.createDataFrame([(1, "one two", "a", "kept", None, 5), (2, "three " * 50_000, "b", "kept", None, 6)], "doc_id long, text string, source string, mix_0 string, mix_sampled string, cell_mix_0 long")
+    got = M.sample(df, [F.col("source")], (1.0,), keep=1.0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    pair = spark.createDataFrame([(1, "w " * 10, "a", "x"), (2, "w " * 10, "b", "y")], "doc_id long, text string, s string, t string")
+    with pytest.raises(RuntimeError, match="misses its target by 0.4"):
+        M.mix(pair, [F.col("s"), F.col("t")], ({"a": 0.9, "b": 0.1}, {"x": 0.5, "y": 0.5}))

@@ -41,7 +41,7 @@ def _style(t):
     return "table" if " | " in t else "notice" if "!! " in t else "licensed" if "license" in t.lower() else "short" if len(t) < 600 else "prose"
 
 
-def brute_mix(rows, powers=(0.5, 0.7, 0.5), keep=0.5, steps=8):
+def brute_mix(rows, powers=(0.5, 0.7, 0.5), keep=0.5, steps=200):
     cell = lambda x: (x[3], x[2], _style(x[1]))
     size = defaultdict(int)
     for x in rows:

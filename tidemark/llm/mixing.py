@@ -2,7 +2,8 @@
 
 Token counts are summed over the cells that the dimensions (source, language, topic) span. Cell weights
 start as those sums; each step scales them so that one dimension's sums meet its targets, and steps
-alternate over the dimensions until all hold. A document is then kept with a probability of its cell: a
+alternate over the dimensions until all hold within a tolerance; targets that can't be met together (which may be
+so if combinations of values have no documents) end with an error that names the gap. A document is then kept with a probability of its cell: a
 common factor times weight over tokens, at most 1, where the factor is set so that the expected tokens
 are `keep` of all (cells that reach 1 leave their excess to the others). The draw is a hash of the
 document id and a seed, so it's alike on every run and machine.
@@ -10,11 +11,13 @@ document id and a seed, so it's alike on every run and machine.
 Targets of a dimension are shares by value, or an exponent: shares in proportion to the tokens to that power.
 Null values of a dimension are a value of their own. Null and empty texts have no tokens and are kept
 with their cell's probability, or dropped if the cell has no tokens at all. Rows of one doc_id are drawn alike;
-a null doc_id is drawn as the text "null".
+a null doc_id is drawn as the text "null". An empty table gives an empty one. Columns of docs stay as they are, whatever
+their names: mix() refuses a prefix whose columns exist, sample() picks one of its own.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,13 +33,14 @@ def words(text: str | Column) -> Column:
 
 
 def style(text: str | Column) -> Column:
-    """The default topic: the kind of text, by marks that it holds."""
+    """A stand-in where documents have no column of topics: the kind of text, by marks that it holds. Any other column can be a dimension."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     return F.when(t.contains(" | "), "table").when(t.contains("!! "), "notice").when(F.lower(t).contains("license"), "licensed").when(F.length(t) < 600, "short").otherwise("prose")
 
 
-def rake(cells: DataFrame, dims: Sequence[str], targets: Sequence[dict | float], iterations: int = 8) -> DataFrame:
-    """cells (dims, tokens) with a column weight, whose sums by each dimension meet the targets; the sum of all stays."""
+def rake(cells: DataFrame, dims: Sequence[str], targets: Sequence[dict | float], tolerance: float = 1e-12, rounds: int = 400, most: float = 1e-4) -> DataFrame:
+    """cells (dims, tokens) with a column weight, whose sums by each dimension meet the targets; the sum of all stays. Steps end when no sum misses its
+    target by more than `tolerance` of all tokens, or after so many rounds: then with a warning, or if the gap is above `most`, an error."""
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
     whole = Window.partitionBy()
     out = out.withColumn("total", F.sum("tokens").over(whole).cast("double"))
@@ -49,13 +53,22 @@ def rake(cells: DataFrame, dims: Sequence[str], targets: Sequence[dict | float],
         by = by.select(F.col(d).alias("v"), share.alias("s")).withColumn("s", F.try_divide("s", F.sum("s").over(whole)))
         out = out.join(by, F.col(d).eqNullSafe(F.col("v")), "left").withColumn(f"goal_{d}", F.col("s") * F.col("total")).drop("v", "s")
     out = stored(out, "cells")
-    for i in range(iterations):
-        for d in dims:
+    for i in range(0, rounds, 4):
+        for d in [*dims] * 4:
             now = F.sum("weight").over(Window.partitionBy(d))
             out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"goal_{d}") / now).otherwise(0.0))
-        if i % 4 == 3:
-            out = stored(out, "cells")
-    return out
+        out = stored(out, "cells")
+        gap = None
+        for d in dims:
+            by = out.groupBy(d).agg(F.abs(F.sum("weight") - F.first(f"goal_{d}")).alias("g"), F.first("total").alias("total")).select(F.try_divide("g", "total").alias("g"))
+            gap = by if gap is None else gap.unionByName(by)
+        gap = gap.agg(F.coalesce(F.max("g"), F.lit(0.0))).first()[0]  # null: there are no tokens or no targets
+        if gap <= tolerance:
+            return out
+    if gap <= most:
+        warnings.warn(f"after {rounds} rounds a marginal still misses its target by {gap:.3g} of all tokens", stacklevel=2)
+        return out
+    raise RuntimeError(f"after {rounds} rounds a marginal still misses its target by {gap:.3g} of all tokens")
 
 
 def calibrate(raked: DataFrame, keep: float) -> DataFrame:
@@ -80,21 +93,27 @@ def draw(key: str | Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def mix(docs: DataFrame, dims: Sequence[Column], targets: Sequence[dict | float], keep: float = 0.5, seed: str = "mix", key: str = "doc_id", text: str = "text", iterations: int = 8, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
-    """docs with the columns mix_0.. (the dimensions), mix_tokens, mix_probability and mix_sampled."""
-    names = [f"mix_{i}" for i in range(len(dims))]
-    x = docs.drop(*names, "mix_tokens", "mix_probability", "mix_sampled").withColumns(dict(zip(names, dims)) | {"mix_tokens": words(text)})
-    cells = stored(x.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")), "cells")
-    chances = stored(calibrate(rake(cells, names, targets, iterations), keep).select(*(F.col(n).alias(f"cell_{n}") for n in names), F.col("probability").alias("mix_probability")), "chances")
-    on = [F.col(n).eqNullSafe(F.col(f"cell_{n}")) for n in names]
+def mix(docs: DataFrame, dims: Sequence[Column], targets: Sequence[dict | float], keep: float = 0.5, seed: str = "mix", key: str = "doc_id", text: str = "text", tolerance: float = 1e-12, broadcast_cells: int = BROADCAST_CELLS, prefix: str = "mix") -> DataFrame:
+    """docs with the columns mix_0.. (the dimensions), mix_tokens, mix_probability and mix_sampled, or another prefix."""
+    names, tokens, chance, sampled = [f"{prefix}_{i}" for i in range(len(dims))], f"{prefix}_tokens", f"{prefix}_probability", f"{prefix}_sampled"
+    own = [*names, tokens, chance, sampled, *(f"{prefix}_cell_{i}" for i in range(len(dims)))]
+    if taken := {c.lower() for c in own} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has the columns {sorted(taken)}; choose another prefix")
+    x = docs.withColumns(dict(zip(names, dims)) | {tokens: words(text)})
+    cells = stored(x.groupBy(*names).agg(F.sum(tokens).alias("tokens")), "cells")
+    chances = stored(calibrate(rake(cells, names, targets, tolerance), keep).select(*(F.col(n).alias(f"{prefix}_cell_{i}") for i, n in enumerate(names)), F.col("probability").alias(chance)), "chances")
+    on = [F.col(n).eqNullSafe(F.col(f"{prefix}_cell_{i}")) for i, n in enumerate(names)]
     small = chances.count() <= broadcast_cells
-    out = x.join(F.broadcast(chances) if small else chances, on, "left").drop(*(f"cell_{n}" for n in names))
-    return out.withColumn("mix_sampled", draw(key, seed) < F.coalesce("mix_probability", F.lit(0.0)))
+    out = x.join(F.broadcast(chances) if small else chances, on, "left").drop(*own[-len(dims) :])
+    return out.withColumn(sampled, draw(key, seed) < F.coalesce(F.col(chance), F.lit(0.0)))
 
 
 def sample(docs: DataFrame, dims: Sequence[Column], targets: Sequence[dict | float], **how) -> DataFrame:
     """The rows drawn, with the columns of docs."""
-    return mix(docs, dims, targets, **how).filter("mix_sampled").select(*docs.columns)
+    prefix = "mix"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "x"
+    return mix(docs, dims, targets, prefix=prefix, **how).filter(f"{prefix}_sampled").select(*docs.columns)
 
 
 def shares(mixed: DataFrame, targets: Sequence[dict | float]) -> DataFrame:

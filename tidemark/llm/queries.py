@@ -15,8 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: exponents for source, language and kind of text, and the share of all tokens to keep
-MIX_TARGETS, MIX_KEEP, MIX_STEPS = (0.5, 0.7, 0.5), 0.5, 8
+#: exponents for source, language and kind of text, and the share of all tokens to keep; SQL has no loop that ends by itself, so it takes
+#: many more rounds than it takes to meet the targets
+MIX_TARGETS, MIX_KEEP, MIX_ROUNDS = (0.5, 0.7, 0.5), 0.5, 400
 
 
 def mix_dims() -> list:
@@ -24,7 +25,7 @@ def mix_dims() -> list:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"), mix_dims(), MIX_TARGETS, keep=MIX_KEEP, iterations=MIX_STEPS)
+    out = mixing.mix(table(spark, sf_dir, "documents"), mix_dims(), MIX_TARGETS, keep=MIX_KEEP)
     return out.select(
         "doc_id", "source", "lang", F.col("mix_2").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
         F.round("mix_probability", 8).alias("probability"), F.col("mix_sampled").alias("sampled"),
@@ -32,18 +33,17 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op1_sql() -> str:
-    dims, steps = ("source", "lang", "topic"), []
-    for k in range(MIX_STEPS * 3):
-        d = dims[k % 3]
-        steps.append(f"w{k + 1} AS (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {d}) > 0 THEN weight * goal_{d} / sum(weight) OVER (PARTITION BY {d}) ELSE 0.0 END AS weight) FROM w{k})")
+    dims = ("source", "lang", "topic")
+    step = " ".join(f"WHEN {k} THEN CASE WHEN sum(weight) OVER (PARTITION BY {d}) > 0 THEN weight * goal_{d} / sum(weight) OVER (PARTITION BY {d}) ELSE 0.0 END" for k, d in enumerate(dims))
     goals = ", ".join(f"{d}_t AS (SELECT {d}, CASE WHEN sum(tokens) > 0 THEN pow(CAST(sum(tokens) AS DOUBLE), {e}) ELSE 0.0 END AS s FROM cells GROUP BY 1), {d}_g AS (SELECT {d}, s / sum(s) OVER () * total AS goal_{d} FROM {d}_t, sums)" for d, e in zip(dims, MIX_TARGETS))
     return rf"""
-WITH d AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+WITH RECURSIVE d AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+')) AS n_tokens,
   CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'notice' WHEN contains(lower(text), 'license') THEN 'licensed' WHEN length(coalesce(text, '')) < 600 THEN 'short' ELSE 'prose' END AS topic FROM documents),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL), sums AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total FROM cells), {goals},
-w0 AS (SELECT source, lang, topic, CAST(tokens AS DOUBLE) AS tokens, CAST(tokens AS DOUBLE) AS weight, goal_source, goal_lang, goal_topic FROM cells JOIN source_g USING (source) JOIN lang_g USING (lang) JOIN topic_g USING (topic)), {", ".join(steps)},
-r AS (SELECT *, tokens / weight AS ratio, sum(weight) OVER () AS w_all, coalesce(sum(tokens) OVER b, 0) AS t_before, coalesce(sum(weight) OVER b, 0) AS w_before FROM w{len(steps)} WHERE weight > 0
+w AS (SELECT 0 AS step, source, lang, topic, CAST(tokens AS DOUBLE) AS tokens, CAST(tokens AS DOUBLE) AS weight, goal_source, goal_lang, goal_topic FROM cells JOIN source_g USING (source) JOIN lang_g USING (lang) JOIN topic_g USING (topic)
+  UNION ALL SELECT step + 1, source, lang, topic, tokens, CASE step % 3 {step} END, goal_source, goal_lang, goal_topic FROM w WHERE step < {3 * MIX_ROUNDS}),
+r AS (SELECT *, tokens / weight AS ratio, sum(weight) OVER () AS w_all, coalesce(sum(tokens) OVER b, 0) AS t_before, coalesce(sum(weight) OVER b, 0) AS w_before FROM w WHERE step = {3 * MIX_ROUNDS} AND weight > 0
   WINDOW b AS (ORDER BY tokens / weight, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT r.*, total * {MIX_KEEP} AS budget, t_before + ratio * (w_all - w_before) <= total * {MIX_KEEP} AS is_full FROM r, sums),
 p AS (SELECT source, lang, topic, CASE WHEN is_full THEN 1.0 ELSE least(1.0, (budget - coalesce(sum(CASE WHEN is_full THEN tokens END) OVER (), 0)) / (w_all - coalesce(sum(CASE WHEN is_full THEN weight END) OVER (), 0)) / ratio) END AS p FROM f)
