@@ -40,7 +40,7 @@ def style(text: str | Column) -> Column:
 
 def rake(cells: DataFrame, dims: Sequence[str], targets: Sequence[dict | float], tolerance: float = 1e-12, rounds: int = 400, most: float = 1e-4) -> DataFrame:
     """cells (dims, tokens) with a column weight, whose sums by each dimension meet the targets; the sum of all stays. Steps end when no sum misses its
-    target by more than `tolerance` of all tokens, or after so many rounds: then with a warning, or if the gap is above `most`, an error."""
+    target by more than `tolerance` of all tokens, or after so many rounds, or when they gain hardly anything any more: then with a warning, or if the gap is above `most`, an error."""
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
     whole = Window.partitionBy()
     out = out.withColumn("total", F.sum("tokens").over(whole).cast("double"))
@@ -52,8 +52,8 @@ def rake(cells: DataFrame, dims: Sequence[str], targets: Sequence[dict | float],
             share = F.when(F.col("t") > 0, F.pow("t", F.lit(float(target)))).otherwise(0.0)
         by = by.select(F.col(d).alias("v"), share.alias("s")).withColumn("s", F.try_divide("s", F.sum("s").over(whole)))
         out = out.join(by, F.col(d).eqNullSafe(F.col("v")), "left").withColumn(f"goal_{d}", F.col("s") * F.col("total")).drop("v", "s")
-    out = stored(out, "cells")
-    for i in range(0, rounds, 4):
+    out, last = stored(out, "cells"), float("inf")
+    for i in range(4, rounds + 1, 4):
         for d in [*dims] * 4:
             now = F.sum("weight").over(Window.partitionBy(d))
             out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"goal_{d}") / now).otherwise(0.0))
@@ -65,10 +65,13 @@ def rake(cells: DataFrame, dims: Sequence[str], targets: Sequence[dict | float],
         gap = gap.agg(F.coalesce(F.max("g"), F.lit(0.0))).first()[0]  # null: there are no tokens or no targets
         if gap <= tolerance:
             return out
+        if gap > 0.995 * last:  # it has settled elsewhere
+            break
+        last = gap
     if gap <= most:
-        warnings.warn(f"after {rounds} rounds a marginal still misses its target by {gap:.3g} of all tokens", stacklevel=2)
+        warnings.warn(f"after {i} rounds a marginal still misses its target by {gap:.3g} of all tokens", stacklevel=2)
         return out
-    raise RuntimeError(f"after {rounds} rounds a marginal still misses its target by {gap:.3g} of all tokens")
+    raise RuntimeError(f"after {i} rounds a marginal still misses its target by {gap:.3g} of all tokens")
 
 
 def calibrate(raked: DataFrame, keep: float) -> DataFrame:
