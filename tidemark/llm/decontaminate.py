@@ -8,12 +8,13 @@ located by walking to sampled suffix positions. A phrase is a window of `window`
 an item, or all words of a shorter item. Spans of words inside occurrences are merged.
 
 Test items come to the executors in blocks of at most `block_bytes` of text (one item at least), so
-what is broadcast has a bound; each block is one pass over the texts. Nothing else is gathered or
-shuffled with one block; with more, one row for each text and block is.
+what is broadcast has a bound: some 15 times the text, as a window is ten 64-bit numbers. Each block is one pass over
+the texts. Nothing else is gathered or shuffled with one block; with more, one row for each distinct text of an id and block is.
 
 Null or empty texts have no words and no hits. Items without words have no window. Repeated rows are
-treated alike (with more blocks, rows are told apart by their place in the scan, which must give the same
-rows each time, as a stored table does); repeated item ids count once for a text. A null item id is written as the empty string.
+treated alike (with more blocks, rows of equal key and text are counted and given out as often); repeated item ids count once for a text. A null item id is written as the empty string.
+An empty table of texts gives an empty one, and without items nothing is hit. Other columns are passed on (drop_hit) or not
+looked at (find), whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import words as W
 from tidemark.llm.shared import small_batches
 
-WINDOW, SHARD_WORDS, BLOCK_BYTES, SAMPLE = 10, 1_000_000, 16 << 20, 8
+WINDOW, SHARD_WORDS, BLOCK_BYTES, SAMPLE = 10, 1_000_000, 4 << 20, 8
 
 
 @dataclass
@@ -243,7 +244,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     """A row for each row of docs: its key, n_words, the items found as sorted strings, and merged removal spans."""
     spark = docs.sparkSession
     small_batches(spark, 4)
-    base = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.monotonically_increasing_id().alias("row"))
+    base = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("th"))
     passes = []
     for p in blocks(benchmark, item_key, item_text, window, block_bytes):
         sent = spark.sparkContext.broadcast(p)
@@ -251,12 +252,13 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     if not passes:
         passes = [_one_pass(base, None, shard_words)]
     if len(passes) == 1:
-        return passes[0].withColumnRenamed("key", key)
-    # more blocks: the scan gives every row the same number in each pass
-    every = passes[0]
-    for x in passes[1:]:
-        every = every.unionByName(x)
-    merged = every.groupBy("key", "row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"))
+        return passes[0].drop("th").withColumnRenamed("key", key)
+    # rows of equal key and text have equal results: one of them a pass, then all passes together, then as many as there were
+    every = None
+    for x in passes:
+        x = x.groupBy("key", "th").agg(F.first("n_words").alias("n_words"), F.first("items").alias("items"), F.first("spans").alias("spans"), F.count("*").alias("rows"))
+        every = x if every is None else every.unionByName(x)
+    merged = every.groupBy("key", "th").agg(F.max("n_words").alias("n_words"), F.max("rows").alias("rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"))
     zero = F.array().cast("array<struct<first_word:long,end_word:long,first_byte:long,end_byte:long>>")
 
     def join(done, x):
@@ -264,7 +266,8 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         wider = F.struct(last["first_word"].alias("first_word"), F.greatest(last["end_word"], x["end_word"]).alias("end_word"), last["first_byte"].alias("first_byte"), F.greatest(last["end_byte"], x["end_byte"]).alias("end_byte"))
         return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end_word"] >= x["first_word"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(done, F.array(x)))
 
-    return merged.select(F.col("key").alias(key), "row", "n_words", "items", F.aggregate("s", zero, join).alias("spans"))
+    out = merged.select(F.col("key").alias(key), "n_words", "items", F.aggregate("s", zero, join).alias("spans"), "rows")
+    return out.withColumn("rows", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("rows")
 
 
 def _one_pass(base: DataFrame, sent, shard_words: int) -> DataFrame:
@@ -274,11 +277,11 @@ def _one_pass(base: DataFrame, sent, shard_words: int) -> DataFrame:
         p, schema = sent.value if sent else None, None
         for shard in _shards(batches, shard_words):
             found = search_shard(shard.column(1), p)
-            schema = schema or pa.schema([("key", shard.schema.field(0).type), ("row", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([(x, pa.int64()) for x in ("first_word", "end_word", "first_byte", "end_byte")])))])
+            schema = schema or pa.schema([("key", shard.schema.field(0).type), ("th", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([(x, pa.int64()) for x in ("first_word", "end_word", "first_byte", "end_byte")])))])
             body = pa.Table.from_pylist(found, schema=pa.schema(list(schema)[2:]))
             yield from pa.Table.from_arrays([shard.column(0), shard.column(2), *body.columns], schema=schema).to_batches()
 
-    return base.mapInArrow(run, f"key {kind}, row long, {FOUND}")
+    return base.mapInArrow(run, f"key {kind}, th long, {FOUND}")
 
 
 def n_hit(spans="spans"):
@@ -286,19 +289,21 @@ def n_hit(spans="spans"):
 
 
 def drop_hit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs without any occurrence of a phrase, all columns as they are. One pass for each block of items, chained."""
+    """The rows of docs without any occurrence of a phrase, all columns as they are. One pass for each block of items over what the others left of a shard."""
     spark = docs.sparkSession
     small_batches(spark, 4)
-    place, out = docs.columns.index(text), docs
-    for p in blocks(benchmark, item_key, item_text, window, block_bytes):
-        sent = spark.sparkContext.broadcast(p)
+    place = docs.columns.index(text)
+    sent = [spark.sparkContext.broadcast(p) for p in blocks(benchmark, item_key, item_text, window, block_bytes)]
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for shard in _shards(batches, shard_words):
-                yield from shard.filter(pa.array([not x["items"] for x in search_shard(shard.column(place), sent.value)], pa.bool_())).to_batches()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, shard_words):
+            for block in sent:
+                shard = shard.filter(pa.array([not x["items"] for x in search_shard(shard.column(place), block.value)], pa.bool_()))
+                if len(sent) > 1:
+                    vars(block).pop("_value", None)  # a worker holds one block at a time; it's read again from its own disk
+            yield from shard.to_batches()
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return docs.mapInArrow(run, docs.schema) if sent else docs
 
 
 def cut_spans(text: str, spans: list[dict]) -> str:
