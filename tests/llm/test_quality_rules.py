@@ -4,6 +4,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+import zstandard
 
 from tidemark.llm import quality_rules as Q
 
@@ -52,6 +53,45 @@ def test_bands():
     assert not Q.signals(pa.array([noise]), Q.Bands(whole=((float("inf"), 1.9, 4),)))["kept"][0]
 
 
+def plain_verdict(text, bands):
+    """whole_ratio, bad_chunk_share, kept: by zstandard's one-call interface, a text at a time."""
+    raw = (text or "").encode()
+    if not raw:
+        return None, None, False
+    ratio = lambda x: len(x) / len(zstandard.compress(x, bands.level))
+    bad = 0
+    for k in range(0, len(raw), bands.chunk_bytes):
+        x = raw[k : k + bands.chunk_bytes]
+        if len(x) >= bands.least_chunk and (ratio(x) < bands.chunk[0] or ratio(x) > bands.chunk[1]):
+            bad += len(x)
+    for below, low, high in bands.whole:
+        if len(raw) < below:
+            break
+    return ratio(raw), bad / len(raw), low <= ratio(raw) <= high and bad <= bands.bad_share * len(raw) and not brute(text)[-1]
+
+
+def test_ratios_and_verdicts_equal_a_plain_version(spark):
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(n))
+    noise = lambda n: "".join(chr(r.randint(33, 126)) for _ in range(n))
+    t = [*texts()[:40], *(prose(n) for n in (20, 60, 200, 700, 3000)), *(noise(n) for n in (100, 900, 5000)), "".join([prose(2000), " ", noise(4000), " same" * 900])]
+    t += [prose(r.randint(10, 500)) + (noise(r.randint(0, 2000)) if r.random() < 0.5 else "") for _ in range(60)]
+    for bands in (Q.Bands(), Q.Bands(chunk_bytes=300, least_chunk=100, bad_share=0.1)):
+        want = {i: plain_verdict(x, bands) for i, x in enumerate(t)}
+        got = {x.doc_id: (x.whole_ratio, x.bad_chunk_share, x.kept) for x in Q.judge(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), bands=bands).collect()}
+        assert got == want and {k for *_, k in want.values()} == {True, False}
+
+
+def test_limits_from_quantiles(spark):
+    r = random.Random(2)
+    good = [" ".join("".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(r.choice([300, 900]))) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame([(x,) for x in good], "text string")
+    b = Q.fit_bands(df, tail=0.01)
+    assert all(x for x in Q.signals(pa.array(good[:300]), b)["kept"]) and b.whole[0] == Q.Bands().whole[0] and b.whole != Q.Bands().whole
+    assert not Q.signals(pa.array(["".join(chr(r.randint(33, 126)) for _ in range(3000))]), b)["kept"][0]
+    assert Q.fit_bands(df.limit(0)) == Q.Bands()
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, None, "x"), (None, "a b c d e f g h i j k", "y"), (1, "", None)], "doc_id long, text string, n_words string")
     rows = Q.judge(df).collect()

@@ -9,21 +9,23 @@ The lower limits lie between what was measured at zstd level 3 for random base64
 CJK characters (cut by a blank or line end every 10 to 76 characters) and for label-1 texts in English,
 German, French and Spanish. Below 128 bytes the two overlap, and there is no lower limit. Random hex has
 the ratios of prose below 8,192 bytes, so it is rejected from there on only. Texts in scripts that were
-not measured may need Bands of their own.
+not measured may need Bands of their own: fit_bands takes limits from the quantiles of texts that are known to be good.
 
 Each row is judged by itself, so the operator neither shuffles nor gathers anything, and rows, order,
 ties and copies need no care. Null and empty texts have zero words and are rejected; ratios are null.
+An empty table gives an empty one. Columns other than the text are passed on (keep_good) or not looked at (judge).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.shared import small_batches
@@ -153,6 +155,28 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: Bands
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, {SIGNALS}").withColumnRenamed("key", key)
 
 
+def fit_bands(good: DataFrame, text: str = "text", sample: int = 20_000, tail: float = 0.001, slack: float = 0.95, bands: Bands = Bands()) -> Bands:
+    """Bands with the limits of `tail` and 1 - `tail` of good texts, widened by 1 / slack: by length of the whole text, and of chunks. At most `sample` texts (those
+    with the least hashes) are looked at; a length that fewer than 1 / tail of them have keeps the limits of `bands`."""
+    small_batches(good.sparkSession, 4)
+    below = np.array([b for b, *_ in bands.whole])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=bands.level)
+        for b in batches:
+            data, offs = W.buffers(b.column(0))
+            for i, j in zip(offs[:-1], offs[1:]):
+                raw = data[i:j].tobytes()
+                pieces = [x for k in range(0, len(raw), bands.chunk_bytes) if len(x := raw[k : k + bands.chunk_bytes]) >= bands.least_chunk]
+                kind = [int(np.searchsorted(below, len(raw), side="right"))] + [-1] * len(pieces)
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int64()), pa.array([len(x) / len(press.compress(x)) for x in [raw, *pieces]], pa.float64())], names=["kind", "ratio"])
+
+    some = good.filter(F.octet_length(text) > 0).select(F.col(text).alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample)
+    at = F.percentile("ratio", F.array(F.lit(tail), F.lit(1 - tail)))
+    found = {r.kind: (r.at[0] * slack, r.at[1] / slack) for r in some.mapInArrow(run, "kind long, ratio double").groupBy("kind").agg(at.alias("at"), F.count("*").alias("n")).filter(F.col("n") >= 1 / tail).collect()}
+    return replace(bands, whole=tuple((b, *found.get(k, limits)) for k, (b, *limits) in enumerate(bands.whole)), chunk=found.get(-1, bands.chunk))
+
+
 def keep_good(docs: DataFrame, text: str = "text", bands: Bands = Bands()) -> DataFrame:
     """The rows of docs that pass, with all their columns as they are."""
     small_batches(docs.sparkSession, 4)
