@@ -189,13 +189,8 @@ def test_tails_and_regression(spark):
     assert stats.residual_regression(df.withColumn("t", F.lit(1.0)), "y", "t")["status"] == "skipped_constant_treatment"
 
 
-def test_bootstrap_and_breaks():
+def test_breaks():
     r = np.random.default_rng(2)
-    s = r.random(600)
-    y = (r.random(600) < 0.1 + 0.5 * (s > 0.9)).astype(int)
-    low, high = stats.bootstrap_lift(y, s, np.arange(600) // 3, reps=200)
-    assert 1 < low < y[s >= np.quantile(s, 0.9)].mean() / y.mean() < high
-    assert math.isnan(stats.bootstrap_lift(np.zeros(50, int), s[:50], np.arange(50))[0])
     years = np.arange(2000, 2012, dtype=float)
     f, p = stats.break_test(years, np.where(years >= 2006, 0.5, 0.1) + r.normal(0, 0.01, 12), 2006)
     assert f > 50 and p < 1e-4

@@ -21,16 +21,16 @@ def sf(spark, tmp_path_factory):
 
 def test_archives(spark, sf):
     run = lambda n: catalog.QUERIES[n](spark, sf).collect()
-    assert sorted((r.issuer_cik, r.entity_name, r.filings, r.forms) for r in run("S8_all_submissions")) == [(f"{i + 1:010d}", f"C{i}", 3, "10-K;8-K") for i in range(51, 131)]
-    assert {(r.adsh, r.issuer_cik) for r in run("S9_all_fact_archive")} == {(str(i), f"{51 + i % 90:010d}") for i in range(1, 300)}
-    got = {r.adsh: (r.n, float(r.total)) for r in run("S11_all_fact_manifest")}
+    assert sorted((r.issuer_cik, r.entity_name, r.filings, r.forms) for r in run("S8_submissions")) == [(f"{i + 1:010d}", f"C{i}", 3, "10-K;8-K") for i in range(51, 131)]
+    assert {(r.adsh, r.issuer_cik) for r in run("S9_fact_archive")} == {(str(i), f"{51 + i % 90:010d}") for i in range(1, 300)}
+    got = {r.adsh: (r.n, float(r.total)) for r in run("S11_fact_manifest")}
     assert got == {str(k): (3, 9.0 * k + 3) for k in range(1, 300)}
 
 
 def test_joins(spark, sf):
-    got = {(r.t, r.id): (r.matches, r.least) for r in catalog.QUERIES["J14_all_typed_identifiers"](spark, sf).collect()}
+    got = {(r.t, r.id): (r.matches, r.least) for r in catalog.QUERIES["J14_typed_identifiers"](spark, sf).collect()}
     assert got == {("key", i): (1, i) for i in range(51, 61)} | {("segment", i): (40, 21) for i in range(51, 131, 2)}
     n = Counter(51 + i % 90 for i in range(1, 300))
-    got = {r.s_suppkey: (r.customers, r.n) for r in catalog.QUERIES["J15_all_bridge_join"](spark, sf).collect()}
+    got = {r.s_suppkey: (r.customers, r.n) for r in catalog.QUERIES["J15_bridge_join"](spark, sf).collect()}
     of = lambda k: [i for i in range(51, 131) if i % 3 == k]
     assert got == {s: (len(of(s % 4)), sum(n[i] for i in of(s % 4))) for s in range(21, 61)}

@@ -16,7 +16,7 @@ from tidemark.functions import normalize as N
 from tidemark.functions.dates import day
 from tidemark.functions.numeric import z_score
 from tidemark.operators import audit, events, facts, labels, models, overlap, panel, ranking, stats
-from tidemark.plans.aggregates import dispersion, ladder
+from tidemark.operators.reports import dispersion, ladder
 from tidemark.sources import archives
 from tidemark.sources.sinks import kept, sample_entities, write_by_year, write_table
 from tidemark.sources.tables import exists, read_any, read_csvs, read_table, source_or_empty, write_bytes
@@ -313,14 +313,14 @@ def run_construct_overlap(spark: SparkSession, master: str, crosswalk: str, issu
     j = kept(overlap.bridge(raw, x, overlap.public_annual(spark.read.parquet(issuer_panel), names), names), "bridge")
     t = _put(overlap.tiers(j), out, "bridge_tiers")
     p = _put(overlap.overlap_panel(j, t, names, ["benchmark_label", *offsets]), out, "overlap_panel", ["raw_row_id"])
-    from tidemark.plans.aggregates import tier_lift
+    from tidemark.operators.reports import tier_lift
 
     lifts = None
     for c in names:
         one = tier_lift(p, "bridge_tier", c, "benchmark_label").withColumn("label", F.lit(c))
         lifts = one if lifts is None else lifts.unionByName(one)
     _put(lifts, out, "lifts", ["label", "tier"])
-    from tidemark.plans.joins import event_time
+    from tidemark.operators.reports import event_time
 
     _put(event_time(p.filter("benchmark_label = 1").select("gvkey", "data_year"), p.groupBy("gvkey", "data_year").agg(F.max(names[0]).alias("v")), "gvkey", "data_year", "v"), out, "event_time", ["rel"])
     return _summary(spark, out, status="complete", tiers={r.bridge_tier: r["count"] for r in t.groupBy("bridge_tier").count().collect()}, evidence=trust.evidence_tier if trust else "not_checked")

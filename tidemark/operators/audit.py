@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def conflicts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -92,3 +93,31 @@ def distinct_profile(df: DataFrame, cols: Sequence[str], most: int = 50) -> Data
         one = v.agg(F.count("*").alias("n_distinct")).crossJoin(top).select(F.lit(c).alias("column_name"), "n_distinct", "first_values")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def verify_table(recomputed: DataFrame, published: DataFrame, keys: Sequence[str], tolerance: float = 0.0) -> DataFrame:
+    """The cells in which a recomputed table and a published one differ: keys, column_name, recomputed, published, kind (X32). Numbers may differ by
+    the tolerance times the published one (1 at least). A row that one side lacks is one cell, named *. Both need unique keys and the same columns."""
+    if set(recomputed.columns) != set(published.columns):
+        raise ValueError(f"columns differ: {sorted(set(recomputed.columns) ^ set(published.columns))}")
+    values = [c for c in published.columns if c not in keys]
+    both = assert_unique(recomputed, keys).withColumn("_side", F.lit(0)).unionByName(assert_unique(published, keys).withColumn("_side", F.lit(1)))
+    of = lambda side, c: F.max(F.when(F.col("_side") == side, F.struct(F.col(c).alias("v"))))["v"]
+    g = both.groupBy(*keys).agg(*(of(k, c).alias(f"_{k}_{c}") for c in values for k in (0, 1)), F.bool_or(F.col("_side") == 0).alias("_has_0"), F.bool_or(F.col("_side") == 1).alias("_has_1"))
+
+    def cell(c: str) -> Column:
+        a, b = F.col(f"_0_{c}"), F.col(f"_1_{c}")
+        same = a.eqNullSafe(b)
+        if tolerance and isinstance(published.schema[c].dataType, NumericType):
+            same = same | F.coalesce(F.abs(a - b) <= tolerance * F.greatest(F.abs(b), F.lit(1)), F.lit(False))
+        return F.when(~same, F.struct(F.lit(c).alias("column_name"), a.cast("string").alias("recomputed"), b.cast("string").alias("published"), F.lit("different").alias("kind")))
+
+    text = F.lit(None).cast("string")
+    lacks = lambda kind: F.array(F.struct(F.lit("*").alias("column_name"), text.alias("recomputed"), text.alias("published"), F.lit(kind).alias("kind")))
+    cells = F.when(~F.col("_has_0"), lacks("missing")).when(~F.col("_has_1"), lacks("extra")).otherwise(F.filter(F.array(*map(cell, values)), lambda x: x.isNotNull()))
+    return g.select(*keys, F.explode(cells).alias("_x")).select(*keys, "_x.*")
+
+
+def drop_identifiers(df: DataFrame, also: Sequence[str] = (), endings: Sequence[str] = ("key", "_id", "cik", "gvkey", "ticker")) -> DataFrame:
+    """df without columns that name rows rather than describe them, and without others that are named."""
+    return df.drop(*also, *(c for c in df.columns if c.lower().endswith(tuple(endings))))

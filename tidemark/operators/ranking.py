@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import half_up, uniform_bin
+from tidemark.operators.ordered import running
 
 LEAST_POSITIVES = 10
 
@@ -18,9 +19,11 @@ def _score(c: str) -> Column:
     return F.coalesce(F.when(~F.isnan(x), x), F.lit(float("-inf")))
 
 
-def by_score(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """For each group and distinct score: n, pos, and running cn, cp from the top, with the group's tn and tp."""
-    g = df.groupBy(*by, _score(score).alias("_s")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col(y), F.lit(0))).cast("long").alias("pos"))
+def by_score(df: DataFrame, y: str, score: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """For each group and distinct score: n (rows, or the sum of a weight), pos, and running cn, cp from the top, with the group's tn and tp."""
+    g = df.groupBy(*by, _score(score).alias("_s")).agg((F.sum(weight) if weight else F.count("*")).alias("n"), F.sum(F.coalesce(F.col(y), F.lit(0))).cast("long").alias("pos"))
+    if not by:  # one group: ranges of scores are summed apart
+        return running(g, [F.col("_s").desc()], {"cn": "n", "cp": "pos"}).join(F.broadcast(g.agg(F.sum("n").alias("tn"), F.sum("pos").alias("tp"))), F.lit(True))
     w, down = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return g.withColumns({"cn": F.sum("n").over(down), "cp": F.sum("pos").over(down), "tn": F.sum("n").over(w), "tp": F.sum("pos").over(w)})
 
@@ -51,7 +54,10 @@ def ranking_metrics(df: DataFrame, y: str, score: str, by: Sequence[str] = (), l
 def top_k(df: DataFrame, y: str, score: str, key: str, ks: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
     """k, precision and recall of the k best rows, ties by key (O3, ML5)."""
     w = Window.partitionBy(*by).orderBy(_score(score).desc(), key)
-    r = df.withColumn("_rn", F.row_number().over(w)).withColumn("_p", F.sum(y).over(Window.partitionBy(*by)))
+    if not by:  # the best rows of one group, by a top-k of each task; the window then sees just those
+        total = df.agg(F.sum(y).alias("_p"))
+        df = df.orderBy(_score(score).desc(), key).limit(max(ks))
+    r = df.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(total), F.lit(True)) if not by else df.withColumn("_rn", F.row_number().over(w)).withColumn("_p", F.sum(y).over(Window.partitionBy(*by)))
     out = None
     for k in ks:
         one = r.filter(F.col("_rn") <= k).groupBy(*by).agg(F.avg(F.col(y).cast("double")).alias("precision"), (F.sum(y) / F.greatest(F.max("_p"), F.lit(1))).alias("recall")).select(*by, F.lit(k).alias("k"), "precision", "recall")
@@ -63,7 +69,11 @@ def top_fraction(df: DataFrame, y: str, score: str, key: str, fraction: float, b
     """k, precision, sensitivity, specificity, balanced accuracy and NDCG of the top fraction, ties by key (ML6, W11)."""
     one = Window.partitionBy(*by)
     r = df.select(*by, F.coalesce(F.col(y), F.lit(0)).cast("int").alias("_y"), _score(score).alias("_s"), F.col(key).alias("_key"))
-    r = r.withColumns({"_rn": F.row_number().over(one.orderBy(F.col("_s").desc(), "_key")), "_n": F.count("*").over(one), "_p": F.sum("_y").over(one)})
+    if by:
+        r = r.withColumns({"_rn": F.row_number().over(one.orderBy(F.col("_s").desc(), "_key")), "_n": F.count("*").over(one), "_p": F.sum("_y").over(one)})
+    else:
+        n = r.agg(F.count("*").alias("_n"), F.sum("_y").alias("_p"))
+        r = running(r.withColumn("_one", F.lit(1).cast("long")), [F.col("_s").desc(), F.col("_key")], {"_rn": "_one"}).join(F.broadcast(n), F.lit(True))
     r = r.withColumn("_k", F.least(half_up(F.col("_n") * F.lit(fraction)), F.col("_n")))
     hit, gain = F.col("_rn") <= F.col("_k"), 1 / F.log2(1 + F.col("_rn"))
     tp, k, p, n = F.sum(F.when(hit, F.col("_y")).otherwise(0)), F.max("_k"), F.max("_p"), F.max("_n")
@@ -76,7 +86,15 @@ def calibration(df: DataFrame, y: str, p: str, key: str, by: Sequence[str] = (),
     """Brier score, that of the base rate, skill, and calibration error with bins of equal width and of equal size (ML5, W12, W13)."""
     w = Window.partitionBy(*by)
     r = df.select(*by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"), F.col(key).alias("_key"))
-    r = r.withColumns({"_u": uniform_bin(F.col("_p"), bins), "_q": F.ntile(bins).over(w.orderBy("_p", "_key")), "_n": F.count("*").over(w), "_rate": F.avg("_y").over(w)})
+    r = r.withColumn("_u", uniform_bin(F.col("_p"), bins))
+    if by:
+        r = r.withColumns({"_q": F.ntile(bins).over(w.orderBy("_p", "_key")), "_n": F.count("*").over(w), "_rate": F.avg("_y").over(w)})
+    else:
+        n = r.agg(F.count("*").alias("_n"), F.avg("_y").alias("_rate"))
+        r = running(r.withColumn("_one", F.lit(1).cast("long")), [F.col("_p").asc(), F.col("_key").asc()], {"_rn": "_one"}).join(F.broadcast(n), F.lit(True))
+        size, more = F.floor(F.col("_n") / bins), F.col("_n") % bins  # the first `more` bins have a row more
+        large = more * (size + 1)
+        r = r.withColumn("_q", F.when(F.col("_rn") <= large, F.ceil(F.col("_rn") / (size + 1))).otherwise(more + F.ceil((F.col("_rn") - large) / F.greatest(size, F.lit(1)))).cast("int"))
 
     def error(b: str, name: str) -> DataFrame:
         one = r.groupBy(*by, b).agg((F.abs(F.avg("_y") - F.avg("_p")) * F.count("*") / F.max("_n")).alias("e"))

@@ -7,6 +7,7 @@ import hashlib
 import json
 import os
 import shutil
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -106,6 +107,23 @@ def batched(paths: Sequence[str], size: int) -> list[list[str]]:
     return [list(paths[k : k + size]) for k in range(0, len(paths), size)]
 
 
+def sample(folder: str) -> dict:
+    """What a run uses just now: bytes of the folder's disk, and this process' resident memory."""
+    disk, rss = shutil.disk_usage(folder), 0
+    if os.path.exists("/proc/self/status"):
+        with open("/proc/self/status") as f:
+            rss = next((1024 * int(x.split()[1]) for x in f if x.startswith("VmRSS:")), 0)
+    return {"time": time.time(), "disk_used": disk.used, "disk_free": disk.free, "rss": rss}
+
+
+def check_report(report: Mapping, schema: Mapping[str, type | tuple]) -> Mapping:
+    """report, if it has just the fields of a schema, each of its type; else an error that names them."""
+    wrong = sorted({*report} ^ {*schema}) + [k for k, kind in schema.items() if k in report and not isinstance(report[k], kind)]
+    if wrong:
+        raise ValueError(f"fields missing, unknown or of a wrong type: {', '.join(wrong)}")
+    return report
+
+
 def claim_status(parts: Mapping[str, str]) -> str:
     """The status of a claim from that of its parts: blocked beats missing, which beats partial."""
     states = set(parts.values())

@@ -11,6 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import numbered
+from tidemark.operators.ranking import by_score, top_precision
+from tidemark.sources.sinks import kept
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
@@ -107,37 +111,25 @@ def residual_regression(df: DataFrame, y_res: str, t_res: str, cluster: str | No
     return {"n_obs": n, "coef": slope, "std_err": se, "p_value": p, "status": "fit"}
 
 
-def bootstrap_lift(y: np.ndarray, score: np.ndarray, clusters: np.ndarray, reps: int = 1000, seed: int = 7, least: int = 30, at_once: int = 100) -> tuple[float, float]:
-    """A percentile interval of the top decile's lift, whole clusters drawn anew; ties at the edge share (ML8)."""
-    if y.sum() < least:
-        return float("nan"), float("nan")
-    score = np.where(np.isnan(score), -np.inf, score)
-    order = np.lexsort((y, -score))
-    y, score = y[order].astype(float), score[order]
-    _, code = np.unique(clusters[order].astype(str), return_inverse=True)
-    first = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
-    rng, out = np.random.default_rng(seed), []
-    for k in range(0, reps, at_once):
-        drawn = rng.multinomial(code.max() + 1, np.full(code.max() + 1, 1 / (code.max() + 1)), min(at_once, reps - k))[:, code]
-        n, pos = np.add.reduceat(drawn, first, 1), np.add.reduceat(drawn * y, first, 1)
-        size, cn, total = n.sum(1), np.cumsum(n, 1), pos.sum(1)
-        top = np.clip(np.floor(size * 0.1 + 0.5), 1, size)
-        taken = np.clip(top[:, None] - (cn - n), 0, n)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            lift = (np.where(n > 0, pos / n, 0) * taken).sum(1) / top / (total / size)
-        out.append(lift[np.isfinite(lift)])
-    every = np.concatenate(out)
-    return (float(np.quantile(every, 0.025)), float(np.quantile(every, 0.975))) if len(every) else (float("nan"), float("nan"))
-
-
-def lift_intervals(df: DataFrame, by: Sequence[str], y: str, score: str, cluster: str, reps: int = 1000, seed: int = 7) -> DataFrame:
-    """bootstrap_lift for each of a few chosen configurations."""
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        low, high = bootstrap_lift(f[y].fillna(0).to_numpy(int), f[score].to_numpy(float), f[cluster].astype(str).to_numpy(), reps, seed)
-        return pd.DataFrame([(*key, low, high)], columns=[*by, "ci_low", "ci_high"])
-
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    return df.select(*by, y, score, cluster).groupBy(*by).applyInPandas(one, f"{kinds}, ci_low double, ci_high double")
+def lift_intervals(df: DataFrame, by: Sequence[str], y: str, score: str, cluster: str, reps: int = 1000, seed: int = 7, least: int = 30) -> DataFrame:
+    """A percentile interval of the top decile's lift for each group: whole clusters are drawn anew with replacement, as many as there are;
+    ties at the edge share (ML8). Null labels count as 0, null scores rank last. Fewer positives than `least`: NaN.
+
+    Rows are first summed by cluster and score. A draw is a hash of seed, repetition and number, so that repetitions are spread over all
+    machines and are alike on each run; what is sorted is a row for each distinct score of a repetition."""
+    s = F.col(score).cast("double")
+    cells = df.groupBy(*by, F.coalesce(F.col(cluster).cast("string"), F.lit("")).alias("_c"), F.coalesce(F.when(~F.isnan(s), s), F.lit(float("-inf"))).alias("_s")).agg(F.count("*").alias("_n"), F.sum(F.coalesce(F.col(y), F.lit(0))).cast("long").alias("_pos"))
+    cells = kept(cells, "cells")
+    ids = kept(numbered(cells.select(*by, "_c").distinct(), *by, "_c"), "clusters")
+    groups = ids.groupBy(*by).agg(F.min("row_id").alias("_first"), F.count("*").alias("_g"))
+    draws = groups.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition("_r").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_r", "_i")), 1, 13), 16, 10).cast("long") % F.col("_g") + F.col("_first")
+    times = draws.groupBy("_r", pick.alias("row_id")).agg(F.count("*").alias("_times"))
+    drawn = times.join(ids, "row_id").join(cells, [*by, "_c"]).groupBy(*by, "_r", "_s").agg(F.sum(F.col("_times") * F.col("_n")).alias("n"), F.sum(F.col("_times") * F.col("_pos")).alias("pos"))
+    lifts = by_score(drawn, "pos", "_s", [*by, "_r"], weight="n").groupBy(*by, "_r").agg((top_precision(0.1) / F.try_divide(F.max("tp"), F.max("tn"))).alias("_lift"))
+    out = lifts.groupBy(*by).agg(F.percentile("_lift", F.lit(0.025).cast("double")).alias("ci_low"), F.percentile("_lift", F.lit(0.975).cast("double")).alias("ci_high"))
+    enough = cells.groupBy(*by).agg((F.sum("_pos") >= least).alias("_enough"))
+    return enough.join(out, list(by), "left").select(*by, *(F.when(F.col("_enough"), F.coalesce(c, F.lit(float("nan")))).otherwise(float("nan")).alias(c) for c in ("ci_low", "ci_high")))
 
 
 def missing_profiles(df: DataFrame, flags: Sequence[str], ks: Sequence[int] = (3, 4, 5), seed: int = 7, steps: int = 60, floor: float = 1e-6) -> tuple[dict, DataFrame]:

@@ -11,11 +11,11 @@ from tidemark.functions.numeric import ratio
 from tidemark.operators import facts as X
 from tidemark.operators.audit import assert_no_conflict, assert_not_negative, assert_unique, conflicts, long_table, profile
 from tidemark.operators.overlap import sorted_set
+from tidemark.operators.reports import dispersion, ladder, tier_lift
 from tidemark.plans.lake import duck, query, read, view
 from tidemark.plans.windows import CTX
 
 #: two-sided 95 % quantiles of Student's t by degrees of freedom
-T95 = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086)
 
 
 @query("A1_distinct_counts", f"WITH {duck('fact')} SELECT adsh, count(*) AS xbrl_fact_count, count(DISTINCT tag) AS xbrl_unique_tags, count(DISTINCT unit) AS xbrl_unique_units FROM (SELECT DISTINCT * FROM fact) GROUP BY adsh")
@@ -132,13 +132,6 @@ def a20(spark, sf):
     return long_table(read(spark, sf, "labels"), {"rows": F.count("*"), "good": F.count_if(F.col("quality") == 1), "toxic_rate": F.round(F.avg("toxic"), 9)})
 
 
-def tier_lift(df: DataFrame, tier: str, flag: str, target: str, superset: str = "all_matched") -> DataFrame:
-    """tier, n, n11, rate by flag, and lift, with a tier of all that aren't dropped."""
-    t = df.select(F.explode(F.when(F.col(tier) == "dropped", F.array(tier)).otherwise(F.array(F.col(tier), F.lit(superset)))).alias("tier"), F.col(flag).cast("double").alias("f"), F.col(target).cast("double").alias("y"))
-    out = t.groupBy("tier").agg(F.count("*").alias("n"), F.count_if((F.col("f") == 1) & (F.col("y") == 1)).alias("n11"), F.avg("y").alias("prevalence"), F.avg(F.when(F.col("f") == 1, F.col("y"))).alias("rate"))
-    return out.withColumn("lift", ratio("rate", "prevalence"))
-
-
 @query("A21_tier_lift", "WITH t AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'dropped' WHEN doc_id % 5 < 3 THEN 'high' ELSE 'ambiguous' END AS tier, toxic AS f, quality AS y FROM labels), u AS (SELECT * FROM t UNION ALL SELECT 'all_matched', f, y FROM t WHERE tier <> 'dropped') SELECT tier, count(*) AS n, count(*) FILTER (f = 1 AND y = 1) AS n11, round(avg(y), 6) AS prevalence, round(avg(y) FILTER (f = 1), 6) AS rate, round((avg(y) FILTER (f = 1)) / nullif(avg(y), 0), 6) AS lift FROM u GROUP BY tier")
 def a21(spark, sf):
     k = F.col("doc_id") % 5
@@ -220,14 +213,6 @@ def a31(spark, sf):
     return read(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-def dispersion(folds: DataFrame, by: Sequence[str], value: str, positives: str, least_positives: int = 10, least_folds: int = 5) -> DataFrame:
-    """Mean, deviation, standard error and 95 % interval of a metric over folds that have enough positives."""
-    d = folds.filter((F.col(positives) >= least_positives) & F.col(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count("*").alias("folds"), F.min(value).alias("least"), F.max(value).alias("most"))
-    t = F.coalesce(F.get(F.array(*map(F.lit, T95)), (F.col("folds") - 2).cast("int")), F.lit(1.96))
-    d = d.filter(F.col("folds") >= least_folds).withColumn("se", F.col("sd") / F.sqrt("folds"))
-    return d.withColumn("low", F.col("mean") - t * F.col("se")).withColumn("high", F.col("mean") + t * F.col("se"))
-
-
 _T = "CASE n WHEN 5 THEN 2.776 WHEN 6 THEN 2.571 WHEN 7 THEN 2.447 WHEN 8 THEN 2.365 ELSE 1.96 END"
 
 
@@ -251,15 +236,6 @@ def a34(spark, sf):
     return o.select(s.alias("stratum"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("y")).groupBy("stratum").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("rate"))
 
 
-def ladder(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
-    """metric, value: rows left after each step, counted in one pass."""
-    out, held = {"all": F.count("*")}, F.lit(True)
-    for name, cond in steps.items():
-        held = held & F.coalesce(cond, F.lit(False))
-        out[name] = F.count_if(held)
-    return long_table(df, out)
-
-
 @query("A35_attrition", "SELECT 'all' AS metric, CAST(count(*) AS DOUBLE) AS value FROM orders UNION ALL SELECT 'years', CAST(count(*) AS DOUBLE) FROM orders WHERE year(o_orderdate) >= 1998 UNION ALL SELECT 'open', CAST(count(*) AS DOUBLE) FROM orders WHERE year(o_orderdate) >= 1998 AND o_orderstatus <> 'F'")
 def a35(spark, sf):
     return ladder(read(spark, sf, "orders"), {"years": F.year("o_orderdate") >= 1998, "open": F.col("o_orderstatus") != "F"})

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.normalize import form_key
 from tidemark.operators import events as E
 from tidemark.operators import facts as X
+from tidemark.operators import overlap as V
 from tidemark.operators import panel as P
 from tidemark.operators.audit import assert_unique
+from tidemark.operators.reports import event_time
 from tidemark.operators.temporal import asof_join, exists_ahead, window_counts
 from tidemark.plans.lake import duck, query, read, view
 
@@ -93,15 +95,16 @@ def j10(spark, sf):
 
 @query("J11_supplement", "SELECT o_orderkey AS k, 'raw' AS origin FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT l_orderkey, 'external' FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
 def j11(spark, sf):
-    raw = read(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"))
-    ext = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
-    return raw.withColumn("origin", F.lit("raw")).unionByName(ext.join(raw, "k", "left_anti").withColumn("origin", F.lit("external")))
+    raw = read(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.lit("raw").alias("origin"))
+    ext = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.lit("external").alias("origin")).distinct()
+    return V.supplement(raw, ext, ["k"])
 
 
 @query("J12_disjoint_sets", "WITH a AS (SELECT l_partkey AS k, list(DISTINCT l_suppkey % 7) AS s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS k, list(DISTINCT l_suppkey % 7) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT k, CAST(len(a.s) AS INTEGER) AS n_a, CAST(len(b.s) AS INTEGER) AS n_b FROM a JOIN b USING (k) WHERE NOT list_has_any(a.s, b.s)")
 def j12(spark, sf):
-    one = lambda flag, n: read(spark, sf, "lineitem").filter(F.col("l_returnflag") == flag).groupBy(F.col("l_partkey").alias("k")).agg(F.collect_set(F.col("l_suppkey") % 7).alias(n))
-    return one("A", "a").join(one("R", "b"), "k").filter(~F.arrays_overlap("a", "b")).select("k", F.size("a").alias("n_a"), F.size("b").alias("n_b"))
+    x = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("k"), (F.col("l_suppkey") % 7).alias("v"), "l_returnflag")
+    d = V.disagreements(x.filter("l_returnflag = 'A'"), x.filter("l_returnflag = 'R'"), ["k"], "v")
+    return d.select("k", F.size("first_values").alias("n_a"), F.size("second_values").alias("n_b"))
 
 
 @query("J13_crosswalk", "SELECT l_partkey AS firm, year(o_orderdate) AS y, count(DISTINCT o_custkey) AS issuers FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
@@ -110,16 +113,8 @@ def j13(spark, sf):
     return x.groupBy(F.col("l_partkey").alias("firm"), F.year("o_orderdate").cast("long").alias("y")).agg(F.countDistinct("o_custkey").alias("issuers"))
 
 
-@query("J14_typed_identifiers", "WITH c AS (SELECT 'key' AS t, CAST(c_custkey AS VARCHAR) AS v, c_custkey AS id FROM customer UNION ALL SELECT 'segment', c_mktsegment, c_custkey FROM customer WHERE c_custkey <= 50), s AS (SELECT 'key' AS t, CAST(s_suppkey AS VARCHAR) AS v, s_suppkey AS sid FROM supplier UNION ALL SELECT 'segment', 'BUILDING', s_suppkey FROM supplier WHERE s_suppkey <= 20) SELECT DISTINCT t, id, sid FROM c JOIN s USING (t, v)")
+@query("J14_typed_identifiers", "WITH c AS (SELECT 'key' AS t, CAST(c_custkey AS VARCHAR) AS v, c_custkey AS id FROM customer UNION ALL SELECT 'segment', c_mktsegment, c_custkey FROM customer), s AS (SELECT 'key' AS t, CAST(s_suppkey AS VARCHAR) AS v, s_suppkey AS sid FROM supplier UNION ALL SELECT 'segment', 'BUILDING', s_suppkey FROM supplier) SELECT t, id, count(DISTINCT sid) AS matches, min(sid) AS least FROM c JOIN s USING (t, v) GROUP BY t, id")
 def j14(spark, sf):
-    c, s = read(spark, sf, "customer"), read(spark, sf, "supplier")
-    left = c.select(F.lit("key").alias("t"), F.col("c_custkey").cast("string").alias("v"), F.col("c_custkey").alias("id")).unionByName(c.filter("c_custkey <= 50").select(F.lit("segment").alias("t"), F.col("c_mktsegment").alias("v"), F.col("c_custkey").alias("id")))
-    right = s.select(F.lit("key").alias("t"), F.col("s_suppkey").cast("string").alias("v"), F.col("s_suppkey").alias("sid")).unionByName(s.filter("s_suppkey <= 20").select(F.lit("segment").alias("t"), F.lit("BUILDING").alias("v"), F.col("s_suppkey").alias("sid")))
-    return left.join(right, ["t", "v"]).select("t", "id", "sid").dropDuplicates()
-
-
-@query("J14_all_typed_identifiers", "WITH c AS (SELECT 'key' AS t, CAST(c_custkey AS VARCHAR) AS v, c_custkey AS id FROM customer UNION ALL SELECT 'segment', c_mktsegment, c_custkey FROM customer), s AS (SELECT 'key' AS t, CAST(s_suppkey AS VARCHAR) AS v, s_suppkey AS sid FROM supplier UNION ALL SELECT 'segment', 'BUILDING', s_suppkey FROM supplier) SELECT t, id, count(DISTINCT sid) AS matches, min(sid) AS least FROM c JOIN s USING (t, v) GROUP BY t, id")
-def j14_all(spark, sf):
     """All identifiers; one side is counted by identifier before the join, so the result has a row for each id and type."""
     c, s = read(spark, sf, "customer"), read(spark, sf, "supplier")
     left = c.select(F.explode(F.array(F.struct(F.lit("key").alias("t"), F.col("c_custkey").cast("string").alias("v")), F.struct(F.lit("segment").alias("t"), F.col("c_mktsegment").alias("v")))).alias("i"), F.col("c_custkey").alias("id")).select("i.t", "i.v", "id")
@@ -128,15 +123,8 @@ def j14_all(spark, sf):
     return left.dropDuplicates().join(by, ["t", "v"]).select("t", "id", "matches", "least")
 
 
-@query("J15_bridge_join", "SELECT s_suppkey, c_custkey, coalesce(n, 0) AS n FROM supplier LEFT JOIN (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 10 = 0) ON s_nationkey = c_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+@query("J15_bridge_join", "SELECT s_suppkey, count(c_custkey) AS customers, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM supplier LEFT JOIN customer ON s_nationkey = c_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey GROUP BY 1")
 def j15(spark, sf):
-    c = read(spark, sf, "customer").filter("c_custkey % 10 = 0").select("c_custkey", "c_nationkey")
-    o = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return read(spark, sf, "supplier").join(c, F.col("s_nationkey") == F.col("c_nationkey"), "left").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("s_suppkey", "c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query("J15_all_bridge_join", "SELECT s_suppkey, count(c_custkey) AS customers, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM supplier LEFT JOIN customer ON s_nationkey = c_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey GROUP BY 1")
-def j15_all(spark, sf):
     """The whole crosswalk; customers are summed by nation before the join, so the result has a row for each supplier."""
     o = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     c = read(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.sum("n").alias("n"))
@@ -151,15 +139,6 @@ def j16(spark, sf):
     return j.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
 
 
-def event_time(anchors: DataFrame, panel: DataFrame, key: str, year: str, label: str, reach: int = 3) -> DataFrame:
-    """rel, n, rate: the label of years around each anchor, for anchors whose years are all there (J17, J24, Q18). The
-    shifts are generated on the anchors' side, so one equi-join serves all of them."""
-    a = anchors.select(key, F.col(year).alias("_y0"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("rel")).withColumn(year, F.col("_y0") + F.col("rel"))
-    j = a.join(panel.select(key, year, F.col(label).cast("double").alias("_v")), [key, year])
-    full = j.groupBy(key, "_y0").agg(F.countDistinct("rel").alias("c")).filter(F.col("c") == 2 * reach + 1).select(key, "_y0")
-    return j.join(full, [key, "_y0"], "left_semi").groupBy("rel").agg(F.count("*").alias("n"), F.avg("_v").alias("rate"))
-
-
 _YEARLY = "p AS (SELECT o_custkey AS k, year(o_orderdate) AS y, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS v FROM orders GROUP BY ALL)"
 
 

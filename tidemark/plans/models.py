@@ -73,9 +73,12 @@ def ml4(spark, sf):
     return x.groupBy("o_orderpriority").agg(F.sum(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, b: a + b)).cast("long").alias("n"))
 
 
-@query("ML8_lift_interval")
+_DRAWN = "WITH l AS (SELECT l_orderkey, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y FROM lineitem GROUP BY 1), d AS (SELECT CAST(o_custkey AS VARCHAR) AS c, o_totalprice AS s, y FROM orders JOIN l ON l_orderkey = o_orderkey), ids AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k FROM (SELECT DISTINCT c FROM d)), g AS (SELECT count(*) AS g FROM ids), t AS (SELECT r, CAST(CAST('0x' || substr(md5(concat('7:', r, ':', i)), 1, 13) AS BIGINT) % g AS BIGINT) AS k, count(*) AS times FROM g, range(200) a(r), range((SELECT g FROM g)) b(i) GROUP BY ALL), w AS (SELECT r, s, sum(times) AS n, sum(times * y) AS pos FROM t JOIN ids USING (k) JOIN d USING (c) GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY r ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cn, sum(n) OVER (PARTITION BY r) AS tn, sum(pos) OVER (PARTITION BY r) AS tp FROM w), f AS (SELECT r, sum(pos * least(greatest(least(greatest(floor(tn * 0.1 + 0.5), 1), tn) - (cn - n), 0), n) / n) / max(least(greatest(floor(tn * 0.1 + 0.5), 1), tn)) / (max(tp) / max(tn)) AS lift FROM c GROUP BY r)"
+
+
+@query("ML8_lift_interval", f"{_DRAWN} SELECT 'all' AS one, CASE WHEN (SELECT sum(y) FROM d) >= 30 THEN round(quantile_cont(lift, 0.025), 6) ELSE 'nan'::DOUBLE END AS ci_low, CASE WHEN (SELECT sum(y) FROM d) >= 30 THEN round(quantile_cont(lift, 0.975), 6) ELSE 'nan'::DOUBLE END AS ci_high FROM f")
 def ml8(spark, sf):
-    return S.lift_intervals(panel(spark, sf).withColumn("one", F.lit("all")), ["one"], "label", "o_totalprice", "o_custkey", reps=200)
+    return S.lift_intervals(panel(spark, sf).withColumn("one", F.lit("all")), ["one"], "label", "o_totalprice", "o_custkey", reps=200).select("one", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
 
 
 @query("ML9_structural_breaks")
@@ -144,9 +147,14 @@ def ml18(spark, sf):
     return b.select("fold", text("test_years").alias("test"), text("train_years").alias("train"))
 
 
-@query("ML19_cpu_budget", "SELECT 2 AS jobs, 4 AS threads, true AS fits")
+@query("ML19_cpu_budget", "SELECT n_nationkey AS cores, CASE WHEN n_nationkey >= 8 THEN 2 END AS jobs, CASE WHEN n_nationkey >= 8 THEN 4 END AS threads FROM nation")
 def ml19(spark, sf):
     from tidemark.operators.runner import cpu_budget
 
-    jobs, threads = cpu_budget(8, 2, 4)
-    return spark.createDataFrame([(jobs, threads, jobs * threads <= 8)], "jobs int, threads int, fits boolean")
+    def fits(cores: int) -> tuple:
+        try:
+            return (cores, *cpu_budget(cores, 2, 4))
+        except ValueError:
+            return cores, None, None
+
+    return spark.createDataFrame([fits(r.n_nationkey) for r in read(spark, sf, "nation").collect()], "cores long, jobs int, threads int")

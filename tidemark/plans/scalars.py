@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates as D
 from tidemark.functions import normalize as T
 from tidemark.functions import numeric as N
+from tidemark.operators import events as E
+from tidemark.operators import panel as P
 from tidemark.operators.audit import profile
 from tidemark.operators.panel import PERIOD_FORMS
-from tidemark.plans.lake import duck, query, read, view
+from tidemark.operators.temporal import exists_ahead, window_counts
+from tidemark.plans.lake import AS_OF, duck, query, read, view
 
 # texts made from customer keys, with the shapes that identifiers come in
 RAW_ID = "CASE c_custkey % 8 WHEN 0 THEN concat('CIK', CAST(c_custkey AS {s})) WHEN 1 THEN concat(CAST(c_custkey AS {s}), '.0') WHEN 2 THEN concat(' ', CAST(c_custkey AS {s}), ' ') WHEN 3 THEN 'nan' WHEN 4 THEN '0' WHEN 5 THEN 'none' WHEN 6 THEN CAST(NULL AS {s}) ELSE concat('00', CAST(c_custkey AS {s})) END"
 
 
 def raw_ids(spark, sf):
-    read(spark, sf, "customer").createOrReplaceTempView("tm_customer")
-    return spark.sql(f"SELECT c_custkey, c_name, c_mktsegment, c_acctbal, {RAW_ID.format(s='STRING')} AS raw FROM tm_customer")
+    return read(spark, sf, "customer").selectExpr("c_custkey", "c_name", "c_mktsegment", "c_acctbal", f"{RAW_ID.format(s='STRING')} AS raw")
 
 
 RAW_SQL = f"ids AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal, {RAW_ID.format(s='VARCHAR')} AS raw FROM customer)"
@@ -56,14 +58,22 @@ def p6(spark, sf):
 
 @query("P7_revision_word", f"WITH {duck('filing')} SELECT accession FROM filing WHERE form IN ('10-K', '10-Q', '10-K/A', '10-Q/A') AND (contains(lower(coalesce(primary_doc_description, '')), 'revision') OR contains(lower(coalesce(items, '')), 'revision'))")
 def p7(spark, sf):
-    says = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))).contains("revision")
-    return view(spark, sf, "filing").filter(F.col("form").isin("10-K", "10-Q", "10-K/A", "10-Q/A") & (says("primary_doc_description") | says("items"))).select("accession")
+    return E.corrections(view(spark, sf, "filing")).filter("correction_type = 'revision_if_identifiable'").select("accession")
 
 
-@query("P8_availability_flags", "SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 1997 THEN 1 ELSE 0 END AS has_xbrl, CASE WHEN year(o_orderdate) >= 1996 AND NOT (o_orderdate BETWEEN TIMESTAMP '1997-07-01' AND TIMESTAMP '1999-05-18') THEN 1 ELSE 0 END AS has_logs FROM orders")
+#: filings of the lake, moved to the years in which sources begin
+_LATER = "later AS (SELECT * REPLACE (filing_date + INTERVAL 19 YEAR AS filing_date) FROM filing)"
+
+
+def later(spark, sf):
+    f = view(spark, sf, "filing")
+    return P.filing_base(f.withColumn("filing_date", F.col("filing_date") + F.expr("INTERVAL 19 YEAR")), view(spark, sf, "period"), AS_OF)
+
+
+@query("P8_availability_flags", f"WITH {duck('filing')}, {_LATER} SELECT accession, CAST(year(filing_date) >= 2018 AS INTEGER) AS inspections, CAST(filing_date >= TIMESTAMP '2020-11-01' AS INTEGER) AS notes, CAST(filing_date >= TIMESTAMP '2017-01-31' AS INTEGER) AS form_ap, CAST(year(filing_date) >= 2003 AND NOT filing_date BETWEEN TIMESTAMP '2017-07-01' AND TIMESTAMP '2020-05-18' AS INTEGER) AS logs FROM later")
 def p8(spark, sf):
-    d, on = F.col("o_orderdate"), lambda s: F.lit(s).cast("timestamp_ntz")
-    return read(spark, sf, "orders").select("o_orderkey", F.when(F.year(d) >= 1997, 1).otherwise(0).alias("has_xbrl"), F.when((F.year(d) >= 1996) & ~d.between(on("1997-07-01"), on("1999-05-18")), 1).otherwise(0).alias("has_logs"))
+    names = {"inspections": "pcaob_inspections", "notes": "notes", "form_ap": "form_ap", "logs": "edgar_logs"}
+    return later(spark, sf).select("accession", *(F.col(f"source_available_{c}").alias(n) for n, c in names.items()))
 
 
 @query("P9_constants", "SELECT o_orderkey, TIMESTAMP '2017-01-31' AS public_date, '2011+' AS vintage FROM orders")
@@ -73,9 +83,7 @@ def p9(spark, sf):
 
 @query("P10_priority_case", f"WITH {duck('filing', 'period')} SELECT f.accession, CASE WHEN upper(trim(form)) NOT IN ({', '.join(repr(f) for f in PERIOD_FORMS)}) THEN 'not_applicable' WHEN report_date IS NOT NULL THEN 'submissions_report_date' WHEN fsds_fiscal_period_end IS NOT NULL THEN 'fsds_period' ELSE 'unresolved' END AS source FROM filing f LEFT JOIN period USING (accession)")
 def p10(spark, sf):
-    f = view(spark, sf, "filing").join(view(spark, sf, "period"), "accession", "left")
-    source = F.when(~T.form_key("form").isin(*PERIOD_FORMS), "not_applicable").when(F.col("report_date").isNotNull(), "submissions_report_date").when(F.col("fsds_fiscal_period_end").isNotNull(), "fsds_period").otherwise("unresolved")
-    return f.select("accession", source.alias("source"))
+    return later(spark, sf).select("accession", F.col("fiscal_period_end_source").alias("source"))
 
 
 def main_sample(df, year: str, first: int, last: int, flag: str | None = None):
@@ -103,14 +111,12 @@ def p13(spark, sf):
     return df.filter(F.col("quality").eqNullSafe(F.lit(None)) | F.col("quality").eqNullSafe(F.lit(1)))
 
 
-@query("P14_window_edges", "SELECT count(*) FILTER (b.o_orderdate > a.o_orderdate AND b.o_orderdate <= a.o_orderdate + INTERVAL 365 DAY) AS ahead, count(*) FILTER (b.o_orderdate >= a.o_orderdate - INTERVAL 365 DAY AND b.o_orderdate < a.o_orderdate) AS before FROM orders a JOIN orders b USING (o_custkey)")
+@query("P14_window_edges", "SELECT count(*) FILTER (EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderdate > a.o_orderdate AND b.o_orderdate <= a.o_orderdate + INTERVAL 365 DAY)) AS ahead, CAST(sum((SELECT count(*) FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderdate >= a.o_orderdate - INTERVAL 365 DAY AND b.o_orderdate < a.o_orderdate)) AS BIGINT) AS before FROM orders a")
 def p14(spark, sf):
-    from tidemark.operators.temporal import window_counts
-
-    # both windows are counts in one sorted pass: pairs ahead of one order are pairs before another
     o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    n = window_counts(o, o, "o_custkey", "o_orderdate", "o_orderdate", {"n": (365, None)})
-    return n.agg(F.sum("n").alias("ahead"), F.sum("n").alias("before"))
+    n = window_counts(o, o, "o_custkey", "o_orderdate", "o_orderdate", {"before": (365, None)})
+    n = exists_ahead(n, o, "o_custkey", "o_orderdate", "o_orderdate", {"ahead": (365, None)})
+    return n.agg(F.sum("ahead").cast("long").alias("ahead"), F.sum("before").alias("before"))
 
 
 @query("P15_finite_clip", "SELECT c_custkey, CASE WHEN c_custkey % 4 IN (0, 1) THEN NULL ELSE greatest(least(c_acctbal * 1e10, 1e12), -1e12) END AS x FROM customer")

@@ -85,18 +85,8 @@ def s7(spark, sf):
     return A.zip_rows(spark, z, "sub").select(A.field("n_nationkey").alias("k"), A.field("n_name").alias("name"))
 
 
-@query("S8_submissions", "SELECT lpad(CAST(c_custkey + 1 AS VARCHAR), 10, '0') AS issuer_cik, c_name AS entity_name, CAST(3 AS BIGINT) AS filings, '10-K;8-K' AS forms FROM customer WHERE c_custkey < 40")
+@query("S8_submissions", "SELECT lpad(CAST(c_custkey + 1 AS VARCHAR), 10, '0') AS issuer_cik, c_name AS entity_name, CAST(3 AS BIGINT) AS filings, '10-K;8-K' AS forms FROM customer")
 def s8(spark, sf):
-    rows = read(spark, sf, "customer").filter("c_custkey < 40").select("c_custkey", "c_name").collect()
-    recent = lambda k: {"accessionNumber": [f"{k}-1", f"{k}-2", f"{k}-3"], "filingDate": ["2020-01-01", "2020-05-01", "bad"], "form": ["10-K", "8-K", "8-K"], "items": ["", "4.02", None]}
-    texts = {f"CIK{r.c_custkey + 1:010d}.json": A.to_json({"cik": str(r.c_custkey + 1), "name": r.c_name, "filings": {"recent": recent(r.c_custkey)}}) for r in rows}
-    issuer, filing = A.submissions(A.zip_texts(spark, _zipped(spark, "s8", texts)))
-    f = filing.groupBy("issuer_cik").agg(F.count("*").alias("filings"), F.array_join(F.array_sort(F.collect_set("form")), ";").alias("forms"))
-    return issuer.select("issuer_cik", "entity_name").join(f, "issuer_cik")
-
-
-@query("S8_all_submissions", "SELECT lpad(CAST(c_custkey + 1 AS VARCHAR), 10, '0') AS issuer_cik, c_name AS entity_name, CAST(3 AS BIGINT) AS filings, '10-K;8-K' AS forms FROM customer")
-def s8_all(spark, sf):
     k = (F.col("c_custkey") + 1).cast("string")
     texts = lambda *v: F.array(*(F.lit(x) for x in v))
     numbers = F.array(*(F.concat(F.col("c_custkey").cast("string"), F.lit(f"-{i}")) for i in (1, 2, 3)))
@@ -108,22 +98,14 @@ def s8_all(spark, sf):
     return issuer.select("issuer_cik", "entity_name").join(f, "issuer_cik")
 
 
-def _facts(spark, sf, orders="true", lines="true"):
-    o = read(spark, sf, "orders").filter(orders).select(F.col("o_orderkey").alias("adsh"), F.col("o_custkey").alias("cik"), F.date_format("o_orderdate", "yyyyMMdd").alias("period"))
-    l = read(spark, sf, "lineitem").filter(lines).select(F.col("l_orderkey").alias("adsh"), F.lit("Assets").alias("tag"), F.date_format("l_shipdate", "yyyyMMdd").alias("ddate"), F.col("l_linenumber").alias("qtrs"), F.lit("USD").alias("uom"), F.round("l_extendedprice", 2).cast("decimal(20,2)").alias("value"))
+def _facts(spark, sf):
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("adsh"), F.col("o_custkey").alias("cik"), F.date_format("o_orderdate", "yyyyMMdd").alias("period"))
+    l = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("adsh"), F.lit("Assets").alias("tag"), F.date_format("l_shipdate", "yyyyMMdd").alias("ddate"), F.col("l_linenumber").alias("qtrs"), F.lit("USD").alias("uom"), F.round("l_extendedprice", 2).cast("decimal(20,2)").alias("value"))
     return _archives(spark, "facts", "\t", {"sub.txt": o, "num.txt": l})
 
 
-FEW = ("o_orderkey % 20 = 0", "l_orderkey % 20 = 0")
-
-
-@query("S9_fact_archive", "SELECT CAST(o_orderkey AS VARCHAR) AS adsh, CASE WHEN o_custkey > 0 THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS issuer_cik, CAST(o_orderdate AS DATE) AS fiscal_period_end FROM orders WHERE o_orderkey % 20 = 0")
+@query("S9_fact_archive", "SELECT CAST(o_orderkey AS VARCHAR) AS adsh, CASE WHEN o_custkey > 0 THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS issuer_cik, CAST(o_orderdate AS DATE) AS fiscal_period_end FROM orders")
 def s9(spark, sf):
-    return _filings(spark, _facts(spark, sf, *FEW))
-
-
-@query("S9_all_fact_archive", "SELECT CAST(o_orderkey AS VARCHAR) AS adsh, CASE WHEN o_custkey > 0 THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS issuer_cik, CAST(o_orderdate AS DATE) AS fiscal_period_end FROM orders")
-def s9_all(spark, sf):
     return _filings(spark, _facts(spark, sf))
 
 
@@ -138,13 +120,8 @@ def s10(spark, sf):
     return A.note_summary(A.notes(A.zip_rows(spark, z, "txt"))).withColumn("note_text_count", F.col("note_text_count").cast("int"))
 
 
-@query("S11_fact_manifest", "SELECT CAST(l_orderkey AS VARCHAR) AS adsh, count(*) AS n, CAST(sum(CAST(round(l_extendedprice, 2) AS DECIMAL(28,4))) AS VARCHAR) AS total FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1")
+@query("S11_fact_manifest", "SELECT CAST(l_orderkey AS VARCHAR) AS adsh, count(*) AS n, CAST(sum(CAST(round(l_extendedprice, 2) AS DECIMAL(28,4))) AS VARCHAR) AS total FROM lineitem GROUP BY 1")
 def s11(spark, sf):
-    return _totals(spark, _facts(spark, sf, *FEW))
-
-
-@query("S11_all_fact_manifest", "SELECT CAST(l_orderkey AS VARCHAR) AS adsh, count(*) AS n, CAST(sum(CAST(round(l_extendedprice, 2) AS DECIMAL(28,4))) AS VARCHAR) AS total FROM lineitem GROUP BY 1")
-def s11_all(spark, sf):
     return _totals(spark, _facts(spark, sf))
 
 
@@ -215,15 +192,11 @@ def s20(spark, sf):
     return spark.createDataFrame([(T.preferred(spark, f"{sf}/orders").rsplit("/", 1)[-1],)], "name string")
 
 
-@query("S21_config", "SELECT 'windows' AS k, '365,1095' AS v")
+@query("S21_config", "SELECT r_name AS k, (SELECT string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS v FROM region")
 def s21(spark, sf):
-    import os
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as d:
-        with open(os.path.join(d, "c.yaml"), "w") as f:
-            f.write("windows: [365, 1095]\n")
-        c = T.read_config(os.path.join(d, "c.yaml"))
+    of = read(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_nationkey")), ", ").alias("k"))
+    lines = [f"{r.r_name}: [{r.k}]" for r in read(spark, sf, "region").join(of, F.col("r_regionkey") == F.col("n_regionkey")).collect()]
+    c = T.read_config(T.write_bytes(spark, f"{K.scratch(spark, 's21')}/c.yaml", "\n".join(lines).encode()), spark)
     return spark.createDataFrame([(k, ",".join(map(str, v))) for k, v in c.items()], "k string, v string")
 
 
@@ -279,14 +252,11 @@ def k6(spark, sf):
     return spark.read.option("header", True).csv(path).groupBy("r_regionkey").agg(F.count("*").alias("n"))
 
 
-@query("K7_summary", "SELECT count(*) AS n FROM nation")
+@query("K7_summary", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def k7(spark, sf):
-    import json
-    import os
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as d, open(K.write_json({"n": read(spark, sf, "nation").count()}, os.path.join(d, "s.json"))) as f:
-        return spark.createDataFrame([(json.load(f)["n"],)], "n long")
+    n = {r.o_orderstatus: r["count"] for r in read(spark, sf, "orders").groupBy("o_orderstatus").count().collect()}
+    back = T.read_json(spark, K.write_summary(spark, n, f"{K.scratch(spark, 'k7')}/s.json"))
+    return spark.createDataFrame(list(back.items()), "status string, n long")
 
 
 @query("K8_entity_sample", "SELECT 100 AS entities, true AS whole")
@@ -297,22 +267,20 @@ def k8(spark, sf):
     return s.agg(F.countDistinct("o_custkey").cast("int").alias("entities")).withColumn("whole", F.lit(whole))
 
 
-@query("K9_atomic_write", "SELECT 2 AS version")
+@query("K9_atomic_write", "SELECT max(r_name) AS name, 1 AS files FROM region")
 def k9(spark, sf):
-    import json
-    import os
-    import tempfile
+    d = K.scratch(spark, "k9")
+    for r in read(spark, sf, "region").orderBy("r_name").collect():  # each version replaces the one before
+        K.write_summary(spark, {"name": r.r_name}, f"{d}/s.json")
+    fs, p = T.filesystem(spark, d)
+    return spark.createDataFrame([(T.read_json(spark, f"{d}/s.json")["name"], len([x for x in fs.listStatus(p) if not x.getPath().getName().endswith(".crc")]))], "name string, files int")
 
-    with tempfile.TemporaryDirectory() as d:
-        for v in (1, 2):
-            K.write_json({"version": v}, os.path.join(d, "s.json"))
-        with open(os.path.join(d, "s.json")) as f:
-            return spark.createDataFrame([(json.load(f)["version"],)], "version int")
 
-
-@query("K10_report_table", "SELECT concat('| ', CAST(r_regionkey AS VARCHAR), ' | ', r_name, ' |') AS line FROM region")
-def k10(spark, sf):
-    lines = K.markdown(read(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey")).split("\n")[2:]
-    return spark.createDataFrame([(x,) for x in lines], "line string")
+_ROWS = "(SELECT * FROM region ORDER BY r_regionkey)"
 
 
+@query("K10_report_table", f"SELECT 'report.md' AS file, '| r_regionkey | r_name |' || chr(10) || '|---|---|' || chr(10) || string_agg(concat('| ', r_regionkey, ' | ', r_name, ' |'), chr(10)) AS text FROM {_ROWS} UNION ALL SELECT 'report.csv', 'r_regionkey,r_name' || chr(10) || string_agg(concat(r_regionkey, ',', r_name), chr(10)) || chr(10) FROM {_ROWS} UNION ALL SELECT 'report.tex', concat(chr(92), 'begin{{tabular}}{{ll}}', chr(10), 'r', chr(92), '_regionkey & r', chr(92), '_name ', chr(92), chr(92), chr(10), chr(92), 'hline', chr(10)) || string_agg(concat(r_regionkey, ' & ', r_name, ' ', chr(92), chr(92)), chr(10)) || concat(chr(10), chr(92), 'end{{tabular}}', chr(10)) FROM {_ROWS}")
+def k10(spark, sf):
+    d = K.scratch(spark, "k10")
+    files = K.bundle(spark, read(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"), d, "report")
+    return spark.createDataFrame([(f.rsplit("/", 1)[-1], T.read_text(spark, f)) for f in files], "file string, text string")

@@ -11,6 +11,7 @@ from tidemark.operators import overlap as V
 from tidemark.operators import runner as R
 from tidemark.plans.composites import public_panel
 from tidemark.plans.lake import duck, query, read, view
+from tidemark.sources import archives as A
 from tidemark.sources import sinks as K
 from tidemark.sources import tables as T
 from tidemark.streaming import sessions as S
@@ -114,8 +115,7 @@ def x15(spark, sf):
 
 @query("X16_identifier_columns", "SELECT o_totalprice, o_orderstatus FROM orders")
 def x16(spark, sf):
-    o = read(spark, sf, "orders").drop("o_orderdate", "o_orderpriority")
-    return o.drop(*(c for c in o.columns if c.endswith("key")))
+    return U.drop_identifiers(read(spark, sf, "orders"), ["o_orderdate", "o_orderpriority"])
 
 
 @query("X18_mapping_report", "SELECT * FROM (VALUES ('assets', 'c_acctbal', 'mapped'), ('receivables', NULL, 'missing')) t(concept, column_name, status)")
@@ -154,27 +154,50 @@ def x22(spark, sf):
     return read(spark, sf, name).agg(F.count("*").alias("n")).withColumn("used", F.lit(name))
 
 
-@query("X23_sidecar_hash", "SELECT true AS unchanged, true AS change_found")
-def x23(spark, sf):
+_NAMES = "string_agg(r_name || chr(10), '' ORDER BY r_regionkey)"
+
+
+def _names_file(spark, sf, folder: str) -> str:
+    """The regions' names as a file on the driver."""
     import os
+
+    path = os.path.join(folder, "names.txt")
+    with open(path, "w") as f:
+        f.writelines(r.r_name + "\n" for r in read(spark, sf, "region").orderBy("r_regionkey").collect())
+    return path
+
+
+@query("X23_sidecar_hash", f"SELECT 'names.txt' AS file, sha256({_NAMES}) AS sha256, true AS change_found FROM region")
+def x23(spark, sf):
     import tempfile
 
     with tempfile.TemporaryDirectory() as d:
-        p = K.write_json({"a": 1}, os.path.join(d, "x.json"))
+        p = _names_file(spark, sf, d)
         R.write_metadata(p)
-        R.verify_metadata(p)
-        K.write_json({"a": 2}, p)
+        meta = R.verify_metadata(p)
+        with open(p, "a") as f:
+            f.write("x")
         try:
             R.verify_metadata(p)
             found = False
         except ValueError:
             found = True
-    return spark.createDataFrame([(True, found)], "unchanged boolean, change_found boolean")
+    return spark.createDataFrame([(meta["file"], meta["sha256"], found)], "file string, sha256 string, change_found boolean")
 
 
-@query("X24_batches", "SELECT * FROM (VALUES (0, 2), (1, 2), (2, 1)) t(batch, n)")
+@query("X24_batches", "SELECT CAST(n_regionkey // 2 AS INTEGER) AS batch, n_name, n_regionkey FROM nation")
 def x24(spark, sf):
-    return spark.createDataFrame([(k, len(b)) for k, b in enumerate(R.batched(list("abcde"), 2))], "batch int, n int")
+    """An archive for each region, read by batches of two."""
+    rows = {}
+    for r in read(spark, sf, "nation").select("n_regionkey", "n_nationkey", "n_name").collect():
+        rows.setdefault(r.n_regionkey, ["key\tname\tregion"]).append(f"{r.n_nationkey}\t{r.n_name}\t{r.n_regionkey}")
+    d = K.scratch(spark, "x24")
+    paths = [T.write_bytes(spark, f"{d}/{k}.zip", A.make_zip({"readme.htm": "x", "in/sub.txt": "\n".join(rows[k]) + "\n"})) for k in sorted(rows)]
+    out = None
+    for k, batch in enumerate(R.batched(paths, 2)):
+        one = A.zip_rows(spark, batch, "sub").select(F.lit(k).alias("batch"), A.field("name").alias("n_name"), A.field("region").cast("long").alias("n_regionkey"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("X25_overwrite", "SELECT count(*) AS n FROM region")
@@ -185,15 +208,16 @@ def x25(spark, sf):
     return spark.read.parquet(path).agg(F.count("*").alias("n"))
 
 
-@query("X27_contained", "SELECT true AS inside, true AS outside_refused")
+@query("X27_contained", "SELECT n_name, n_nationkey % 3 <> 1 AS inside FROM nation")
 def x27(spark, sf):
-    R.contained("/data/lake/a", "/data/lake")
-    try:
-        R.contained("/data/lake/../x", "/data/lake")
-        refused = False
-    except ValueError:
-        refused = True
-    return spark.createDataFrame([(True, refused)], "inside boolean, outside_refused boolean")
+    def inside(r) -> bool:
+        path = ("/data/lake/{}", "/data/lake/../{}", "/data/lake/x/../{}")[r.n_nationkey % 3].format(r.n_name)
+        try:
+            return bool(R.contained(path, "/data/lake"))
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(r.n_name, inside(r)) for r in read(spark, sf, "nation").collect()], "n_name string, inside boolean")
 
 
 @query("X28_distinct_profile", "SELECT 'n_name' AS column_name, count(DISTINCT n_name) AS n_distinct, (SELECT string_agg(n_name, ';' ORDER BY n_name) FROM (SELECT n_name FROM nation ORDER BY n_name LIMIT 3)) AS first_values FROM nation")
@@ -201,21 +225,39 @@ def x28(spark, sf):
     return U.distinct_profile(read(spark, sf, "nation"), ["n_name"], 3).withColumn("first_values", F.array_join("first_values", ";"))
 
 
-@query("X31_claims", "SELECT * FROM (VALUES ('a', 'supported'), ('b', 'blocked'), ('c', 'partial')) t(claim, status)")
+_STATE = "CASE WHEN c_acctbal < -950 THEN 'blocked' WHEN c_acctbal < -900 THEN 'missing' WHEN c_acctbal < -850 THEN 'partial' ELSE 'fit' END"
+
+
+@query("X31_claims", f"WITH s AS (SELECT c_nationkey, c_mktsegment, min({_STATE}) AS state FROM customer GROUP BY ALL) SELECT c_nationkey AS claim, CASE WHEN bool_or(state = 'blocked') THEN 'blocked' WHEN bool_or(state = 'missing') THEN 'missing' WHEN bool_or(state = 'partial') THEN 'partial' ELSE 'supported' END AS status FROM s GROUP BY 1")
 def x31(spark, sf):
-    parts = {"a": {"x": "fit", "y": "fit"}, "b": {"x": "fit", "y": "blocked"}, "c": {"x": "fit", "y": "partial"}}
-    return spark.createDataFrame([(c, R.claim_status(p)) for c, p in parts.items()], "claim string, status string")
+    s = read(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.min(F.expr(_STATE)).alias("state"))
+    by = s.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "state"))).alias("parts")).collect()
+    return spark.createDataFrame([(r.c_nationkey, R.claim_status(r.parts)) for r in by], "claim long, status string")
 
 
-@query("X32_same_rows", "SELECT true AS same, false AS other")
+_BY = "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY ALL"
+_PUBLISHED = f"p AS (SELECT status, priority, CASE WHEN status = 'F' AND priority LIKE '1%' THEN n + 1 ELSE n END AS n, mean * 1.0000001 AS mean FROM r WHERE NOT (status = 'O' AND priority LIKE '2%'))"
+
+
+@query("X32_verified_cells", f"WITH r AS ({_BY}), {_PUBLISHED} SELECT status, priority, CASE WHEN p.n IS NULL THEN '*' ELSE 'n' END AS column_name, CASE WHEN p.n IS NOT NULL THEN CAST(r.n AS VARCHAR) END AS recomputed, CAST(p.n AS VARCHAR) AS published, CASE WHEN p.n IS NULL THEN 'extra' ELSE 'different' END AS kind FROM r LEFT JOIN p USING (status, priority) WHERE p.n IS NULL OR p.n <> r.n")
 def x32(spark, sf):
-    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return spark.createDataFrame([(U.same_rows(o, o.repartition(3)), U.same_rows(o, o.filter("o_orderkey <> 1")))], "same boolean, other boolean")
+    """A table is computed twice; the published one has a changed cell, a missing row, and means that differ within the tolerance."""
+    r = read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"))
+    first = lambda s, k: (F.col("status") == s) & F.col("priority").startswith(k)
+    p = r.filter(~first("O", "2")).withColumns({"n": F.when(first("F", "1"), F.col("n") + 1).otherwise(F.col("n")), "mean": F.col("mean") * 1.0000001})
+    if not U.same_rows(r, r.repartition(3)) or U.same_rows(r, p):
+        raise ValueError("a table differs from itself, or equals a changed one")
+    return U.verify_table(r, p, ["status", "priority"], 1e-5)
 
 
-@query("X33_monitor", "SELECT 'orders' AS name, count(*) AS n, count(*) > 0 AS complete FROM orders")
+@query("X33_monitor", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, true AS complete FROM {t}" for t in ("region", "nation", "customer", "orders")))
 def x33(spark, sf):
-    return read(spark, sf, "orders").agg(F.count("*").alias("n")).select(F.lit("orders").alias("name"), "n", (F.col("n") > 0).alias("complete"))
+    import tempfile
+
+    report = {t: read(spark, sf, t).count() for t in ("region", "nation", "customer", "orders")}
+    R.check_report(report, dict.fromkeys(report, int))
+    R.check_report(R.sample(tempfile.gettempdir()), {"time": float, "disk_used": int, "disk_free": int, "rss": int})
+    return spark.createDataFrame([(t, n, n > 0) for t, n in report.items()], "name string, n long, complete boolean")
 
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -236,36 +278,52 @@ def t1(spark, sf):
     return _drained(spark, S.first_wins(_event_stream(spark, sf), ["event_id"], "ts", "40 days"), "t1").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("T2_stream_sessions")
+#: what the watermark, a day behind the last event, has passed when all is read
+@query("T2_stream_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 DAY THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
 def t2(spark, sf):
-    return _drained(spark, S.sessions(_event_stream(spark, sf), "user_id", "ts", "2 days"), "t2")
+    s = _drained(spark, S.sessions(_event_stream(spark, sf), "user_id", "ts", "2 days"), "t2")
+    return s.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_ts", "last_ts")), "n")
 
 
-@query("T3_stream_counts")
+@query("T3_stream_counts", "SELECT event_type, start, count(*) AS n FROM (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start FROM events) GROUP BY ALL HAVING start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
 def t3(spark, sf):
-    return _drained(spark, S.counts(_event_stream(spark, sf), "event_type", "ts", "1 day"), "t3")
+    c = _drained(spark, S.counts(_event_stream(spark, sf), "event_type", "ts", "1 day"), "t3")
+    return c.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("T4_stream_look_ahead", "SELECT a.event_id, b.event_id AS later_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 3 DAY WHERE a.event_type = 'signup' AND b.event_type = 'purchase'")
+def t4(spark, sf):
+    """Pairs of a sign-up and a purchase of the same user within three days; rows without one come when their horizon is over."""
+    e = _event_stream(spark, sf)
+    a, b = e.filter("event_type = 'signup'").select("event_id", "user_id", "ts"), e.filter("event_type = 'purchase'").select(F.col("event_id").alias("later_id"), "user_id", "ts")
+    pairs = S.look_ahead(a, b.withColumnRenamed("user_id", "other_id"), "user_id", "ts", "ts", 3, event_by="other_id", carried=["later_id"])
+    return _drained(spark, pairs.select("event_id", "later_id"), "t4").filter("later_id is not null")
 
 
+_BALANCES = "VALUES ('fixed_linear_score', 'none'), ('variable_logit', 'weights'), ('logit_sampled', 'undersample'), ('entropy_tree', 'undersample'), ('bagged_trees', 'undersample'), ('linear_svm', 'undersample'), ('tree_ensemble', 'weights'), ('neural_net', 'undersample'), ('stacked', 'undersample'), ('boosted_deep', 'weights')"
 
 
-@query("X17_peer_specs", "SELECT * FROM (VALUES ('fixed_linear_score', 'none'), ('variable_logit', 'weights'), ('logit_sampled', 'undersample'), ('entropy_tree', 'undersample'), ('bagged_trees', 'undersample'), ('linear_svm', 'undersample'), ('tree_ensemble', 'weights'), ('neural_net', 'undersample'), ('stacked', 'undersample'), ('boosted_deep', 'weights')) t(model, balance)")
+@query("X17_peer_specs", f"SELECT model, CAST(CASE WHEN balance = 'undersample' THEN 2 * (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality)) ELSE (SELECT count(*) FROM labels) END AS BIGINT) AS train_rows FROM ({_BALANCES}) t(model, balance)")
 def x17(spark, sf):
+    """The rows that each specification trains on."""
     from tidemark.operators.models import peer_specs
 
-    return spark.createDataFrame([(s.name, s.balance) for s in peer_specs(light=False)], "model string, balance string")
+    labels = read(spark, sf, "labels")
+    n = {"undersample": L.equal_classes(labels, "quality", "doc_id").count()}
+    return spark.createDataFrame([(s.name, n.get(s.balance, labels.count())) for s in peer_specs(light=False)], "model string, train_rows long")
 
 
-@query("X29_provenance", "SELECT 'c.json' AS name, true AS hashed")
+@query("X29_provenance", f"SELECT 'names.txt' AS name, sha256({_NAMES}) AS sha256 FROM region")
 def x29(spark, sf):
-    import os
     import tempfile
 
     with tempfile.TemporaryDirectory() as d:
-        p = R.provenance(d, [K.write_json({"a": 1}, os.path.join(d, "c.json"))])
-    return spark.createDataFrame([(n, len(h) == 64) for n, h in p["inputs"].items()], "name string, hashed boolean")
+        p = R.provenance(d, [_names_file(spark, sf, d)])
+    return spark.createDataFrame(list(p["inputs"].items()), "name string, sha256 string")
 
 
-@query("X30_summary_text", "SELECT '| AFRICA | 0 |' AS line")
+@query("X30_summary_text", "SELECT concat('| ', n_name, ' | ', n, ' |') AS line FROM (SELECT n_name, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)")
 def x30(spark, sf):
-    text = K.markdown(read(spark, sf, "region").filter("r_regionkey = 0").select("r_name", "r_regionkey"))
-    return spark.createDataFrame([(text.split("\n")[2],)], "line string")
+    n = read(spark, sf, "nation").join(read(spark, sf, "customer"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(x,) for x in K.markdown(n).split("\n")[2:]], "line string")
+

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import uniform_bin
 from tidemark.operators import facts as X
+from tidemark.operators.ordered import numbered
 from tidemark.operators.temporal import cumulative, first_by, sessions, with_history
 from tidemark.plans.lake import duck, query, read, view
 
@@ -76,15 +77,6 @@ def w9(spark, sf):
     return cumulative(d, ["user_id"], "d", {"n": "x", "b": "z"}).drop("x", "z")
 
 
-def numbered(df, *order: str):
-    """df with row_id, from 0 in a total order, without gathering the rows: ranges are sorted, then counted."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
-    at = parts.select("_i", F.shiftright("_i", 33).alias("_p"))
-    counts = at.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
-    before = counts.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    return parts.withColumn("_p", F.shiftright("_i", 33)).join(F.broadcast(before), "_p").withColumn("row_id", F.col("_i") - F.col("_first") + F.col("_before")).drop("_p", "_i", "_first", "_before")
-
-
 @query("W10_surrogate_id", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders")
 def w10(spark, sf):
     return numbered(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import os
 import tempfile
@@ -11,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import write_bytes
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new place in the folder that all machines share: the checkpoint folder, or the warehouse where none is set."""
@@ -74,10 +78,46 @@ def write_json(value: object, path: str) -> str:
     return path
 
 
-def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small table as Markdown (K10); larger ones are refused."""
+def write_summary(spark: SparkSession, value: object, path: str) -> str:
+    """A small summary wherever Hadoop's file systems reach, replaced as a whole (K7, K9)."""
+    return _replaced(spark, path, (json.dumps(value, indent=2, sort_keys=True, default=str) + "\n").encode())
+
+
+def _replaced(spark: SparkSession, path: str, data: bytes) -> str:
+    tmp, jvm = f"{path}.{uuid.uuid4().hex}", spark._jvm
+    write_bytes(spark, tmp, data)
+    how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    how[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), spark._jsc.hadoopConfiguration()).rename(jvm.org.apache.hadoop.fs.Path(tmp), to, how)
+    return path
+
+
+def latex(df: DataFrame, most: int = 1000) -> str:
+    """A small table as a LaTeX tabular (K10); larger ones are refused."""
+    marks = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"} | {c: "\\" + c for c in "&%$#_{}"}
+    line = lambda cells: " & ".join("" if c is None else "".join(marks.get(x, x) for x in str(c)) for c in cells) + r" \\"
+    return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", line(df.columns), r"\hline", *map(line, _few(df, most)), r"\end{tabular}", ""])
+
+
+def bundle(spark: SparkSession, df: DataFrame, folder: str, name: str) -> list[str]:
+    """A small table as Markdown, CSV and LaTeX, under one name."""
+    rows = _few(df, 1000)
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([df.columns, *(["" if c is None else c for c in r] for r in rows)])
+    texts = {"md": markdown(df), "csv": out.getvalue(), "tex": latex(df)}
+    return [_replaced(spark, f"{folder}/{name}.{kind}", t.encode()) for kind, t in texts.items()]
+
+
+def _few(df: DataFrame, most: int) -> list:
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows are not a report")
+    return rows
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A small table as Markdown (K10); larger ones are refused."""
+    rows = _few(df, most)
     line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", "\\|") for c in cells) + " |"
     return "\n".join([line(df.columns), "|" + "---|" * len(df.columns), *map(line, rows)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -78,7 +79,10 @@ def read_any(spark: SparkSession, path: str, row_tag: str = "row") -> DataFrame:
             return read_csvs(spark, [path])
         cols = [c for c in __import__("re").split(r"\s{2,}", lines[0].strip())]
         parts = F.split(F.trim("value"), r"\s{2,}")
-        return spark.read.text(path).filter(F.trim("value") != lines[0].strip()).filter(F.trim("value") != "").select(*(F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(cols)))
+        # the header is the file's first line; a later line that equals it is a row
+        rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).filter(F.trim("value") != "")
+        begin = rows.filter("at = 0").agg(F.min("row")).first()[0]
+        return rows.filter(F.col("row") != begin).select(*(F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(cols)))
     if name.endswith(".json"):
         return spark.read.option("multiLine", True).json(path)
     if name.endswith((".jsonl", ".ndjson")):
@@ -137,9 +141,20 @@ def filter_links(links: DataFrame, contains: str | None = None, first_year: int
     return x.orderBy(F.col("year_hint").desc_nulls_last(), "url").limit(most) if most is not None else x
 
 
-def read_config(path: str) -> dict:
-    """A YAML file on the driver."""
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as it is, wherever Hadoop's file systems reach."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(read_text(spark, path))
+
+
+def read_config(path: str, spark: SparkSession | None = None) -> dict:
+    """A YAML file (S21), on the driver's disk or, with a session, wherever Hadoop's file systems reach."""
     import yaml
 
+    if spark is not None:
+        return yaml.safe_load(read_text(spark, path)) or {}
     with open(path) as f:
         return yaml.safe_load(f) or {}

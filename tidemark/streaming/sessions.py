@@ -33,11 +33,11 @@ def counts(stream: DataFrame, by: str, ts: str, window: str = "1 day", slide: st
     return timed(stream, ts, late).groupBy(by, w.alias("w")).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), "n")
 
 
-def look_ahead(base: DataFrame, events: DataFrame, by: str, base_ts: str, event_ts: str, days: int, late: str = "1 day") -> DataFrame:
+def look_ahead(base: DataFrame, events: DataFrame, by: str, base_ts: str, event_ts: str, days: int, late: str = "1 day", event_by: str | None = None, carried: list[str] | None = None) -> DataFrame:
     """Pairs of a base row and an event of its key within (time, time + days]; an outer join, so rows without one are emitted
     when the watermark has passed their horizon, which is what censoring is in batch."""
     a = timed(base, base_ts, late).alias("a")
-    b = timed(events.select(F.col(by).alias("_by"), F.col(event_ts).alias("_ts")), "_ts", late).alias("b")
+    b = timed(events.select(F.col(event_by or by).alias("_by"), F.col(event_ts).alias("_ts"), *(carried or [])), "_ts", late).alias("b")
     return a.join(b, F.expr(f"a.{by} = b._by AND b._ts > a.{base_ts} AND b._ts <= a.{base_ts} + INTERVAL {int(days)} DAYS"), "leftOuter")
 
 
