@@ -84,7 +84,27 @@ FROM c GROUP BY conv_id
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"))
+    out = lm_score.score(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+#: the same model by joins with the counts of all words, pairs and triples; DuckDB has no crc32, so it's computed bit by bit
+OP4_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: CAST(coalesce(ascii(x), 0) AS BIGINT))),
+    lambda c, x: list_reduce(list_concat([xor(c, x)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda z, y: CASE WHEN z % 2 = 1 THEN xor(z // 2, 3988292384::BIGINT) ELSE z // 2 END)), 4294967295::BIGINT) % 10 = 0 AS held_out,
+  list_concat(['<'], list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), lambda x: 'w' || x), ['>']) AS l FROM documents),
+u AS MATERIALIZED (SELECT r, doc_id, held_out, i, l[i] AS c, CASE WHEN i > 1 THEN l[i - 1] END AS b, CASE WHEN i > 2 THEN l[i - 2] END AS a FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d)),
+t AS (SELECT * FROM u WHERE NOT held_out),
+one AS MATERIALIZED (SELECT c, count(*) AS n FROM t GROUP BY ALL), two AS MATERIALIZED (SELECT b, c, count(*) AS n FROM t WHERE i > 1 GROUP BY ALL), three AS (SELECT a, b, c, count(*) AS n FROM t WHERE i > 2 GROUP BY ALL),
+k AS (SELECT coalesce(sum(n), 0) AS n, count(*) AS v FROM one WHERE c <> '<'),
+p AS (SELECT u.r, u.doc_id, u.held_out, u.i, coalesce(o.n, 0) AS known, CAST(k.n AS BIGINT) AS train_tokens, (coalesce(o.n, 0) + {lm_score.FLOOR}) / (k.n + {lm_score.FLOOR} * (k.v + 1)) AS p0, coalesce(h.n, 0) AS nb, coalesce(w.n, 0) AS nbc, coalesce(g.n, 0) AS nab, coalesce(e.n, 0) AS nabc
+  FROM u CROSS JOIN k LEFT JOIN one o ON o.c = u.c LEFT JOIN one h ON h.c = u.b LEFT JOIN two w ON w.b = u.b AND w.c = u.c LEFT JOIN two g ON g.b = u.a AND g.c = u.b LEFT JOIN three e ON e.a = u.a AND e.b = u.b AND e.c = u.c WHERE u.i > 1),
+q AS (SELECT *, (nbc + {lm_score.STRENGTH} * p0) / (nb + {lm_score.STRENGTH}) AS p1 FROM p)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (known > 0) AS n_known, train_tokens, round(sum(log10(p0)), 6) AS base_score,
+  round(sum(log10(CASE WHEN i > 2 THEN (nabc + {lm_score.STRENGTH} * p1) / (nab + {lm_score.STRENGTH}) ELSE p1 END)), 6) AS score
+FROM q GROUP BY r, doc_id, held_out, train_tokens
+"""
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,4 +180,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _op1_sql(), "op3_chat_format": _op3_sql(), "op5_warc": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op1_mix_sources": _op1_sql(), "op3_chat_format": _op3_sql(), "op4_lm_score": OP4_SQL, "op5_warc": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op9_decontaminate": OP9_SQL}
