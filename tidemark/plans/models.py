@@ -81,10 +81,14 @@ def ml8(spark, sf):
     return S.lift_intervals(panel(spark, sf).withColumn("one", F.lit("all")), ["one"], "label", "o_totalprice", "o_custkey", reps=200).select("one", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
 
 
-@query("ML9_structural_breaks")
+#: with two restrictions the F distribution's tail has a closed form
+_BREAKS = "WITH l AS (SELECT l_orderkey, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y FROM lineitem GROUP BY 1), s AS (SELECT o_orderpriority, year(o_orderdate) AS y, avg(l.y) AS share FROM orders JOIN l ON l_orderkey = o_orderkey GROUP BY ALL), b AS (SELECT * FROM s CROSS JOIN (VALUES (1997), (1999)) t(break_year)), p AS (SELECT o_orderpriority, break_year, y >= break_year AS post, count(*) AS n, regr_syy(share, y) - regr_sxy(share, y) ** 2 / regr_sxx(share, y) AS rest FROM b GROUP BY ALL), f AS (SELECT o_orderpriority, break_year, sum(n) AS n, sum(rest) AS r1 FROM p GROUP BY ALL), a AS (SELECT o_orderpriority, break_year, regr_syy(share, y) - regr_sxy(share, y) ** 2 / regr_sxx(share, y) AS r0 FROM b GROUP BY ALL), v AS (SELECT *, ((r0 - r1) / 2) / (r1 / (n - 4)) AS v FROM f JOIN a USING (o_orderpriority, break_year) WHERE n >= 6)"
+
+
+@query("ML9_structural_breaks", f"{_BREAKS} SELECT o_orderpriority, CAST(break_year AS BIGINT) AS break_year, round(v, 6) AS f_stat, round(((n - 4) / (n - 4 + 2 * v)) ** ((n - 4) / 2), 6) AS p_value, CAST(n AS BIGINT) AS n_years FROM v")
 def ml9(spark, sf):
     s = panel(spark, sf).groupBy("o_orderpriority", "y").agg(F.avg("label").alias("share"))
-    return S.structural_breaks(s, ["o_orderpriority"], "y", "share", [1997, 1999])
+    return S.structural_breaks(s, ["o_orderpriority"], "y", "share", [1997, 1999]).withColumns({c: F.round(c, 6) for c in ("f_stat", "p_value")})
 
 
 @query("ML10_missing_profiles")
@@ -128,7 +132,7 @@ def ml15(spark, sf):
     return spark.createDataFrame(shares, "feature string, share double")
 
 
-@query("ML16_status_grid")
+@query("ML16_status_grid", "WITH n AS (SELECT count(*) FILTER (year(o_orderdate) = 1995) AS a, count(*) FILTER (year(o_orderdate) = 1996) AS b FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) SELECT model, CAST(y AS BIGINT) AS test_year, CASE WHEN y = 2050 THEN 'skipped_no_rows' WHEN model = 'fixed' THEN 'fit' ELSE 'skipped_one_class' END AS status, a AS n_train, CASE WHEN y = 1996 THEN b ELSE 0 END AS n_test FROM n CROSS JOIN (VALUES ('fixed'), ('logit')) m(model) CROSS JOIN (VALUES (1996), (2050)) t(y)")
 def ml16(spark, sf):
     df = panel(spark, sf).withColumn("label", F.when(F.col("y") == 1995, 0).otherwise(F.col("label")))
     return M.backtest(df, [M.Spec("fixed", "fixed", "none"), M.Spec("logit", "logit", "weights", {"maxIter": 5})], [("one", 1996, [1995]), ("none", 2050, [1995])], "y", "label", NUMERIC, "o_orderkey")[1]

@@ -181,7 +181,13 @@ def f8(spark, sf):
     return view(spark, sf, "filing").select("accession", F.array_join(T.item_codes("items"), ";").alias("codes"))
 
 
-@query("F9_plain_text")
+#: the entities that the pages hold, the ampersand last, as entities are resolved once
+_PLAIN = r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(
+  regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', chr(10), 'g'),
+  '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '[ \t\r\f\x0B]+', ' ', 'g'), '\n\s*', chr(10), 'g') AS plain FROM pages"""
+
+
+@query("F9_plain_text", _PLAIN)
 def f9(spark, sf):
     return read(spark, sf, "pages").select("page_id", T.plain_text("html").alias("plain"))
 
