@@ -85,11 +85,11 @@ def test_ratios_and_verdicts_equal_a_plain_version(spark):
 def test_limits_from_quantiles(spark):
     r = random.Random(2)
     good = [" ".join("".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(r.choice([300, 900]))) for _ in range(300)] + ["", None]
-    df = spark.createDataFrame([(x,) for x in good], "text string")
-    b = Q.fit_bands(df, tail=0.01)
+    df = spark.createDataFrame(list(enumerate(good)), "doc_id long, text string")
+    b = Q.fit_bands(df, df, tail=0.01)
     assert all(x for x in Q.signals(pa.array(good[:300]), b)["kept"]) and b.whole[0] == Q.Bands().whole[0] and b.whole != Q.Bands().whole
     assert not Q.signals(pa.array(["".join(chr(r.randint(33, 126)) for _ in range(3000))]), b)["kept"][0]
-    assert Q.fit_bands(df.limit(0)) == Q.Bands()
+    assert Q.fit_bands(df, df.limit(0)) == Q.Bands() and Q.fit_bands(df.limit(0), df) == Q.Bands()
 
 
 def test_frames(spark):

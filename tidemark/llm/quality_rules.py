@@ -155,10 +155,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: Bands
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, {SIGNALS}").withColumnRenamed("key", key)
 
 
-def fit_bands(good: DataFrame, text: str = "text", sample: int = 20_000, tail: float = 0.001, slack: float = 0.95, bands: Bands = Bands()) -> Bands:
-    """Bands with the limits of `tail` and 1 - `tail` of good texts, widened by 1 / slack: by length of the whole text, and of chunks. At most `sample` texts (those
-    with the least hashes) are looked at; a length that fewer than 1 / tail of them have keeps the limits of `bands`."""
-    small_batches(good.sparkSession, 4)
+def fit_bands(docs: DataFrame, good: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 20_000, tail: float = 0.001, slack: float = 0.95, bands: Bands = Bands()) -> Bands:
+    """Bands with the limits of `tail` and 1 - `tail` of good texts, widened by 1 / slack: by length of the whole text, and of chunks. good holds the keys of good
+    texts; at most `sample` of them (those with the least hashes) are looked at. A length that fewer than 1 / tail of them have keeps the limits of `bands`."""
+    small_batches(docs.sparkSession, 4)
     below = np.array([b for b, *_ in bands.whole])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,8 @@ def fit_bands(good: DataFrame, text: str = "text", sample: int = 20_000, tail: f
                 kind = [int(np.searchsorted(below, len(raw), side="right"))] + [-1] * len(pieces)
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int64()), pa.array([len(x) / len(press.compress(x)) for x in [raw, *pieces]], pa.float64())], names=["kind", "ratio"])
 
-    some = good.filter(F.octet_length(text) > 0).select(F.col(text).alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample)
+    chosen = good.select(F.col(key).alias("key")).dropna().distinct().orderBy(F.xxhash64("key"), "key").limit(sample)  # a bound that is a parameter
+    some = docs.filter(F.octet_length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("text")
     at = F.percentile("ratio", F.array(F.lit(tail), F.lit(1 - tail)))
     found = {r.kind: (r.at[0] * slack, r.at[1] / slack) for r in some.mapInArrow(run, "kind long, ratio double").groupBy("kind").agg(at.alias("at"), F.count("*").alias("n")).filter(F.col("n") >= 1 / tail).collect()}
     return replace(bands, whole=tuple((b, *found.get(k, limits)) for k, (b, *limits) in enumerate(bands.whole)), chunk=found.get(-1, bands.chunk))
