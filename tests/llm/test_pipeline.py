@@ -3,10 +3,10 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 
 import corpus_pipeline
 from tidemark.llm import quality_rules, tokens
+from test_quality_rules import plain_verdict
 from tests_llm_brute import brute_components, brute_hits, brute_mix
 
 
@@ -36,8 +36,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         before = now
         if k == 0:
-            kept = quality_rules.signals(pa.array([x[1] for x in now], pa.string()))["kept"]
-            now = [x for x, ok in zip(now, kept) if ok]
+            now = [x for x in now if plain_verdict(x[1], quality_rules.Bands())[-1]]
         elif k == 1:
             least = brute_components([(x[0], x[1]) for x in now], 80, 5)
             now = [x for x in now if least[x[0]] == x[0]]
