@@ -39,7 +39,7 @@ def at_least_zero(c: str | Column) -> Column:
 
 
 def sigmoid(c: str | Column, bound: float = 35.0) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.least(col(c), F.lit(bound)), F.lit(-bound))))
+    return F.when(col(c).isNotNull(), 1 / (1 + F.exp(-F.greatest(F.least(col(c), F.lit(bound)), F.lit(-bound)))))
 
 
 def linear_score(intercept: float, weights: dict[str, float]) -> Column:
@@ -57,9 +57,9 @@ def z_score(c: str, by: tuple[str, ...]) -> Column:
 
 
 def finite(c: str | Column, bound: float = 1e12) -> Column:
-    """NaN and infinities as null, the rest clipped."""
+    """NaN and infinities as null, the rest clipped (P15). Nulls stay, though least and greatest pass over them."""
     x = col(c).cast("double")
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(F.greatest(F.least(x, F.lit(bound)), F.lit(-bound)))
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), F.greatest(F.least(x, F.lit(bound)), F.lit(-bound)))
 
 
 def half_up(c: str | Column) -> Column:
