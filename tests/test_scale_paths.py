@@ -1,7 +1,9 @@
 """Operators that go round hot spots (null keys, one group, one task) give what plain code gives."""
 
+import hashlib
 import math
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -82,6 +84,34 @@ def test_lift_interval(spark):
     assert 1 < low < y[s >= np.quantile(s, 0.9)].mean() / y.mean() < high and all(math.isnan(v) for v in got["few"])
 
 
+def test_lift_interval_ranks_only_the_edge(spark, monkeypatch):
+    """Against whole rankings of each repetition; draws are dealt out by repetition, and only the ranges of the edges are ranked."""
+    r = random.Random(8)
+    rows = [(g, None if r.random() < 0.05 else int(r.random() < 0.3), r.choice([None, float("nan"), *(k / 400 for k in range(400))]), r.choice([None, *range(60)])) for g in "ab" for _ in range(900)]
+    df = spark.createDataFrame(rows, "g string, y int, s double, c long")
+    stored = {}
+    put = S.kept
+    monkeypatch.setattr(S, "kept", lambda d, n: stored.setdefault(n if n != "cells" or "_range" not in d.columns else "ranged", put(d, n)))
+    got = {x.g: (x.ci_low, x.ci_high) for x in S.lift_intervals(df, ["g"], "y", "s", "c", reps=40).collect()}
+    files = stored["draws"].select("_r", F.input_file_name().alias("f")).distinct().toPandas()
+    assert len(files) == 40 and files.f.nunique() > 10
+    edges = stored["edges"].toPandas()
+    assert len(edges) == 80 and len(edges.groupby("g")._range.unique().explode().unique()) < stored["ranged"].select("_range").distinct().count() / 2
+    for g in "ab":
+        own = [(str(c) if c is not None else "", -math.inf if s is None or math.isnan(s) else s, y or 0) for k, y, s, c in rows if k == g]
+        ids = sorted({c for c, _, _ in own})
+        lifts = []
+        for rep in range(40):
+            n = Counter(ids[int(hashlib.md5(f"7:{rep}:{i}".encode()).hexdigest()[:13], 16) % len(ids)] for i in range(len(ids)))
+            drawn = sorted(((s, y) for c, s, y in own for _ in range(n[c])), reverse=True)
+            k = max(1, math.floor(len(drawn) * 0.1 + 0.5))
+            edge = drawn[k - 1][0]
+            ties = [y for s, y in drawn if s == edge]
+            hits = sum(y for s, y in drawn if s > edge) + (k - sum(s > edge for s, _ in drawn)) * sum(ties) / len(ties)
+            lifts.append(hits / k / (sum(y for _, y in drawn) / len(drawn)))
+        assert got[g] == pytest.approx(tuple(np.quantile(lifts, [0.025, 0.975])))
+
+
 def test_verified_cells(spark):
     a = spark.createDataFrame([("x", 1.0, None, 5), ("y", 2.0, "t", 6), ("z", 3.0, "u", 7)], "k string, m double, w string, n int")
     b = spark.createDataFrame([("x", 1.0 + 1e-9, "t", 5), ("y", 2.5, "t", 6), (None, 3.0, "u", 7)], "k string, m double, w string, n int")

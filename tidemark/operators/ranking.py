@@ -28,9 +28,14 @@ def by_score(df: DataFrame, y: str, score: str, by: Sequence[str] = (), weight:
     return g.withColumns({"cn": F.sum("n").over(down), "cp": F.sum("pos").over(down), "tn": F.sum("n").over(w), "tp": F.sum("pos").over(w)})
 
 
+def top_rows(fraction: float) -> Column:
+    """How many of tn rows the top fraction is: one at least."""
+    return F.least(F.greatest(half_up(F.col("tn") * F.lit(fraction)), F.lit(1)), F.col("tn"))
+
+
 def top_precision(fraction: float) -> Column:
     """Over by_score rows: precision among the top fraction, of which ties at the edge share what is left."""
-    k = F.least(F.greatest(half_up(F.col("tn") * F.lit(fraction)), F.lit(1)), F.col("tn"))
+    k = top_rows(fraction)
     taken = F.least(F.greatest(k - (F.col("cn") - F.col("n")), F.lit(0)), F.col("n"))
     return F.sum(F.col("pos") * taken / F.col("n")) / F.max(k)
 

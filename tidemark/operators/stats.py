@@ -8,13 +8,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import numbered
-from tidemark.operators.ranking import by_score, top_precision
+from tidemark.operators.ranking import top_precision, top_rows
 from tidemark.sources.sinks import kept
 
+LIFT_RANGES = 128  # ranges of scores in which lift intervals look for the edge of the top decile
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
@@ -116,17 +118,30 @@ def lift_intervals(df: DataFrame, by: Sequence[str], y: str, score: str, cluster
     ties at the edge share (ML8). Null labels count as 0, null scores rank last. Fewer positives than `least`: NaN.
 
     Rows are first summed by cluster and score. A draw is a hash of seed, repetition and number, so that repetitions are spread over all
-    machines and are alike on each run; what is sorted is a row for each distinct score of a repetition."""
+    machines and are alike on each run. Cells lie in ranges of scores. First each repetition is summed by range, where a cell times its draws is a
+    row that joins and sums as it streams, never shuffled or sorted; then only the range that holds a repetition's edge is ranked by score."""
     s = F.col(score).cast("double")
     cells = df.groupBy(*by, F.coalesce(F.col(cluster).cast("string"), F.lit("")).alias("_c"), F.coalesce(F.when(~F.isnan(s), s), F.lit(float("-inf"))).alias("_s")).agg(F.count("*").alias("_n"), F.sum(F.coalesce(F.col(y), F.lit(0))).cast("long").alias("_pos"))
     cells = kept(cells, "cells")
     ids = kept(numbered(cells.select(*by, "_c").distinct(), *by, "_c"), "clusters")
+    # few rows that become many: without a number of partitions they would be one task's
     groups = ids.groupBy(*by).agg(F.min("row_id").alias("_first"), F.count("*").alias("_g"))
-    draws = groups.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition("_r").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
+    draws = groups.select("_first", "_g").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(reps, "_r").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_r", "_i")), 1, 13), 16, 10).cast("long") % F.col("_g") + F.col("_first")
-    times = draws.groupBy("_r", pick.alias("row_id")).agg(F.count("*").alias("_times"))
-    drawn = times.join(ids, "row_id").join(cells, [*by, "_c"]).groupBy(*by, "_r", "_s").agg(F.sum(F.col("_times") * F.col("_n")).alias("n"), F.sum(F.col("_times") * F.col("_pos")).alias("pos"))
-    lifts = by_score(drawn, "pos", "_s", [*by, "_r"], weight="n").groupBy(*by, "_r").agg((top_precision(0.1) / F.try_divide(F.max("tp"), F.max("tn"))).alias("_lift"))
+    times = kept(draws.groupBy("_r", pick.alias("row_id")).agg(F.count("*").alias("_times")), "draws")
+    # equal scores of a group share a range
+    ranged = kept(cells.join(ids, [*by, "_c"]).drop("_c").repartitionByRange(LIFT_RANGES, *by, F.col("_s").desc()).withColumn("_range", F.spark_partition_id()), "cells")
+    weighed = (F.sum(F.col("_times") * F.col("_n")).alias("n"), F.sum(F.col("_times") * F.col("_pos")).alias("pos"))
+    sums = times.join(ranged.groupBy(*by, "row_id", "_range").agg(F.sum("_n").alias("_n"), F.sum("_pos").alias("_pos")), "row_id").groupBy(*by, "_r", "_range").agg(*weighed)
+    one = Window.partitionBy(*by, "_r")
+    down = one.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumns({"cn": F.sum("n").over(down), "cp": F.sum("pos").over(down), "tn": F.sum("n").over(one), "tp": F.sum("pos").over(one)})
+    edges = kept(sums.filter((F.col("cn") - F.col("n") < top_rows(0.1)) & (F.col("cn") >= top_rows(0.1))).select(*by, "_r", "_range", (F.col("cn") - F.col("n")).alias("_above_n"), (F.col("cp") - F.col("pos")).alias("_above_pos"), "tn", "tp"), "edges")
+    near = ranged.join(edges.select(*by, "_range").distinct(), [*by, "_range"], "left_semi").join(times, "row_id")
+    drawn = near.join(edges, [*by, "_r", "_range"]).groupBy(*by, "_r", "_above_n", "_above_pos", "tn", "tp", "_s").agg(*weighed)
+    drawn = drawn.withColumn("cn", F.sum("n").over(one.orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_above_n"))
+    precision = F.max("_above_pos") / F.max(top_rows(0.1)) + top_precision(0.1)
+    lifts = drawn.groupBy(*by, "_r").agg(F.try_divide(precision, F.try_divide(F.max("tp"), F.max("tn"))).alias("_lift"))
     out = lifts.groupBy(*by).agg(F.percentile("_lift", F.lit(0.025).cast("double")).alias("ci_low"), F.percentile("_lift", F.lit(0.975).cast("double")).alias("ci_high"))
     enough = cells.groupBy(*by).agg((F.sum("_pos") >= least).alias("_enough"))
     return enough.join(out, list(by), "left").select(*by, *(F.when(F.col("_enough"), F.coalesce(c, F.lit(float("nan")))).otherwise(float("nan")).alias(c) for c in ("ci_low", "ci_high")))
